@@ -138,13 +138,13 @@ def _(spark, d):
 
 # Two answers to one question; the second calls the largest orders by another name.
 SQL_LEFT = "(SELECT o_orderstatus AS a, o_orderpriority AS b, year(o_orderdate) AS y FROM orders)"
-SQL_RIGHT = """(SELECT o_orderstatus AS a, CASE WHEN o_totalprice > 499900 THEN '9-OTHER' ELSE o_orderpriority END AS b,
+SQL_RIGHT = """(SELECT o_orderstatus AS a, CASE WHEN o_totalprice > 490000 THEN '9-OTHER' ELSE o_orderpriority END AS b,
     year(o_orderdate) AS y FROM orders)"""
 
 
 def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, d, "orders")
-    other = F.when(F.col("o_totalprice") > 499900, F.lit("9-OTHER")).otherwise(F.col("o_orderpriority"))
+    other = F.when(F.col("o_totalprice") > 490000, F.lit("9-OTHER")).otherwise(F.col("o_orderpriority"))
     status, year = F.col("o_orderstatus").alias("a"), F.year("o_orderdate").cast("long").alias("y")
     return (orders.select(status, F.col("o_orderpriority").alias("b"), year), orders.select(status, other.alias("b"), year))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -40,6 +40,11 @@ def strip_space(text: Column) -> Column:
     return F.btrim(text, F.lit(PY_SPACE))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def remove_all(text: Column, *parts: str) -> Column:
     """Delete literal parts one after the other."""
     for part in parts:
@@ -128,19 +133,21 @@ def extract_code(response: Column, language: str = "Python", fallback: str = "ba
     `fallback` names the words deleted when no block is found: `batch` drops both
     spellings of SQL and Python, `api` only the target language's own.
     """
-    # One regex pass: the match is never empty, so an empty body and "no block"
-    # stay apart; its first line break ends the opening fence.
-    block = F.regexp_extract(
-        response, rf"(?iu)```(?:{language})?\n[\s\S]*?\n```", 0
-    )
-    start = F.instr(block, "\n")
-    body = F.substring(block, start + 1, F.length(block) - start - F.lit(4))
+    pattern = rf"(?iu)```(?:{language})?\n[\s\S]*?\n```"
     words = {
         "batch": ["```", "sql", "SQL", "Python", "python"],
         "api": ["```", language.lower(), language],
     }[fallback]
     bare = remove_all(strip_space(response), *words)
-    return drop_elided_lines(F.when(block != "", body).otherwise(bare))
+
+    def body(block: Column) -> Column:
+        # A match is never empty, so an empty body and "no block" stay apart; its first
+        # line break ends the opening fence.
+        start = F.instr(block, "\n")
+        inside = F.substring(block, start + 1, F.length(block) - start - F.lit(4))
+        return F.when(block != "", inside).otherwise(bare)
+
+    return drop_elided_lines(bind(F.regexp_extract(response, pattern, 0), body))
 
 
 def clean_prediction(response: Column) -> Column:

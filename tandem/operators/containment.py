@@ -36,13 +36,12 @@ def table_mentions(
 
 
 def _gram_keys(words: Column, size: int) -> Column:
-    """Hash of every run of `size` words; empty where there are fewer."""
-    last = F.size(words) - size + 1
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-        lambda i: F.xxhash64(F.lit(size), F.slice(words, i, size)),
+    """Hash of every run of `size` words. Runs cut off by the end hash nulls along and
+    match no anchor. `words` must be a stored column: each run looks into it."""
+    return F.transform(
+        words,
+        lambda w, i: F.xxhash64(F.lit(size), w, *[F.get(words, i + k) for k in range(1, size)]),
     )
-    return F.when(last >= 1, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def _part_keys(words: Column, length: int) -> Column:
@@ -73,13 +72,14 @@ def _anchors(items: DataFrame, item: str) -> DataFrame:
 
     def longest(size: int) -> Column:
         runs = F.transform(
-            F.sequence(F.lit(1), F.greatest(n_inner - size + 1, F.lit(1))),
+            F.sequence(F.lit(0), F.greatest(n_inner - size, F.lit(0))),
             lambda i: F.struct(
-                F.length(F.array_join(F.slice(inner, i, size), " ")).alias("n"),
-                F.slice(inner, i, size).alias("w"),
+                F.length(F.array_join(F.slice(inner, i + 1, size), " ")).alias("n"),
+                *[F.get(inner, i + k).alias(f"w{k}") for k in range(size)],
             ),
         )
-        return F.xxhash64(F.lit(size), F.array_max(runs)["w"])
+        best = F.array_max(runs)
+        return F.xxhash64(F.lit(size), *[best[f"w{k}"] for k in range(size)])
 
     part = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     key = (
@@ -109,7 +109,7 @@ def contain_join(
     )
     # Distinct anchor shapes: three kinds and the lengths of short items' words.
     shapes = anchored.select("_kind", "_length").distinct().collect()
-    words = F.split(F.col(text), " ")
+    words = F.col("_words")
     keys = [_gram_keys(words, kind) for kind in {r["_kind"] for r in shapes} - {0}]
     keys += [_part_keys(words, r["_length"]) for r in shapes if r["_kind"] == 0]
     if not keys:
@@ -118,15 +118,17 @@ def contain_join(
     if inline is None:
         inline = anchored.limit(INLINE_ANCHORS + 1).count() <= INLINE_ANCHORS
     rows = anchored.select(item_id, "_item", "_key")
+    split = texts.select(
+        text_id, F.col(text).alias("_text"), F.split(F.col(text), " ").alias("_words")
+    )
     held = F.contains(F.col("_text"), F.col("_item"))
     if inline:
         known = rows.agg(F.collect_set("_key").alias("k")).scalar()
-        hits = texts.select(
-            text_id, F.col(text).alias("_text"),
-            F.explode(F.array_intersect(all_keys, known)).alias("_key"),
+        hits = split.select(
+            text_id, "_text", F.explode(F.array_intersect(all_keys, known)).alias("_key")
         )
         return hits.join(rows, "_key").filter(held).select(text_id, item_id)
-    found = texts.select(text_id, F.explode(all_keys).alias("_key")).join(
+    found = split.select(text_id, F.explode(all_keys).alias("_key")).join(
         rows.select(item_id, "_key"), "_key"
     ).select(text_id, item_id)
     return (

@@ -20,7 +20,9 @@ def append_stats(stats: DataFrame, path: str, run_time: str | None = None) -> No
     """
     if run_time is not None:
         stats = stats.withColumn("run_time", F.lit(run_time).cast("timestamp_ntz"))
-    stats.write.mode("append").partitionBy("source", "target").parquet(path)
+    # Few rows: one file per pair and run instead of one per pair, run and task.
+    one_each = stats.repartition("source", "target")
+    one_each.write.mode("append").partitionBy("source", "target").parquet(path)
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
