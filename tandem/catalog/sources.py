@@ -197,7 +197,7 @@ def _(spark, d):
 def _(spark, d):
     return contain_join(
         table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text",
-        inline=False)
+        one_pass=False)
 
 
 @query("s13_skip_done", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -7,11 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Names per catalogue row: bounds the array each text is tested against at once.
 NAMES_PER_ROW = 256
 
-# Words per anchor.
-GRAM_WORDS = 3
-
-# Up to this many anchors travel inside the plan as one array; more are joined.
-INLINE_ANCHORS = 10_000
+# Items of up to this many bytes in all are broadcast to the texts; more are joined.
+BROADCAST_BYTES = 8 << 20
 
 
 def table_mentions(
@@ -35,105 +32,88 @@ def table_mentions(
     )
 
 
-def _gram_keys(words: Column, size: int) -> Column:
-    """Hash of every run of `size` words. Runs cut off by the end hash nulls along and
-    match no anchor. `words` must be a stored column: each run looks into it."""
-    return F.transform(
-        words,
-        lambda w, i: F.xxhash64(F.lit(size), w, *[F.get(words, i + k) for k in range(1, size)]),
-    )
-
-
-def _part_keys(words: Column, length: int) -> Column:
-    """Hash of every substring of `length` characters of every word."""
-    def parts(word: Column) -> Column:
+def _parts(words: Column, length: int) -> Column:
+    """Every substring of `length` characters of every word."""
+    def cut(word: Column) -> Column:
         last = F.length(word) - length + 1
-        cut = F.transform(
+        pieces = F.transform(
             F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-            lambda i: F.xxhash64(F.lit(0), F.substring(word, i, F.lit(length))),
+            lambda i: F.substring(word, i, F.lit(length)),
         )
-        return F.when(last >= 1, cut).otherwise(F.array().cast("array<bigint>"))
+        return F.when(last >= 1, pieces).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(words, parts))
+    return F.flatten(F.transform(words, cut))
 
 
-def _anchors(items: DataFrame, item: str) -> DataFrame:
+def anchors(items: DataFrame, item_id: str, item: str) -> DataFrame:
     """One key per item that every text containing the item must also have.
 
     Words are what lies between single blanks. An item's inner words are whole words of
-    any text that contains it; its first and last may be cut. So the key is the longest
-    run of inner words; an item without inner words is keyed by its longest word, which
-    is then a part of some word of the text.
+    any text that contains it; its first and last may be cut there. So the key is an
+    inner word: the one fewest items have, the longest of these. An item without inner
+    words is keyed by its longest word, which is then a part of some word of the text
+    (`part_length` tells these apart).
     """
     words = F.split(F.col(item), " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    n_inner = F.size(inner)
-    kind = F.when(n_inner >= GRAM_WORDS, GRAM_WORDS).when(n_inner >= 1, 1).otherwise(0)
-
-    def longest(size: int) -> Column:
-        runs = F.transform(
-            F.sequence(F.lit(0), F.greatest(n_inner - size, F.lit(0))),
-            lambda i: F.struct(
-                F.length(F.array_join(F.slice(inner, i + 1, size), " ")).alias("n"),
-                *[F.get(inner, i + k).alias(f"w{k}") for k in range(size)],
-            ),
-        )
-        best = F.array_max(runs)
-        return F.xxhash64(F.lit(size), *[best[f"w{k}"] for k in range(size)])
-
-    part = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    key = (
-        F.when(kind == GRAM_WORDS, longest(GRAM_WORDS))
-        .when(kind == 1, longest(1))
-        .otherwise(F.xxhash64(F.lit(0), part["w"]))
+    known = items.filter(F.col(item).isNotNull()).select(
+        item_id, F.col(item).alias("_item"), words.alias("_words"), inner.alias("_inner")
     )
-    length = F.when(kind == 0, part["n"])
-    return items.filter(F.col(item).isNotNull()).select(
-        "*", kind.alias("_kind"), length.alias("_length"), key.alias("_key")
+    used = known.select(item_id, F.explode(F.array_distinct("_inner")).alias("_key"))
+    rarity = used.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    best = (
+        used.join(rarity, "_key")
+        .groupBy(item_id)
+        .agg(F.min_by("_key", F.struct("_n", -F.length("_key"), "_key")).alias("_inner_key"))
+    )
+    longest = F.array_max(
+        F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    )
+    whole = F.size("_inner") > 0
+    return known.join(best, item_id, "left").select(
+        item_id,
+        "_item",
+        F.when(whole, F.col("_inner_key")).otherwise(longest["w"]).alias("_key"),
+        F.when(~whole, longest["n"]).alias("part_length"),
     )
 
 
 def contain_join(
     texts: DataFrame, text_id: str, text: str, items: DataFrame, item_id: str, item: str,
-    inline: bool | None = None,
+    one_pass: bool | None = None,
 ) -> DataFrame:
-    """All (text_id, item_id) where the text contains the item.
+    """All (text_id, item_id) where the text contains the item; ids must be unique.
 
-    An equi-join on hashed anchors finds candidates and `contains` settles them, so no
-    text is compared with every item, and nothing is missed or capped. With few anchors
-    each text keeps its own hits in one pass and is never shuffled; with many, the
-    texts' keys are joined and only candidate texts are fetched again.
+    An equi-join on anchor words finds candidates and `contains` settles them, so no
+    text is compared with every item, and nothing is missed or capped. Items of checked
+    size are broadcast and each text is read once and never shuffled; beyond that the
+    texts' words are joined and only candidate texts are fetched again.
     """
-    anchored = _anchors(items, item).select(
-        F.col(item_id), F.col(item).alias("_item"), "_kind", "_length", "_key"
-    )
-    # Distinct anchor shapes: three kinds and the lengths of short items' words.
-    shapes = anchored.select("_kind", "_length").distinct().collect()
-    words = F.col("_words")
-    keys = [_gram_keys(words, kind) for kind in {r["_kind"] for r in shapes} - {0}]
-    keys += [_part_keys(words, r["_length"]) for r in shapes if r["_kind"] == 0]
-    if not keys:
-        keys = [F.array().cast("array<bigint>")]
-    all_keys = F.array_distinct(F.concat(*keys))
-    if inline is None:
-        inline = anchored.limit(INLINE_ANCHORS + 1).count() <= INLINE_ANCHORS
-    rows = anchored.select(item_id, "_item", "_key")
+    words = F.split(F.col(item), " ")
+    longest = F.array_max(F.transform(words, lambda w: F.length(w)))
+    facts = items.agg(
+        F.coalesce(F.sum(2 * F.octet_length(item) + 64), F.lit(0)).alias("bytes"),
+        # Word lengths of items without inner words: as many as words have lengths.
+        F.collect_set(F.when(F.size(words) <= 2, longest)).alias("lengths"),
+    ).first()
+    if one_pass is None:
+        one_pass = facts["bytes"] <= BROADCAST_BYTES
+    keyed = anchors(items, item_id, item)
     split = texts.select(
         text_id, F.col(text).alias("_text"), F.split(F.col(text), " ").alias("_words")
     )
+    keys = F.concat(F.col("_words"), *[_parts(F.col("_words"), n) for n in sorted(facts["lengths"])])
+    words = split.select(text_id, "_text", F.explode(F.array_distinct(keys)).alias("_key"))
     held = F.contains(F.col("_text"), F.col("_item"))
-    if inline:
-        known = rows.agg(F.collect_set("_key").alias("k")).scalar()
-        hits = split.select(
-            text_id, "_text", F.explode(F.array_intersect(all_keys, known)).alias("_key")
-        )
-        return hits.join(rows, "_key").filter(held).select(text_id, item_id)
-    found = split.select(text_id, F.explode(all_keys).alias("_key")).join(
-        rows.select(item_id, "_key"), "_key"
-    ).select(text_id, item_id)
+    if one_pass:
+        # Explode, probe and test run in one stage; the text is not copied per word.
+        rows = F.broadcast(keyed.select(item_id, "_item", "_key"))
+        return words.join(rows, "_key").filter(held).select(text_id, item_id)
+    found = words.select(text_id, "_key").join(keyed.select(item_id, "_key"), "_key")
     return (
-        found.join(texts.select(text_id, F.col(text).alias("_text")), text_id)
-        .join(rows.select(item_id, "_item"), item_id)
+        found.select(text_id, item_id)
+        .join(texts.select(text_id, F.col(text).alias("_text")), text_id)
+        .join(items.select(item_id, F.col(item).alias("_item")), item_id)
         .filter(held)
         .select(text_id, item_id)
     )

@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, NumericType, StructType, TimestampNTZType
+from pyspark.sql.types import (
+    ArrayType, DataType, IntegralType, MapType, NumericType, StructType, TimestampNTZType,
+)
+
+
+PROFILE = (
+    "table_name string, ordinal long, column_name string, data_type string, n_rows long, "
+    "n_nulls long, n_distinct long, smallest string, largest string"
+)
 
 
 def as_text(value: Column, dtype: DataType) -> Column:
@@ -17,46 +26,95 @@ def as_text(value: Column, dtype: DataType) -> Column:
     return value.cast("string")
 
 
-def profile_columns(df: DataFrame, table_name: str, exact: bool = False) -> DataFrame:
-    """One row per column: type, rows, nulls, distinct values, smallest, largest.
+def _key_kind(dtype: DataType) -> str:
+    """Type a column's values are grouped as; columns of one kind share a grouping."""
+    return "bigint" if isinstance(dtype, IntegralType) else dtype.simpleString()
 
-    Types come from the schema alone. The figures come from one aggregate over the
-    table; distinct counts are sketches unless `exact`, which costs one row per value
-    and column in the shuffle. Nested columns have no minimum or maximum.
-    """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    figures = []
+
+def _by_kind(df: DataFrame) -> dict[str, list[tuple[int, str]]]:
+    kinds: dict[str, list[tuple[int, str]]] = {}
     for at, field in enumerate(df.schema.fields):
-        col = F.col(f"`{field.name}`")
-        nested = isinstance(field.dataType, (ArrayType, MapType, StructType))
+        kinds.setdefault(_key_kind(field.dataType), []).append((at + 1, field.name))
+    return kinds
+
+
+def count_distinct_values(df: DataFrame) -> DataFrame:
+    """(ordinal, n_distinct) of every column that holds a value.
+
+    Columns of one type become (ordinal, value) rows and are regrouped with partial
+    combining, so a value that fills a third of a column travels once per task, and no
+    row carries other columns along. Long texts are grouped by their SHA-256.
+    """
+    out = None
+    for kind, columns in _by_kind(df).items():
+        cells = []
+        for at, name in columns:
+            key = F.col(f"`{name}`").cast(kind)
+            if kind == "string":
+                key = F.when(F.length(key) > 64, F.sha2(key, 256)).otherwise(key)
+            cells.append(F.struct(F.lit(at).cast("long").alias("ordinal"), key.alias("key")))
+        values = df.select(F.explode(F.array(*cells)).alias("c")).select("c.ordinal", "c.key")
+        known = values.filter(F.col("key").isNotNull()).distinct()
+        counts = known.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_distinct"))
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def _figures(df: DataFrame, columns: list[tuple[int, str]], exact: bool) -> DataFrame:
+    """Figures of some columns from one aggregate, a row per column."""
+    rows = []
+    for at, name in columns:
+        col, dtype = F.col(f"`{name}`"), df.schema[name].dataType
+        nested = isinstance(dtype, (ArrayType, MapType, StructType))
         none = F.lit(None).cast("string")
-        figures.append(
+        rows.append(
             F.struct(
-                F.lit(at + 1).cast("long").alias("ordinal"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("data_type"),
+                F.lit(at).cast("long").alias("ordinal"),
+                F.lit(name).alias("column_name"),
+                F.lit(dtype.simpleString()).alias("data_type"),
                 F.count(F.lit(1)).alias("n_rows"),
                 F.count_if(col.isNull()).alias("n_nulls"),
-                distinct(col).alias("n_distinct"),
-                (none if nested else as_text(F.min(col), field.dataType)).alias("smallest"),
-                (none if nested else as_text(F.max(col), field.dataType)).alias("largest"),
+                *([] if exact else [F.approx_count_distinct(col).alias("n_distinct")]),
+                (none if nested else as_text(F.min(col), dtype)).alias("smallest"),
+                (none if nested else as_text(F.max(col), dtype)).alias("largest"),
             )
         )
-    facts = df.agg(F.array(*figures).alias("facts")).select(F.explode("facts").alias("f"))
-    return facts.select(F.lit(table_name).alias("table_name"), "f.*")
+    return df.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+
+
+def profile_columns(df: DataFrame, table_name: str, exact: bool = False) -> DataFrame:
+    """One row per column: type, rows, nulls, distinct values, smallest, largest.
+
+    Types come from the schema alone. Distinct counts are sketches unless `exact`, which
+    groups all values. Nested columns have no minimum or maximum.
+    """
+    # Text minima keep an aggregate out of generated code, so texts get their own one.
+    texts, others = [], []
+    for kind, columns in _by_kind(df).items():
+        (texts if kind == "string" else others).extend(columns)
+    parts = [_figures(df, columns, exact) for columns in (others, texts) if columns]
+    facts = reduce(DataFrame.unionByName, parts)
+    if exact:
+        facts = facts.join(count_distinct_values(df), "ordinal", "left").withColumn(
+            "n_distinct", F.coalesce("n_distinct", F.lit(0)))
+    return facts.select(
+        F.lit(table_name).alias("table_name"), "ordinal", "column_name", "data_type", "n_rows",
+        "n_nulls", "n_distinct", "smallest", "largest")
 
 
 def profile_tables(
     tables: dict[str, DataFrame], exact: bool = False, skip: Iterable[str] = ()
 ) -> DataFrame:
-    """Profiles of several tables, leaving out internal ones named in `skip`."""
-    out = None
-    for name, df in tables.items():
-        if name in skip:
-            continue
-        facts = profile_columns(df, name, exact)
-        out = facts if out is None else out.unionByName(facts)
-    return out
+    """Profiles of several tables, leaving out internal ones named in `skip`.
+
+    Each table is a job of its own; what comes back is one row per column. One plan
+    over all tables would be re-planned as a whole after each of its many stages.
+    """
+    chosen = {name: df for name, df in tables.items() if name not in skip}
+    parts = {name: profile_columns(df, name, exact) for name, df in chosen.items()}
+    rows = [row for part in parts.values() for row in part.collect()]
+    first = next(iter(tables.values()))
+    return first.sparkSession.createDataFrame(rows, PROFILE)
 
 
 def check_primary_key(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
