@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
     ArrayType, DataType, IntegralType, MapType, NumericType, StructType, TimestampNTZType,
 )
@@ -17,13 +19,26 @@ PROFILE = (
 )
 
 
-def as_text(value: Column, dtype: DataType) -> Column:
+# Tables profiled at a time; their small last stages then overlap.
+TABLES_AT_ONCE = 4
+
+
+# The expressions below are SQL text: a wide table takes hundreds of them, and building
+# each from Python calls would take longer than small tables' jobs.
+
+def _text_of(value: str, dtype: DataType) -> str:
     """One spelling per type, so minima of all columns fit one text column."""
+    if isinstance(dtype, (ArrayType, MapType, StructType)):
+        return "CAST(NULL AS STRING)"
     if isinstance(dtype, NumericType):
-        return value.cast("decimal(38,6)").cast("string")
+        return f"CAST(CAST({value} AS DECIMAL(38,6)) AS STRING)"
     if isinstance(dtype, TimestampNTZType):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return value.cast("string")
+        return f"date_format({value}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+    return f"CAST({value} AS STRING)"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _key_kind(dtype: DataType) -> str:
@@ -31,10 +46,11 @@ def _key_kind(dtype: DataType) -> str:
     return "bigint" if isinstance(dtype, IntegralType) else dtype.simpleString()
 
 
-def _by_kind(df: DataFrame) -> dict[str, list[tuple[int, str]]]:
-    kinds: dict[str, list[tuple[int, str]]] = {}
+def _by_kind(df: DataFrame) -> dict[str, list[tuple[int, str, DataType]]]:
+    kinds: dict[str, list[tuple[int, str, DataType]]] = {}
     for at, field in enumerate(df.schema.fields):
-        kinds.setdefault(_key_kind(field.dataType), []).append((at + 1, field.name))
+        column = (at + 1, field.name.replace("`", "``"), field.dataType)
+        kinds.setdefault(_key_kind(field.dataType), []).append(column)
     return kinds
 
 
@@ -45,41 +61,33 @@ def count_distinct_values(df: DataFrame) -> DataFrame:
     combining, so a value that fills a third of a column travels once per task, and no
     row carries other columns along. Long texts are grouped by their SHA-256.
     """
-    out = None
+    parts = []
     for kind, columns in _by_kind(df).items():
         cells = []
-        for at, name in columns:
-            key = F.col(f"`{name}`").cast(kind)
+        for at, name, _ in columns:
+            key = f"CAST(`{name}` AS {kind})"
             if kind == "string":
-                key = F.when(F.length(key) > 64, F.sha2(key, 256)).otherwise(key)
-            cells.append(F.struct(F.lit(at).cast("long").alias("ordinal"), key.alias("key")))
-        values = df.select(F.explode(F.array(*cells)).alias("c")).select("c.ordinal", "c.key")
-        known = values.filter(F.col("key").isNotNull()).distinct()
-        counts = known.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_distinct"))
-        out = counts if out is None else out.unionByName(counts)
-    return out
+                key = f"IF(length(`{name}`) > 64, sha2(`{name}`, 256), `{name}`)"
+            cells.append(f"struct({at}L AS ordinal, {key} AS key)")
+        values = df.selectExpr(f"inline(array({', '.join(cells)}))").filter("key IS NOT NULL")
+        counts = values.distinct().groupBy("ordinal").agg(F.expr("count(1) AS n_distinct"))
+        parts.append(counts)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _figures(df: DataFrame, columns: list[tuple[int, str]], exact: bool) -> DataFrame:
+def _figures(df: DataFrame, columns: list[tuple[int, str, DataType]], exact: bool) -> DataFrame:
     """Figures of some columns from one aggregate, a row per column."""
     rows = []
-    for at, name in columns:
-        col, dtype = F.col(f"`{name}`"), df.schema[name].dataType
-        nested = isinstance(dtype, (ArrayType, MapType, StructType))
-        none = F.lit(None).cast("string")
+    for at, name, dtype in columns:
+        sketch = "" if exact else f"approx_count_distinct(`{name}`) AS n_distinct, "
         rows.append(
-            F.struct(
-                F.lit(at).cast("long").alias("ordinal"),
-                F.lit(name).alias("column_name"),
-                F.lit(dtype.simpleString()).alias("data_type"),
-                F.count(F.lit(1)).alias("n_rows"),
-                F.count_if(col.isNull()).alias("n_nulls"),
-                *([] if exact else [F.approx_count_distinct(col).alias("n_distinct")]),
-                (none if nested else as_text(F.min(col), dtype)).alias("smallest"),
-                (none if nested else as_text(F.max(col), dtype)).alias("largest"),
-            )
+            f"struct({at}L AS ordinal, {_literal(df.columns[at - 1])} AS column_name, "
+            f"'{dtype.simpleString()}' AS data_type, count(1) AS n_rows, "
+            f"count_if(`{name}` IS NULL) AS n_nulls, {sketch}"
+            f"{_text_of(f'min(`{name}`)', dtype)} AS smallest, "
+            f"{_text_of(f'max(`{name}`)', dtype)} AS largest)"
         )
-    return df.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    return df.agg(F.expr(f"array({', '.join(rows)}) AS rows")).selectExpr("inline(rows)")
 
 
 def profile_columns(df: DataFrame, table_name: str, exact: bool = False) -> DataFrame:
@@ -92,11 +100,12 @@ def profile_columns(df: DataFrame, table_name: str, exact: bool = False) -> Data
     texts, others = [], []
     for kind, columns in _by_kind(df).items():
         (texts if kind == "string" else others).extend(columns)
-    parts = [_figures(df, columns, exact) for columns in (others, texts) if columns]
-    facts = reduce(DataFrame.unionByName, parts)
+    facts = reduce(
+        DataFrame.unionByName, [_figures(df, columns, exact) for columns in (others, texts) if columns]
+    )
     if exact:
-        facts = facts.join(count_distinct_values(df), "ordinal", "left").withColumn(
-            "n_distinct", F.coalesce("n_distinct", F.lit(0)))
+        counts = count_distinct_values(df)
+        facts = facts.join(counts, "ordinal", "left").fillna(0, ["n_distinct"])
     return facts.select(
         F.lit(table_name).alias("table_name"), "ordinal", "column_name", "data_type", "n_rows",
         "n_nulls", "n_distinct", "smallest", "largest")
@@ -110,11 +119,16 @@ def profile_tables(
     Each table is a job of its own; what comes back is one row per column. One plan
     over all tables would be re-planned as a whole after each of its many stages.
     """
-    chosen = {name: df for name, df in tables.items() if name not in skip}
-    parts = {name: profile_columns(df, name, exact) for name, df in chosen.items()}
-    rows = [row for part in parts.values() for row in part.collect()]
-    first = next(iter(tables.values()))
-    return first.sparkSession.createDataFrame(rows, PROFILE)
+    spark = next(iter(tables.values())).sparkSession
+
+    @inheritable_thread_target(spark)
+    def run(name: str) -> list:
+        return profile_columns(tables[name], name, exact).collect()
+
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        found = pool.map(run, [name for name in tables if name not in skip])
+        rows = [row for part in found for row in part]
+    return spark.createDataFrame(rows, PROFILE)
 
 
 def check_primary_key(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
