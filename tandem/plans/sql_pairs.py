@@ -43,25 +43,33 @@ def _matches(spark: SparkSession, case: Mapping) -> bool:
 def score_pair(spark: SparkSession, case: Mapping, seconds: float = TIME_LIMIT) -> tuple:
     """Outcome of one pair; errors and the time limit become result texts.
 
-    The pair's jobs carry a tag, and the timer cancels that tag alone.
+    The pair's jobs carry a tag, and the watcher cancels that tag alone. A task stops at
+    its next batch of rows.
     """
     tag = f"pair-{uuid.uuid4().hex}"
-    late = threading.Event()
+    done, late = threading.Event(), threading.Event()
 
-    def stop() -> None:
-        late.set()
-        spark.interruptTag(tag)
+    def watch() -> None:
+        # Repeated, as a pair past its time may be between two jobs.
+        wait = seconds
+        while not done.wait(wait):
+            late.set()
+            spark.interruptTag(tag)
+            wait = 0.5
 
-    timer = threading.Timer(seconds, stop)
     spark.addTag(tag)
-    timer.start()
+    spark.sparkContext.setInterruptOnCancel(True)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
         same = _matches(spark, case)
         outcome = (same, "correct" if same else MISMATCH)
     except Exception as error:  # any failure of the pair is its result
         outcome = (False, f"Execution failed: {error}")
     finally:
-        timer.cancel()
+        done.set()
+        watcher.join()
+        spark.sparkContext.setInterruptOnCancel(False)
         spark.removeTag(tag)
     if late.is_set():
         outcome = (False, TIMED_OUT)
