@@ -43,10 +43,11 @@ def _matches(spark: SparkSession, case: Mapping) -> bool:
 def score_pair(spark: SparkSession, case: Mapping, seconds: float = TIME_LIMIT) -> tuple:
     """Outcome of one pair; errors and the time limit become result texts.
 
-    The pair's jobs carry a tag, and the watcher cancels that tag alone. A task stops at
-    its next batch of rows.
+    The pair's jobs form a group, and the watcher cancels that group alone. A task stops
+    at its next batch of rows.
     """
-    tag = f"pair-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    group = f"pair-{uuid.uuid4().hex}"
     done, late = threading.Event(), threading.Event()
 
     def watch() -> None:
@@ -54,11 +55,10 @@ def score_pair(spark: SparkSession, case: Mapping, seconds: float = TIME_LIMIT)
         wait = seconds
         while not done.wait(wait):
             late.set()
-            spark.interruptTag(tag)
+            context.cancelJobGroup(group)
             wait = 0.5
 
-    spark.addTag(tag)
-    spark.sparkContext.setInterruptOnCancel(True)
+    context.setJobGroup(group, f"SQL pair {case['pair_id']}", True)
     watcher = threading.Thread(target=watch, daemon=True)
     watcher.start()
     try:
@@ -69,8 +69,8 @@ def score_pair(spark: SparkSession, case: Mapping, seconds: float = TIME_LIMIT)
     finally:
         done.set()
         watcher.join()
-        spark.sparkContext.setInterruptOnCancel(False)
-        spark.removeTag(tag)
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
     if late.is_set():
         outcome = (False, TIMED_OUT)
     return (case["pair_id"], *outcome)
