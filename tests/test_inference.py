@@ -16,22 +16,21 @@ def test_last_batch_takes_the_remainder(spark, n, size=5):
     assert got == [(i, min(i // size, full - 1)) for i in range(n)]
 
 
-def load_flaky():
-    """Fails on the first call for some prompts, on every call for others."""
-    calls = {}
-
-    def model(prompts):
-        out = []
-        for p in prompts:
-            calls[p] = calls.get(p, 0) + 1
-            bad = p.startswith("never") or (p.startswith("late") and calls[p] < 3)
-            out.append("" if bad else f"{p} after {calls[p]}")
-        return out
+def test_only_invalid_rows_are_asked_again(spark):
+    def load_flaky():
+        """Fails on the first call for some prompts, on every call for others."""
+        calls = {}
 
-    return model
+        def model(prompts):
+            out = []
+            for p in prompts:
+                calls[p] = calls.get(p, 0) + 1
+                bad = p.startswith("never") or (p.startswith("late") and calls[p] < 3)
+                out.append("" if bad else f"{p} after {calls[p]}")
+            return out
 
+        return model
 
-def test_only_invalid_rows_are_asked_again(spark):
     texts = ["fine 1", "late 1", "never 1", None]
     df = spark.createDataFrame([(t,) for t in texts], "prompt string").coalesce(1)
     got = [r["response"] for r in I.batch_infer(df, load_flaky, tries=4).collect()]
@@ -79,7 +78,7 @@ def test_whole_chain_with_join_and_inline_agree(spark, monkeypatch):
     items = spark.createDataFrame(
         [(i, f'["Sorting", "x{i}"]', f"do {i}: [GUIDELINES]") for i in range(5)],
         "item_id long, identify_prompt string, translate_prompt string")
-    load = lambda: lambda prompts: list(prompts)
+    load = lambda: lambda prompts: [f"```\n{p}\n```" for p in prompts]
     answers = []
     for limit in (512, 0):
         monkeypatch.setattr("tandem.plans.retrieval.INLINE_GUIDE_ROWS", limit)
