@@ -4,9 +4,8 @@ Shingles are ordered by hash. If two sets overlap enough, the first |x| - requir
 and of the other share m shingles at least. A document starts with m = 1; each shingle of its
 prefix that costs too many candidates (many documents have it) lengthens the prefix by one and
 raises m by one, so that a partner must also share a cheap shingle: only those are joined.
-Documents whose prefix stays dear however long (groups of very many near copies) are compared
-with a few hubs per shingle instead, and again only while members of different components are
-left. Parity bitmaps bound the difference of two sets before the sets themselves are read.
+Documents whose prefix stays dear (groups of very many near copies) are ordered by rarity among
+themselves, joined on what is rare, and the rest collapsed by hubs. Parity bitmaps bound the difference of two sets before the sets themselves are read.
 """
 
 from __future__ import annotations
@@ -19,14 +18,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tandem.llm.anchors import LAST_OWNER
 from tandem.llm.components import components
-from tandem.llm.frames import small_enough, stored, text_bytes
+from tandem.llm.frames import small_enough, stored, text_bytes, text_key
 from tandem.llm.text import byte_arrays, grams, lowered, mix, slices, whole, word_bounds, word_hashes
 
 SHINGLE = 3
 PERCENT = 90
 DEAR = 32        # documents with a shingle in their prefix from which the shingle is not joined on
 LONGEST = 24     # most shingles by which a prefix is lengthened
-HUBS = 64        # most hubs per dear shingle in one round
+HUBS = (1, 4)    # hubs per dear shingle, by round
+BLOCK = 1_000    # bitmaps compared at once
 _PARITY_LONGS = 16
 
 
@@ -91,14 +91,14 @@ def _profiles(rows: DataFrame) -> DataFrame:
             place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
             prefix = value[np.repeat(first[:-1], length) + place].view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("owner"), pa.array(n), pa.array([s.tobytes() for s in sums], pa.binary()),
+                batch.column("doc_id"), batch.column("owner"), batch.column("text_key"), pa.array(n), pa.array([s.tobytes() for s in sums], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(prefix)),
                 pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * _PARITY_LONGS).astype(np.int32)), pa.array(parity)),
-            ], ["doc_id", "owner", "n", "sig", "prefix", "parity"])
+            ], ["doc_id", "owner", "text_key", "n", "sig", "prefix", "parity"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "owner", "text").mapInArrow(
-        profile, f"doc_id {kind}, owner long, n long, sig binary, prefix array<long>, parity array<long>")
+    return rows.select("doc_id", "owner", "text_key", "text").mapInArrow(
+        profile, f"doc_id {kind}, owner long, text_key binary, n long, sig binary, prefix array<long>, parity array<long>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,8 +189,106 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def _meetings(cheap: DataFrame) -> DataFrame:
+    """Pairs u < v of similar size that share shingles of `cheap` (token, rid, n), and how many. Each
+    shingle has at most `DEAR` documents there."""
+    lists = cheap.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rid", "n"))).alias("list"))
+    first = lists.select(F.posexplode("list").alias("i", "a"), "list")
+    pairs = first.select("a", F.explode(F.slice("list", F.col("i") + 2, DEAR)).alias("b"))
+    close = 100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n")
+    return pairs.where(close).groupBy(F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).agg(F.count("*").alias("met"))
+
+
+def _link_dense(rows: DataFrame, classes: DataFrame, tokens: DataFrame, dense: DataFrame, facts: DataFrame, linker: _Linker) -> None:
+    """Links between documents whose prefix is dear at any permitted length.
+
+    Their whole sets are ordered by rarity among themselves. Where the basic prefix is cheap in
+    that order, it is joined. What is left are texts nearly all of whose shingles are common,
+    such as the middle of a large group of near copies: hubs join most of these into one
+    component, and the others are compared by parity bitmaps in blocks of like size.
+    """
+    wanted = stored(classes.join(dense, "rid", "left_semi").select("rid", "sig", "owner"), "near-wanted")
+    each = _sets(rows, wanted).dropDuplicates(["rid"]).select("rid", F.size("set").alias("n"), F.explode("set").alias("token"))
+    each = stored(each, "near-dense-tokens")
+    common = each.groupBy("token").agg(F.count("*").alias("docs"))
+    basic = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    prefixes = each.join(common, "token").groupBy("rid").agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("all"))
+    prefixes = stored(prefixes.select("rid", "n", F.slice("all", F.lit(1), basic.cast("int")).alias("prefix")), "near-dense-prefixes")
+    cheap = prefixes.select("rid", "n", F.explode("prefix").alias("p")).where(F.col("p.docs").between(2, DEAR)).select(
+        F.col("p.token").alias("token"), "rid", "n")
+    linker.add(_plausible(_meetings(cheap), facts))
+
+    central = prefixes.where(F.element_at("prefix", -1)["docs"] > DEAR).select("rid")
+    left = stored(tokens.where(F.col("docs") > DEAR).join(dense, "rid").join(central, "rid", "left_semi").select(
+        "token", "rid", "n_dear"), "near-central")
+    for hubs in HUBS:
+        left = _unsettled(left, linker)
+        if left.isEmpty():
+            return
+        # The fullest of each bucket: a text that the others were copied from has the most shared shingles.
+        hub = left.groupBy("token", F.pmod(F.xxhash64("rid"), F.lit(hubs)).alias("bucket")).agg(
+            F.max(F.struct("n_dear", "rid")).alias("hub")).select("token", F.col("hub.rid").alias("hub"))
+        pairs = left.select("token", "rid").join(hub, "token").where("rid <> hub").select(*_ordered("rid", "hub")).distinct()
+        linker.add(_plausible(linker.across(pairs), facts))
+    left = _unsettled(left, linker).groupBy("rid").agg(F.first("root").alias("root")).join(facts, "rid")
+    linker.add(_in_blocks(left))
+
+
+def _unsettled(left: DataFrame, linker: _Linker) -> DataFrame:
+    """Rows (token, rid, n_dear, root) of shingles whose documents are not one component yet."""
+    left = left.drop("root")
+    if linker.roots is None:
+        left = left.withColumn("root", F.col("rid"))
+    else:
+        roots = linker.roots.select(F.col("id").alias("rid"), "root")
+        left = left.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    left = stored(left, "near-members")
+    open_ = left.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+    return stored(left.join(open_, "token", "left_semi"), "near-unsettled")
+
+
+def _in_blocks(left: DataFrame) -> DataFrame:
+    """Plausible pairs (u, v, apart) of different components among rows (rid, root, n, parity).
+
+    Rows are packed in blocks by size class (a factor of 0.9 each), so a partner is in the same
+    class or the next; only pairs that the bitmaps allow leave the comparison of two blocks.
+    """
+    left = left.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / -np.log(PERCENT / 100)))
+    sizes = left.groupBy("level").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    left = left.join(sizes, "level").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    packed = stored(left.groupBy("level", "block").agg(
+        F.collect_list(F.struct("rid", "root", "n", "parity")).alias("rows")), "near-blocks")
+    a = packed.select(F.col("level").alias("la"), F.col("block").alias("ba"), F.col("rows").alias("a"), F.explode(
+        F.array(F.col("level"), F.col("level") + 1)).alias("level"))
+    b = packed.withColumnsRenamed({"block": "bb", "rows": "b"})
+    met = a.join(b, "level").where((F.col("la") < F.col("level")) | (F.col("ba") <= F.col("bb"))).select("a", "b")
+
+    def arrays(cell: pa.StructScalar) -> tuple[np.ndarray, ...]:
+        values = cell.values
+        rid, root, n = (values.field(f).to_numpy() for f in ("rid", "root", "n"))
+        return rid, root, n, values.field("parity").flatten().to_numpy().reshape(len(rid), _PARITY_LONGS)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                rid, root, n, parity = arrays(a)
+                rid_b, root_b, n_b, parity_b = arrays(b)
+                for i in range(len(rid)):
+                    apart = np.bitwise_count(parity[i] ^ parity_b).sum(1)
+                    ok = ((100 + PERCENT) * apart.astype(np.int64) <= (100 - PERCENT) * (n[i] + n_b)) & (root[i] != root_b)
+                    ok &= 100 * np.minimum(n[i], n_b) >= PERCENT * np.maximum(n[i], n_b)
+                    if ok.any():
+                        yield pa.record_batch([
+                            pa.array(np.minimum(rid[i], rid_b[ok])), pa.array(np.maximum(rid[i], rid_b[ok])),
+                            pa.array(apart[ok].astype(np.int64))], ["u", "v", "apart"])
+
+    return met.repartition(F.xxhash64("a.rid", "b.rid")).mapInArrow(compare, "u long, v long, apart long").distinct()
+
+
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """By row: doc_id, n_shingles, component_id and row_key (128 bits of the shingle set).
+    """By row: doc_id, n_shingles, component_id, owner (the id, or a last one for null), text_key and
+    group_key (one for all linked rows, null without words).
 
     Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; two rows are linked where 100 times the
     shared shingles is at least 90 times all. component_id is the smallest id reachable; a null
@@ -199,7 +297,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     different sets is lost.
     """
     owner = F.coalesce(F.col(key), F.lit(LAST_OWNER)).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), owner.alias("owner"), text_bytes(text).alias("text"))
+    rows = docs.select(F.col(key).alias("doc_id"), owner.alias("owner"), text_key(text).alias("text_key"), text_bytes(text).alias("text"))
     profiles = stored(_profiles(rows), "near-profiles")
     classes = profiles.where("n > 0").groupBy("sig").agg(
         F.min("owner").alias("owner"), F.count("*").alias("copies"), F.first("n").alias("n"),
@@ -226,11 +324,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     # Cheap shingles: all pairs of a bounded list. A prefix ends where its cheap shingles suffice.
     cheap = tokens.where(F.col("docs") <= DEAR).join(matches.select("rid", "basic", "longer", "dense"), "rid").where(
         F.col("dense") | (F.col("at") < F.col("basic") + F.col("longer")))
-    lists = cheap.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rid", "n"))).alias("list"))
-    first = lists.select(F.posexplode("list").alias("i", "a"), "list")
-    pairs = first.select("a", F.explode(F.slice("list", F.col("i") + 2, DEAR)).alias("b"))
-    close = 100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n")
-    pairs = pairs.where(close).groupBy(F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).agg(F.count("*").alias("met"))
+    pairs = _meetings(cheap)
     for side in ("u", "v"):
         pairs = pairs.join(matches.select(
             F.col("rid").alias(side), F.when(F.col("dense"), F.lit(LONGEST)).otherwise(F.col("longer")).alias(f"more_{side}"),
@@ -241,28 +335,9 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     linker = _Linker(rows, classes)
     linker.add(_plausible(pairs.where(enough).select("u", "v"), facts))
 
-    # Dear shingles of documents that have too many of them: hubs, until each shingle's documents are one component.
-    dense = tokens.where(F.col("docs") > DEAR).join(matches.where("dense").select("rid", "n_dear"), "rid").select("token", "rid", "n_dear")
-    left, hubs = stored(dense, "near-dense"), 1
-    while not left.isEmpty():
-        member = left
-        if linker.roots is not None:
-            member = left.join(linker.roots.select(F.col("id").alias("rid"), "root"), "rid", "left").withColumn(
-                "root", F.coalesce("root", "rid"))
-        else:
-            member = left.withColumn("root", F.col("rid"))
-        member = stored(member, "near-members")
-        unsettled = member.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-        member = stored(member.join(unsettled, "token", "left_semi"), "near-unsettled")
-        # The fullest of each bucket: a text that the others were copied from has the most shared shingles.
-        hub = member.groupBy("token", F.pmod(F.xxhash64("rid"), F.lit(hubs)).alias("bucket")).agg(
-            F.max(F.struct("n_dear", "rid")).alias("hub")).select("token", F.col("hub.rid").alias("hub"))
-        hub = stored(hub, "near-hubs")
-        pairs = member.select("token", "rid").join(hub, "token").where("rid <> hub").select(*_ordered("rid", "hub")).distinct()
-        linker.add(_plausible(linker.across(pairs), facts))
-        left = stored(member.select("token", "rid", "n_dear").join(
-            hub.select("token", F.col("hub").alias("rid")), ["token", "rid"], "left_anti"), "near-dense")
-        hubs = min(HUBS, hubs * 4)
+    dense = stored(matches.where("dense").select("rid", "n_dear"), "near-dense")
+    if not dense.isEmpty():
+        _link_dense(rows, classes, tokens, dense, facts, linker)
 
     named = classes.select("rid", "sig", "owner", "copies")
     if linker.roots is not None:
@@ -270,10 +345,33 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     else:
         named = named.withColumn("root", F.lit(None).cast("long"))
     named = named.withColumn("root", F.coalesce("root", "rid"))
-    least = named.groupBy("root").agg(F.min("owner").alias("component"), F.sum("copies").alias("size"))
-    groups = stored(named.join(least.where("size > 1"), "root").select("sig", "component"), "near-groups")
-    result = profiles.select("doc_id", "owner", "n", "sig").join(small_enough(groups, 32), "sig", "left")
+    least = named.groupBy("root").agg(
+        F.min("owner").alias("component"), F.min("sig").alias("group_key"), F.sum("copies").alias("size"))
+    groups = named.join(least.where("size > 1"), "root").select("sig", "component", "group_key")
+    groups = stored(groups, "near-groups")
+    result = profiles.select("doc_id", "owner", "text_key", "n", "sig").join(small_enough(groups, 48), "sig", "left")
     component = F.coalesce("component", "owner")
     kind = docs.schema[key].dataType
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(component < LAST_OWNER, component).cast(kind).alias("component_id"),
-                         F.col("sig").alias("row_key"))
+    return result.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(component < LAST_OWNER, component).cast(kind).alias("component_id"),
+        "owner", "text_key", F.when(F.col("n") > 0, F.coalesce("group_key", "sig")).alias("group_key"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`docs` with one row of each group of linked rows: the smallest id, then the smallest text key.
+
+    Columns stay as they are. Rows without words are groups of their own. Of rows equal in id
+    and text one stays.
+    """
+    found = stored(near_components(docs, text, key).where("group_key IS NOT NULL").select("owner", "text_key", "group_key"), "near-found")
+    one = F.struct("owner", "text_key")
+    best = found.groupBy("group_key").agg(F.min(one).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    marked = stored(found.join(best, "group_key").select("owner", "text_key", (one == F.col("best")).alias("stays")), "near-marked")
+    gone = stored(marked.where("NOT stays").select("owner", "text_key").distinct(), "near-gone")
+    twins = stored(marked.where("stays").groupBy("owner", "text_key").count().where("count > 1").select("owner", "text_key"), "near-twins")
+    names = ["__owner", "__text_key"]
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col(key), F.lit(LAST_OWNER)).cast("long"), names[1]: text_key(text)})
+    gone, twins = (small_enough(t.toDF(*names), 24) for t in (gone, twins))
+    single = keyed.join(gone, names, "left_anti").join(twins, names, "left_anti")
+    twice = keyed.join(twins, names, "left_semi").dropDuplicates(names)
+    return single.unionByName(twice).select(*docs.columns)
