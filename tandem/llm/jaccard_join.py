@@ -23,7 +23,7 @@ from tandem.llm.text import byte_arrays, grams, lowered, mix, slices, whole, wor
 
 SHINGLE = 3
 PERCENT = 90
-DEAR = 32        # documents with a shingle in their prefix from which the shingle is not joined on
+DEAR = 1_000     # documents with a shingle in their prefix from which the shingle is not joined on
 LONGEST = 24     # most shingles by which a prefix is lengthened
 HUBS = (1, 4)    # hubs per dear shingle, by round
 BLOCK = 1_000    # bitmaps compared at once
@@ -189,14 +189,57 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _meetings(cheap: DataFrame) -> DataFrame:
-    """Pairs u < v of similar size that share shingles of `cheap` (token, rid, n), and how many. Each
-    shingle has at most `DEAR` documents there."""
-    lists = cheap.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rid", "n"))).alias("list"))
-    first = lists.select(F.posexplode("list").alias("i", "a"), "list")
-    pairs = first.select("a", F.explode(F.slice("list", F.col("i") + 2, DEAR)).alias("b"))
-    close = 100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n")
-    return pairs.where(close).groupBy(F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).agg(F.count("*").alias("met"))
+def _meetings(cheap: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs u < v that meet at shingles of `cheap` (token, rid), how often (`met`), as far as sizes and
+    folded parity bitmaps allow. Each shingle has at most `DEAR` documents there."""
+    folded = F.array(*(F.col("parity")[i].bitwiseXOR(F.col("parity")[i + 4]).bitwiseXOR(F.col("parity")[i + 8])
+                       .bitwiseXOR(F.col("parity")[i + 12]) for i in range(4)))
+    rows = cheap.join(facts.select("rid", "n", folded.alias("bits")), "rid")
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for token, rid, n, bits in _whole_tokens(batches):
+            # Row i against row i + step of the same shingle, for all shingles of the batch at once.
+            step, live = 1, np.arange(len(token) - 1)
+            while len(live):
+                live = live[live + step < len(token)]
+                live = live[token[live] == token[live + step]]
+                other = live + step
+                both, apart = n[live] + n[other], np.bitwise_count((bits[live] ^ bits[other]).view(np.uint64)).sum(1).astype(np.int64)
+                ok = (100 + PERCENT) * apart <= (100 - PERCENT) * both
+                ok &= 100 * np.minimum(n[live], n[other]) >= PERCENT * np.maximum(n[live], n[other])
+                found.append(np.sort(np.column_stack([rid[live[ok]], rid[other[ok]]]), 1))
+                size += len(found[-1])
+                step += 1
+                if size > 100_000:
+                    yield _pair_counts(found)
+                    found, size = [], 0
+        if found:
+            yield _pair_counts(found)
+
+    met = rows.repartition("token").sortWithinPartitions("token").select("token", "rid", "n", "bits").mapInArrow(
+        meet, "u long, v long, met long")
+    return met.groupBy("u", "v").agg(F.sum("met").alias("met"))
+
+
+def _pair_counts(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts)], ["u", "v", "met"])
+
+
+def _whole_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of batches sorted by token, cut so that no token is split."""
+    held = None
+    for batch in batches:
+        now = [batch.column(c).to_numpy() for c in ("token", "rid", "n")]
+        now.append(batch.column("bits").flatten().to_numpy().reshape(-1, 4))
+        held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
+        cut = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+        if cut:
+            yield tuple(h[:cut] for h in held)
+            held = [h[cut:] for h in held]
+    if held is not None:
+        yield tuple(held)
 
 
 def _link_dense(rows: DataFrame, classes: DataFrame, tokens: DataFrame, dense: DataFrame, facts: DataFrame, linker: _Linker) -> None:
@@ -215,9 +258,9 @@ def _link_dense(rows: DataFrame, classes: DataFrame, tokens: DataFrame, dense: D
     prefixes = each.join(common, "token").groupBy("rid").agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("all"))
     prefixes = stored(prefixes.select("rid", "n", F.slice("all", F.lit(1), basic.cast("int")).alias("prefix")), "near-dense-prefixes")
-    cheap = prefixes.select("rid", "n", F.explode("prefix").alias("p")).where(F.col("p.docs").between(2, DEAR)).select(
-        F.col("p.token").alias("token"), "rid", "n")
-    linker.add(_plausible(_meetings(cheap), facts))
+    cheap = prefixes.select("rid", F.explode("prefix").alias("p")).where(F.col("p.docs").between(2, DEAR)).select(
+        F.col("p.token").alias("token"), "rid")
+    linker.add(_plausible(_meetings(cheap, facts).select("u", "v"), facts))
 
     central = prefixes.where(F.element_at("prefix", -1)["docs"] > DEAR).select("rid")
     left = stored(tokens.where(F.col("docs") > DEAR).join(dense, "rid").join(central, "rid", "left_semi").select(
@@ -275,7 +318,7 @@ def _in_blocks(left: DataFrame) -> DataFrame:
                 rid, root, n, parity = arrays(a)
                 rid_b, root_b, n_b, parity_b = arrays(b)
                 for i in range(len(rid)):
-                    apart = np.bitwise_count(parity[i] ^ parity_b).sum(1)
+                    apart = np.bitwise_count((parity[i] ^ parity_b).view(np.uint64)).sum(1)
                     ok = ((100 + PERCENT) * apart.astype(np.int64) <= (100 - PERCENT) * (n[i] + n_b)) & (root[i] != root_b)
                     ok &= 100 * np.minimum(n[i], n_b) >= PERCENT * np.maximum(n[i], n_b)
                     if ok.any():
@@ -321,17 +364,17 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         "rid", "n", (F.col("longer") > reach).alias("dense"), "longer", basic.alias("basic"), F.size("dear").alias("n_dear"),
         F.transform("dear", lambda d: d["token"]).alias("dear")), "near-matches")
 
-    # Cheap shingles: all pairs of a bounded list. A prefix ends where its cheap shingles suffice.
+    # Cheap shingles have few documents, compared by bitmap. A prefix ends where its cheap shingles suffice.
     cheap = tokens.where(F.col("docs") <= DEAR).join(matches.select("rid", "basic", "longer", "dense"), "rid").where(
         F.col("dense") | (F.col("at") < F.col("basic") + F.col("longer")))
-    pairs = _meetings(cheap)
+    facts = classes.select("rid", "n", "parity")
+    pairs = _meetings(cheap.select("token", "rid"), facts)
     for side in ("u", "v"):
         pairs = pairs.join(matches.select(
             F.col("rid").alias(side), F.when(F.col("dense"), F.lit(LONGEST)).otherwise(F.col("longer")).alias(f"more_{side}"),
             F.when(F.col("longer") > 0, F.col("dear")).alias(f"dear_{side}")), side)
     dear_met = F.coalesce(F.size(F.array_intersect("dear_u", "dear_v")), F.lit(0))
     enough = (F.least("more_u", "more_v") == 0) | (F.col("met") + F.greatest(dear_met, F.lit(0)) > F.least("more_u", "more_v", F.lit(LONGEST)))
-    facts = classes.select("rid", "n", "parity")
     linker = _Linker(rows, classes)
     linker.add(_plausible(pairs.where(enough).select("u", "v"), facts))
 
