@@ -235,5 +235,5 @@ def quality_rules(
 
     fields = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in COUNTS.split(", "))
     rules = f"struct<{fields}, base_failed: boolean, class_distance: double, common_distance: double, kept: boolean>"
-    schema = StructType([*schema.fields, *StructType.fromDDL(f"rules {rules}").fields])
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"rules {rules}").fields])
     return docs.withColumn("__bytes", text_bytes(text)).mapInArrow(judge, schema)
