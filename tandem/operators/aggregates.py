@@ -67,10 +67,11 @@ def unique_values(
 
 
 def unique_count(
-    df: DataFrame, column: str, approximate: bool = False, name: str = "n_unique"
+    df: DataFrame, column: str, approximate: bool = False, name: str = "n_unique", semantics: str = "sql"
 ) -> DataFrame:
-    """Number of distinct non-null values, exact unless asked otherwise."""
-    count = F.approx_count_distinct(column) if approximate else F.count_distinct(column)
+    """Number of distinct non-null values, exact unless asked otherwise; frames leave NaN out too."""
+    value = _operand(df, column, semantics)
+    count = F.approx_count_distinct(value) if approximate else F.count_distinct(value)
     return df.agg(count.alias(name))
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.functions.values import check_semantics
+from tandem.functions.values import check_semantics, is_float
+from tandem.operators.aggregates import _operand
 
 # Rows without a key never match in an outer join but still have to be kept; this many
 # extra key values keep them from landing in one task.
@@ -125,7 +126,7 @@ def join_group_total(
     Facts are summed per key before the join: the partial sums combine map-side, so a
     hot key crosses the network as one row per task, and the join reuses the exchange.
     """
-    per_key = facts.groupBy(F.col(fact_key).alias("_fact_key")).agg(F.sum(value).alias("_part"))
+    per_key = facts.groupBy(F.col(fact_key).alias("_fact_key")).agg(F.sum(_operand(facts, value, semantics)).alias("_part"))
     sides = groups.select(F.col(group_key).alias("_group_key"), F.col(group_by).alias(group_by))
     if check_semantics(semantics) == "sql":
         match = sides["_group_key"] == per_key["_fact_key"]
@@ -134,5 +135,7 @@ def join_group_total(
     joined = sides.join(per_key, match, "inner")
     if semantics == "sql":
         return joined.groupBy(group_by).agg(F.sum("_part").alias(total))
-    known = joined.filter(F.col(group_by).isNotNull()).groupBy(group_by)
-    return known.agg(F.coalesce(F.sum("_part"), F.lit(0)).alias(total)).orderBy(group_by)
+    known = joined.filter(F.col(group_by).isNotNull())
+    if is_float(groups.schema[group_by].dataType):
+        known = known.filter(~F.isnan(group_by))
+    return known.groupBy(group_by).agg(F.coalesce(F.sum("_part"), F.lit(0)).alias(total)).orderBy(group_by)

@@ -13,15 +13,19 @@ from tandem.session import settle
 def sort_key(column: str, descending: bool = False, semantics: str = "sql") -> Column:
     """Sort expression with the dialect's null place spelled out.
 
-    SQL puts null above every value, so first when descending; frames put it last in
-    both directions.
+    SQL puts null above every value, so first when descending; frames put it, and NaN
+    with it, last in both directions.
     """
     col = F.col(column)
-    if not descending:
-        return col.asc_nulls_last()
     if check_semantics(semantics) == "sql":
-        return col.desc_nulls_first()
-    return col.desc_nulls_last()
+        return col.desc_nulls_first() if descending else col.asc_nulls_last()
+    known = F.when(~_is_nan(col), col)
+    return known.desc_nulls_last() if descending else known.asc_nulls_last()
+
+
+def _is_nan(col: Column) -> Column:
+    """NaN of a float column; false for every value of other types, text included."""
+    return F.typeof(col).isin("float", "double") & (col.cast("string") == "NaN")
 
 
 def sort_rows(

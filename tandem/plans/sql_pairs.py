@@ -24,7 +24,7 @@ OUTCOME = "pair_id long, passed boolean, result string"
 
 def _matches(spark: SparkSession, case: Mapping) -> bool:
     sides = [
-        positional(normalise(spark.sql(query_only(case[name]))))
+        normalise(positional(spark.sql(query_only(case[name]))))
         for name in ("reference_sql", "candidate_sql")
     ]
     if len(sides[0].columns) != len(sides[1].columns):

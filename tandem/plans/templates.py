@@ -84,17 +84,14 @@ QUERY = {
         "Which of the operations below does this {source_kind} use? List them in the "
         "order they occur, as a JSON array of names and nothing else.\n\n"
         + _OPERATION_LIST
-        + "\n\nA query that keeps some rows, counts them per name and shows the ten "
-        "largest counts would give\n"
-        '["Filtering Rows", "Group By with Aggregation", "Sorting with Aggregation", '
-        '"Limit Rows"]\n\n'
+        + "\n\nA query that joins orders to customers and takes the mean price would give\n"
+        '["Joining Tables", "Finding Averages"]\n\n'
         "{source_kind}:\n{source_query}\n\n```json\n"
     ),
     "rag": (
         "Rewrite this {source_kind} as an equivalent {target_kind}.\n\n"
         "How the two sides write the operations involved:\n[GUIDELINES]\n\n"
-        "Keep data types right (dates above all), keep row labels aligned and use only "
-        "columns the target tables have.\n\n"
+        "Where a way above does not fit the tables below, the tables decide.\n\n"
         "{source_kind}:\n{source_query}\n\n"
         "Tables on the {target_name} side:\n{target_schema}\n\n"
         + _ONLY_CODE + "\n```{fence}\n"
@@ -122,8 +119,7 @@ def _code_domain(noun: str, question_part: str) -> dict[str, str]:
         "intent": ask + question_part + source + target + only,
         "rag_op_identify": (
             f"Which {{target_name}} calls would this {{source_name}} {noun} code need? "
-            "Give at most three, most important first, as a JSON array of quoted names. "
-            "Describe a call in a few words where its name is unknown.\n\n"
+            "Reply with a JSON array of names, three at most.\n\n"
             + source + target + "```json\n"
         ),
         "rag": (

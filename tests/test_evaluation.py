@@ -140,3 +140,10 @@ def test_query_only_rejects_statements(spark):
     for text in ("DROP TABLE x", "INSERT INTO t VALUES (1)", "SELECT 1; DROP TABLE x"):
         with pytest.raises(Exception):
             spark.sql(query_only(text))
+
+
+def test_sql_pairs_with_duplicate_and_odd_names(spark):
+    from tandem.plans.sql_pairs import score_pair
+
+    case = {"pair_id": 1, "reference_sql": "SELECT 1 AS x, 2 AS x", "candidate_sql": "SELECT 1 AS `a``b`, 2 AS c"}
+    assert score_pair(spark, case)[1]

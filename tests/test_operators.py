@@ -191,3 +191,27 @@ def test_number_rows_with_weights(spark):
         start += i % 4
     assert total == start
     assert rows(numbered.select("id", "start")) == sorted(want, key=repr)
+
+
+def test_frames_and_nan(spark):
+    from tandem.operators.aggregates import unique_count
+    from tandem.operators.joins import join_group_total
+    from tandem.operators.ordering import sort_rows
+
+    nan = float("nan")
+    values = spark.createDataFrame([(2.0,), (nan,), (None,), (5.0,)], "v double")
+    for descending, want in ((True, [5.0, 2.0]), (False, [2.0, 5.0])):
+        got = [r["v"] for r in sort_rows(values, "v", descending, "frame").collect()]
+        assert got[:2] == want and all(v is None or v != v for v in got[2:])
+    assert [unique_count(values, "v", semantics=s).first()[0] for s in ("sql", "frame")] == [3, 2]
+    facts = spark.createDataFrame([(1, 2.0), (1, nan), (2, 1.0)], "k int, v double")
+    groups = spark.createDataFrame([(1, 7.0), (2, nan)], "k int, g double")
+    got = join_group_total(facts, "k", "v", groups, "k", "g", "frame").collect()
+    assert [tuple(r) for r in got] == [(7.0, 2.0)]
+
+
+def test_text_nan_is_a_word(spark):
+    from tandem.operators.ordering import sort_rows
+
+    rows = spark.createDataFrame([("a",), ("NaN",), ("z",)], "v string")
+    assert [r["v"] for r in sort_rows(rows, "v", True, "frame").collect()] == ["z", "a", "NaN"]
