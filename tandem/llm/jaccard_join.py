@@ -4,8 +4,9 @@ Shingles are ordered by hash. If two sets overlap enough, the first |x| - requir
 and of the other share m shingles at least. A document starts with m = 1; each shingle of its
 prefix that costs too many candidates (many documents have it) lengthens the prefix by one and
 raises m by one, so that a partner must also share a cheap shingle: only those are joined.
-Documents whose prefix stays dear (groups of very many near copies) are ordered by rarity among
-themselves, joined on what is rare, and the rest collapsed by hubs. Parity bitmaps bound the difference of two sets before the sets themselves are read.
+Documents whose prefix stays dear (groups of very many near copies) are collapsed by hubs; those
+that may still lack a link are ordered by rarity among themselves and joined on what is rare.
+Parity bitmaps bound the difference of two sets before the sets themselves are read.
 """
 
 from __future__ import annotations
@@ -245,12 +246,28 @@ def _whole_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
 def _link_dense(rows: DataFrame, classes: DataFrame, tokens: DataFrame, dense: DataFrame, facts: DataFrame, linker: _Linker) -> None:
     """Links between documents whose prefix is dear at any permitted length.
 
-    Their whole sets are ordered by rarity among themselves. Where the basic prefix is cheap in
-    that order, it is joined. What is left are texts nearly all of whose shingles are common,
-    such as the middle of a large group of near copies: hubs join most of these into one
-    component, and the others are compared by parity bitmaps in blocks of like size.
+    Hubs come first: each dear shingle's documents are compared with a few of them, which makes
+    most groups of near copies one component at the cost of a pair or two a document. Only of
+    documents that may still lack a link the whole sets are ordered by rarity among themselves:
+    where the basic prefix is cheap in that order, it is joined. What is left are texts nearly
+    all of whose shingles are common, such as near copies of one text that are no near copies of
+    each other; these are compared by parity bitmaps in blocks of like size.
     """
-    wanted = stored(classes.join(dense, "rid", "left_semi").select("rid", "sig", "owner"), "near-wanted")
+    left = stored(tokens.where(F.col("docs") > DEAR).join(dense, "rid").select("token", "rid", "n_dear", "reach"), "near-central")
+    for hubs in HUBS:
+        left = _unsettled(left, linker)
+        if left.isEmpty():
+            return
+        # The fullest of each bucket: a text that the others were copied from has the most shared shingles.
+        hub = left.groupBy("token", F.pmod(F.xxhash64("rid"), F.lit(hubs)).alias("bucket")).agg(
+            F.max(F.struct("n_dear", "rid")).alias("hub")).select("token", F.col("hub.rid").alias("hub"))
+        pairs = left.select("token", "rid").join(hub, "token").where("rid <> hub").select(*_ordered("rid", "hub")).distinct()
+        linker.add(_plausible(linker.across(pairs), facts))
+    left = _unsettled(left, linker)
+    if left.isEmpty():
+        return
+
+    wanted = stored(classes.join(left.select("rid").distinct(), "rid", "left_semi").select("rid", "sig", "owner"), "near-wanted")
     each = _sets(rows, wanted).dropDuplicates(["rid"]).select("rid", F.size("set").alias("n"), F.explode("set").alias("token"))
     each = stored(each, "near-dense-tokens")
     common = each.groupBy("token").agg(F.count("*").alias("docs"))
@@ -263,23 +280,18 @@ def _link_dense(rows: DataFrame, classes: DataFrame, tokens: DataFrame, dense: D
     linker.add(_plausible(_meetings(cheap, facts).select("u", "v"), facts))
 
     central = prefixes.where(F.element_at("prefix", -1)["docs"] > DEAR).select("rid")
-    left = stored(tokens.where(F.col("docs") > DEAR).join(dense, "rid").join(central, "rid", "left_semi").select(
-        "token", "rid", "n_dear"), "near-central")
-    for hubs in HUBS:
-        left = _unsettled(left, linker)
-        if left.isEmpty():
-            return
-        # The fullest of each bucket: a text that the others were copied from has the most shared shingles.
-        hub = left.groupBy("token", F.pmod(F.xxhash64("rid"), F.lit(hubs)).alias("bucket")).agg(
-            F.max(F.struct("n_dear", "rid")).alias("hub")).select("token", F.col("hub.rid").alias("hub"))
-        pairs = left.select("token", "rid").join(hub, "token").where("rid <> hub").select(*_ordered("rid", "hub")).distinct()
-        linker.add(_plausible(linker.across(pairs), facts))
-    left = _unsettled(left, linker).groupBy("rid").agg(F.first("root").alias("root")).join(facts, "rid")
+    left = _unsettled(left.join(central, "rid", "left_semi"), linker)
+    left = left.groupBy("rid").agg(F.first("root").alias("root")).join(facts, "rid")
     linker.add(_in_blocks(left))
 
 
 def _unsettled(left: DataFrame, linker: _Linker) -> DataFrame:
-    """Rows (token, rid, n_dear, root) of shingles whose documents are not one component yet."""
+    """Rows (token, rid, n_dear, reach, root) of documents that may lack a link.
+
+    A shingle is open while its documents are not one component. Two dense documents that are
+    linked and have not been compared share more than `reach` dear shingles, all of them open, so
+    a document with no more open ones is settled.
+    """
     left = left.drop("root")
     if linker.roots is None:
         left = left.withColumn("root", F.col("rid"))
@@ -287,8 +299,12 @@ def _unsettled(left: DataFrame, linker: _Linker) -> DataFrame:
         roots = linker.roots.select(F.col("id").alias("rid"), "root")
         left = left.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     left = stored(left, "near-members")
-    open_ = left.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-    return stored(left.join(open_, "token", "left_semi"), "near-unsettled")
+    for _ in range(2):  # settled documents may leave shingles of one component behind
+        open_ = left.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+        left = stored(left.join(open_, "token", "left_semi"), "near-open")
+        able = left.groupBy("rid").agg(F.count("*").alias("open"), F.first("reach").alias("least")).where("open > least").select("rid")
+        left = stored(left.join(able, "rid", "left_semi"), "near-unsettled")
+    return left
 
 
 def _in_blocks(left: DataFrame) -> DataFrame:
@@ -362,6 +378,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     longer = F.size(F.filter("dear", lambda d, i: d["at"] - i < basic))
     matches = stored(matches.withColumn("longer", longer).select(
         "rid", "n", (F.col("longer") > reach).alias("dense"), "longer", basic.alias("basic"), F.size("dear").alias("n_dear"),
+        reach.alias("reach"), F.least(F.lit(LONGEST), required - 1).alias("extra"),
         F.transform("dear", lambda d: d["token"]).alias("dear")), "near-matches")
 
     # Cheap shingles have few documents, compared by bitmap. A prefix ends where its cheap shingles suffice.
@@ -371,14 +388,14 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     pairs = _meetings(cheap.select("token", "rid"), facts)
     for side in ("u", "v"):
         pairs = pairs.join(matches.select(
-            F.col("rid").alias(side), F.when(F.col("dense"), F.lit(LONGEST)).otherwise(F.col("longer")).alias(f"more_{side}"),
+            F.col("rid").alias(side), F.when(F.col("dense"), F.col("extra")).otherwise(F.col("longer")).alias(f"more_{side}"),
             F.when(F.col("longer") > 0, F.col("dear")).alias(f"dear_{side}")), side)
     dear_met = F.coalesce(F.size(F.array_intersect("dear_u", "dear_v")), F.lit(0))
     enough = (F.least("more_u", "more_v") == 0) | (F.col("met") + F.greatest(dear_met, F.lit(0)) > F.least("more_u", "more_v", F.lit(LONGEST)))
     linker = _Linker(rows, classes)
     linker.add(_plausible(pairs.where(enough).select("u", "v"), facts))
 
-    dense = stored(matches.where("dense").select("rid", "n_dear"), "near-dense")
+    dense = stored(matches.where("dense").select("rid", "n_dear", "reach"), "near-dense")
     if not dense.isEmpty():
         _link_dense(rows, classes, tokens, dense, facts, linker)
 
