@@ -28,6 +28,7 @@ DEAR = 32        # documents with a shingle in their prefix from which the shing
 LONGEST = 24     # most shingles by which a prefix is lengthened
 HUBS = (1, 4)    # hubs per dear shingle, by round
 BLOCK = 1_000    # bitmaps compared at once
+PARITY_SERVES = 256  # shingles up to which the bitmap of 1,024 bits tells sets apart
 _PARITY_LONGS = 16
 
 
@@ -125,6 +126,36 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(small_enough(wanted.select("rid", "sig"), 32), "sig").select("rid", "set")
 
 
+def _wide_parity(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rid and wide: parity bitmaps of 4 to 8 bits a shingle, for the sets in `wanted` (rid, sig, owner)."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            value, first = shingle_sets(*byte_arrays(batch.column("text")))
+            spread, n = mix(value), np.diff(first)
+            long = np.flatnonzero(n > PARITY_SERVES)
+            sigs, maps = [], []
+            for a, b in zip(first[long].tolist(), first[long + 1].tolist()):
+                own = spread[a:b]
+                width = 1 << int(4 * (b - a) - 1).bit_length()
+                bits = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                maps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                sigs.append(_signature(own))
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(maps, pa.list_(pa.int64()))], ["sig", "wide"])
+
+    owners = wanted.select("owner").distinct()
+    texts = rows.join(small_enough(owners, 8), "owner", "left_semi").select("text")
+    found = texts.mapInArrow(read, "sig binary, wide array<long>")
+    return found.join(small_enough(wanted.select("rid", "sig"), 32), "sig").select("rid", "wide").dropDuplicates(["rid"])
+
+
+def _signature(spread: np.ndarray) -> bytes:
+    """128 bits of one whole set, as `_profiles` has them."""
+    sums = np.array([spread.sum(dtype=np.uint64), mix(spread + np.uint64(1)).sum(dtype=np.uint64)], np.uint64)
+    sums[1] += np.uint64(len(spread))
+    return sums.tobytes()
+
+
 def _difference(a: str, b: str) -> Column:
     """At most the number of shingles in one set only."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -157,6 +188,29 @@ class _Linker:
         union = F.size("set_u") + F.size("set_v") - shared
         return pairs.where(100 * shared >= PERCENT * union).select("u", "v")
 
+    def _wanted(self, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
+        return stored(self.classes.join(ends, "rid", "left_semi").select("rid", "sig", "owner", "n"), "near-wanted")
+
+    def _told_apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that bitmaps in proportion to the sets allow too; these are far shorter than the sets."""
+        wanted = self._wanted(pairs).where(F.col("n") > PARITY_SERVES)
+        wide = stored(_wide_parity(self.rows, wanted), "near-wide")
+        sizes = self.classes.select("rid", "n")
+        for side in ("u", "v"):
+            own = wide.select(F.col("rid").alias(side), F.col("wide").alias(f"w_{side}"))
+            pairs = pairs.join(own, side, "left").join(sizes.select(F.col("rid").alias(side), F.col("n").alias(f"n_{side}")), side)
+        # Widths are powers of two; the wider one folds onto the other as linked sets are of like size.
+        both, narrow = F.col("w_u").isNotNull() & F.col("w_v").isNotNull(), F.least(F.size("w_u"), F.size("w_v"))
+        for side in ("u", "v"):
+            w = F.col(f"w_{side}")
+            folded = F.zip_with(F.slice(w, F.lit(1), narrow), F.slice(w, narrow + 1, narrow), lambda x, y: x.bitwiseXOR(y))
+            pairs = pairs.withColumn(f"f_{side}", F.when(both & (F.size(w) > narrow), folded).otherwise(w))
+        apart = F.greatest("apart", F.when(both, _difference("f_u", "f_v")))
+        pairs = pairs.select("u", "v", "n_u", "n_v", apart.alias("apart"))
+        return stored(pairs.where((100 + PERCENT) * F.col("apart") <= (100 - PERCENT) * (F.col("n_u") + F.col("n_v"))).select(
+            "u", "v", "apart"), "near-told")
+
     def _add(self, links: DataFrame) -> None:
         links = stored(links, "near-links")
         self.links = links if self.links is None else self.links.unionByName(links)
@@ -176,9 +230,8 @@ class _Linker:
         pairs = stored(pairs, "near-pairs")
         if pairs.isEmpty():
             return
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
-        wanted = stored(self.classes.join(ends, "rid", "left_semi").select("rid", "sig", "owner"), "near-wanted")
-        sets = stored(_sets(self.rows, wanted).dropDuplicates(["rid"]), "near-sets")
+        pairs = self._told_apart(pairs)
+        sets = stored(_sets(self.rows, self._wanted(pairs)).dropDuplicates(["rid"]), "near-sets")
         nearest = pairs.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select("best.u", "v")
         self._add(self._confirmed(nearest, sets))
         rest = stored(self.across(pairs).select("u", "v"), "near-rest")

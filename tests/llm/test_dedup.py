@@ -129,6 +129,7 @@ def components_of(rows):
 def test_near_components(mixed_docs, mixed_rows, monkeypatch, dear, longest):
     monkeypatch.setattr(jaccard_join, "DEAR", dear)
     monkeypatch.setattr(jaccard_join, "LONGEST", longest)
+    monkeypatch.setattr(jaccard_join, "PARITY_SERVES", 16 if dear < 32 else 256)
     sets, group, least = components_of(mixed_rows)
     want = Counter((i, len(s), None if least[g] == LAST_OWNER else least[g]) for (i, _), s, g in zip(mixed_rows, sets, group))
     assert bag(jaccard_join.near_components(mixed_docs), "doc_id", "n_shingles", "component_id") == want
