@@ -272,6 +272,9 @@ PAIRS = [
 
 def _pair_sql(at: int, reference: str, candidate: str) -> str:
     """DuckDB's verdict for the pairs that run: no row left over on either side."""
+    if "ORDER BY" in reference:  # one sort column, the first: its values must come in the same order
+        return f"""SELECT CAST({at} AS BIGINT) AS pair_id, (SELECT list(COLUMNS(*)) FROM ({reference}))
+            = (SELECT list(COLUMNS(*)) FROM ({candidate})) AS passed"""
     return f"""SELECT CAST({at} AS BIGINT) AS pair_id, NOT EXISTS (
         (SELECT * FROM ({reference}) EXCEPT ALL SELECT * FROM ({candidate})) UNION ALL
         (SELECT * FROM ({candidate}) EXCEPT ALL SELECT * FROM ({reference}))) AS passed"""
@@ -292,3 +295,20 @@ def _(spark, d):
     ]
     scored = score_pairs(spark, d, ["orders", "customer", "nation", "lineitem"], texts, seconds=600)
     return scored.select("pair_id", "passed", E.classify(F.col("result")).alias("kind"))
+
+
+ORDERED = [
+    # One column each, so that equal lists are equal results, ties included.
+    ("SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC", "SELECT o_totalprice FROM orders ORDER BY 1 DESC", None),
+    ("SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC", "SELECT o_totalprice FROM orders ORDER BY 1", None),
+    ("SELECT o_totalprice FROM orders ORDER BY o_totalprice", "SELECT o_totalprice FROM orders", None),
+    ("SELECT o_orderpriority FROM orders ORDER BY 1", "SELECT o_orderpriority AS p FROM orders ORDER BY p, o_orderkey DESC", None),
+    ("SELECT n_name FROM nation ORDER BY n_name", "SELECT n_name FROM nation ORDER BY n_regionkey, n_name", None),
+]
+
+
+@query("e13_sql_pair_ordered", " UNION ALL ".join(_pair_sql(i, r, c) for i, (r, c, _) in enumerate(ORDERED)))
+def _(spark, d):
+    """Reversed, missing and other orders fail; equal orders and ties pass."""
+    texts = [{"pair_id": i, "reference_sql": r, "candidate_sql": c} for i, (r, c, _) in enumerate(ORDERED)]
+    return score_pairs(spark, d, ["orders", "nation"], texts, seconds=600).select("pair_id", "passed")

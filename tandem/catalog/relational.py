@@ -529,3 +529,36 @@ def _(spark, d):
     out = table(spark, d, "embeddings").select(
         "vec_id", F.posexplode(V.affine(a, 2.0, 1.0)).alias("pos", "value"))
     return out.select("vec_id", "pos", F.round("value", 9).alias("value"))
+
+
+# -- NaN in frames -----------------------------------------------------------------------
+
+SQL_KNOWN = f"(SELECT *, CASE WHEN NOT isnan(reading) THEN reading END AS known FROM {SQL_READING})"
+
+
+@query("r10_sort_desc_frame_nan", f"""
+    SELECT l_orderkey, l_linenumber, reading, row_number() OVER (
+      ORDER BY known DESC NULLS LAST, l_orderkey, l_linenumber) - 1 AS position FROM {SQL_KNOWN}""")
+def _(spark, d):
+    """The position makes the order itself part of the result: NaN and null come last."""
+    rows = _readings(spark, d).select("l_orderkey", "l_linenumber", "reading")
+    order = [O.sort_key("reading", True, "frame"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return O.number_rows(rows, order)[0]
+
+
+@query("r09_filter_group_agg_frame", f"""
+    SELECT kind, CAST(sum(p_size) AS BIGINT) AS total FROM {SQL_PART} WHERE p_size < 25 AND kind IS NOT NULL GROUP BY kind""")
+def _(spark, d):
+    return A.group_total(_part(spark, d).filter(F.col("p_size") < 25), "kind", "p_size", "frame")
+
+
+@query("r13_count_distinct_frame", f"SELECT count(DISTINCT known) AS n_unique FROM {SQL_KNOWN}")
+def _(spark, d):
+    return A.unique_count(_readings(spark, d), "reading", semantics="frame")
+
+
+@query("r30_join_agg_frame_nan", f"""
+    SELECT kind, coalesce(sum(known), 0) AS total FROM {SQL_KNOWN} JOIN {SQL_PART} ON l_partkey = p_partkey
+    WHERE kind IS NOT NULL GROUP BY kind""")
+def _(spark, d):
+    return J.join_group_total(_readings(spark, d), "l_partkey", "reading", _part(spark, d), "p_partkey", "kind", "frame")

@@ -204,6 +204,16 @@ def _(spark, d):
     SELECT l.item_id AS item_id, coalesce(text, '') AS guidelines
     FROM {SQL_LISTS} l LEFT JOIN {SQL_TEXTS} t ON l.item_id = t.item_id""")
 def _(spark, d):
-    """The way taken when the guide is too large to travel inside the plan."""
-    out = R.add_guidelines(operation_lists(spark, d), guide(spark, d), "item_id", "response", inline=False)
+    """The lookup alone."""
+    out = R.add_guidelines(operation_lists(spark, d), guide(spark, d), "item_id", "response")
     return out.select("item_id", "guidelines")
+
+
+@query("p20_rag_lookup_repeated_ids", f"""
+    SELECT CASE WHEN l.item_id % 3 > 0 THEN l.item_id % 7 END AS item_id, coalesce(text, '') AS guidelines
+    FROM {SQL_LISTS} l LEFT JOIN {SQL_TEXTS} t ON l.item_id = t.item_id""")
+def _(spark, d):
+    """Repeated and null item ids: each row has the text of its own list."""
+    lists = operation_lists(spark, d).withColumn(
+        "item_id", F.when(F.col("item_id") % 3 > 0, F.col("item_id") % 7))
+    return R.add_guidelines(lists, guide(spark, d), "item_id", "response").select("item_id", "guidelines")

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tandem.functions.text import parse_operations, strip_space
 
-# A guide up to this many rows is carried inside the plan as one map; a larger one is
-# joined. Both ways give the same rows.
-INLINE_GUIDE_ROWS = 512
+# Copies of each guide entry, so that a very frequent operation is looked up in many tasks.
+SPREAD = 16
 
 # Vectors per block in nearest-neighbour search: a block of 1,000 floats is 8 MB.
 BLOCK_ROWS = 2048
@@ -44,10 +43,14 @@ def keyword_join(operations: DataFrame, guide: DataFrame, name: str = "operation
     """Operations with their guide entry; names the guide lacks drop out.
 
     The guide has one row per key after `first_entries`, so a hot operation never
-    multiplies; AQE splits its rows if the guide is too large to broadcast.
+    multiplies. Rows of one operation go by `SPREAD` extra key values unless Spark
+    broadcasts the guide, so a hot one is no single task.
     """
-    keyed = operations.withColumn("match_key", match_key(F.col(name)))
-    return keyed.join(first_entries(guide), "match_key").drop("match_key")
+    keyed = operations.withColumn("match_key", match_key(F.col(name))).withColumn(
+        "_spread", F.pmod(F.xxhash64(*operations.columns), F.lit(SPREAD)))
+    entries = first_entries(guide).withColumn(
+        "_spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return keyed.join(entries, ["match_key", "_spread"]).drop("match_key", "_spread")
 
 
 def last_by_name(hits: DataFrame, item: str, name: str, value: Column, position: str) -> DataFrame:
@@ -115,60 +118,29 @@ def attach_intents(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     return prompts.join(found, keys, "left").withColumn("prompt", filled).drop("_text")
 
 
-def _fits_inline(guide: DataFrame) -> bool:
-    return guide.limit(INLINE_GUIDE_ROWS + 1).count() <= INLINE_GUIDE_ROWS
-
-
 def add_guidelines(
-    df: DataFrame, guide: DataFrame, item: str, response: str, name: str = "guidelines",
-    inline: bool | None = None,
+    df: DataFrame, guide: DataFrame, item: str, response: str, name: str = "guidelines"
 ) -> DataFrame:
-    """Numbered guide text for each row's operation list.
+    """Numbered guide text for each row's operation list; empty where nothing is found.
 
-    A guide of checked size becomes one map that every row looks its names up in:
-    no shuffle at all. A larger guide goes through explode, join and regrouping.
-    `guide` has columns line_no, operation, postgreSQL, pandas.
+    The text depends on the list alone, so each different list is looked up once and its
+    text joined back by the list: item ids may be null or repeated, and a guide of any size
+    gives the same rows. `guide` has columns line_no, operation, postgreSQL, pandas.
     """
-    if inline is None:
-        inline = _fits_inline(guide)
-    if not inline:
-        hits = keyword_join(explode_operations(df, item, response), guide)
-        named = hits.select(
-            item, "position",
-            F.struct(
-                F.col("entry.operation").alias("name"),
-                F.col("entry.postgreSQL").alias("sql"),
-                F.col("entry.pandas").alias("frame"),
-            ).alias("e"),
-        ).withColumn("name", F.col("e.name"))
-        single = last_by_name(named, item, "name", F.col("e"), "position")
-        texts = numbered_list(single, item, "position", F.col("value"), "guide")
-        return df.join(texts.withColumnRenamed("text", name), item, "left").withColumn(
-            name, F.coalesce(F.col(name), F.lit(""))
-        )
-    book = first_entries(guide).agg(
-        F.map_from_entries(
-            F.collect_list(
-                F.struct(
-                    F.col("match_key"),
-                    F.struct(
-                        F.col("entry.operation").alias("name"),
-                        F.col("entry.postgreSQL").alias("sql"),
-                        F.col("entry.pandas").alias("frame"),
-                    ),
-                )
-            )
-        ).alias("book")
-    )
-    keys = F.transform(parse_operations(F.col(response)), match_key)
-    # Keys that differ only in case or white space lead to one entry; entries that
-    # share a name keep the first place and, as entries are keyed by name, one value.
-    found = F.array_distinct(F.array_compact(F.transform(keys, lambda k: F.try_element_at(F.col("_book"), k))))
-    return (
-        df.withColumn("_book", book.scalar())
-        .withColumn(name, F.coalesce(join_entries(found, "guide"), F.lit("")))
-        .drop("_book")
-    )
+    lists = df.select(F.col(response).alias("_list")).where(F.col("_list").isNotNull()).distinct()
+    hits = keyword_join(explode_operations(lists, "_list", "_list"), guide)
+    named = hits.select(
+        "_list", "position",
+        F.struct(
+            F.col("entry.operation").alias("name"),
+            F.col("entry.postgreSQL").alias("sql"),
+            F.col("entry.pandas").alias("frame"),
+        ).alias("e"),
+    ).withColumn("name", F.col("e.name"))
+    single = last_by_name(named, "_list", "name", F.col("e"), "position")
+    texts = numbered_list(single, "_list", "position", F.col("value"), "guide").withColumnRenamed("text", name)
+    found = df.join(texts, F.col(response) == F.col("_list"), "left").drop("_list")
+    return found.withColumn(name, F.coalesce(F.col(name), F.lit("")))
 
 
 def _block_counts(df: DataFrame, group: str, block_rows: int) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tandem.operators.ordering import number_rows
 from tandem.plans.evaluation import (
-    MISMATCH, TIMED_OUT, align_types, differing_rows, differing_runs, normalise, positional,
+    MISMATCH, TIMED_OUT, align_types, differing_rows, normalise, positional,
 )
 from tandem.sources.tables import query_only, register_views
 
@@ -22,22 +24,67 @@ PAIRS_AT_ONCE = 8
 OUTCOME = "pair_id long, passed boolean, result string"
 
 
+def order_items(sql: str) -> list[str]:
+    """Sort items of the statement's own ORDER BY, none if it has none.
+
+    Sub-queries, calls and quoted texts are blanked first, so theirs do not count.
+    """
+    text = re.sub(r"'(?:[^']|\'\')*'", "''", sql)
+    while (shorter := re.sub(r"\([^()]*\)", " _ ", text)) != text:
+        text = shorter
+    found = re.search(r"(?is)\border\s+by\b(.*?)(?:\blimit\b.*|\boffset\b.*|;\s*)?$", text)
+    return [item.strip() for item in found[1].split(",")] if found else []
+
+
+def order_columns(items: list[str], names: list[str]) -> list[Column]:
+    """Sort items by place or output name as keys over `_c0`, `_c1`, ...; Spark's null places."""
+    keys = []
+    lowered = [n.lower() for n in names]
+    for item in items:
+        parts = re.fullmatch(r"(?is)(.+?)(?:\s+(asc|desc))?(?:\s+nulls\s+(first|last))?", item)
+        word, down = parts[1].strip("`\" ").lower(), (parts[2] or "").lower() == "desc"
+        at = int(word) - 1 if word.isdigit() else lowered.index(word.split(".")[-1]) if word.split(".")[-1] in lowered else None
+        if at is None:
+            raise ValueError(f"give order_by: {item} is no output column of the reference")
+        nulls_first = parts[3].lower() == "first" if parts[3] else not down
+        col = F.col(f"_c{at}")
+        keys.append((col.desc_nulls_first() if nulls_first else col.desc_nulls_last()) if down
+                    else (col.asc_nulls_first() if nulls_first else col.asc_nulls_last()))
+    return keys
+
+
+def _comes_in(rows: DataFrame, places: list[int], keys: list[Column]) -> bool:
+    """Whether rows (with `_id` rising as they come out) come out in the order of `keys`.
+
+    Rows with equal keys are one range of ids; the ranges, in order, must not overlap.
+    """
+    ranges = rows.groupBy(*[f"_c{p}" for p in places]).agg(F.min("_id").alias("_from"), F.max("_id").alias("_to"))
+    placed = number_rows(ranges, keys, "_at")[0]
+    after = placed.select((F.col("_at") - 1).alias("_at"), F.col("_from").alias("_next"))
+    return placed.join(after, "_at").where("_to >= _next").isEmpty()
+
+
 def _matches(spark: SparkSession, case: Mapping) -> bool:
-    sides = [
-        normalise(positional(spark.sql(query_only(case[name]))))
-        for name in ("reference_sql", "candidate_sql")
-    ]
+    raw = [spark.sql(query_only(case[name])) for name in ("reference_sql", "candidate_sql")]
+    sides = [normalise(positional(df)) for df in raw]
     if len(sides[0].columns) != len(sides[1].columns):
         return False
-    left, right = align_types(*sides)
-    places = case.get("order_by")
-    if not places:
-        return differing_rows(left, right).isEmpty()
-    order = [
-        F.col(f"_c{abs(p) - 1}").asc_nulls_last() if p > 0 else F.col(f"_c{-p - 1}").desc_nulls_first()
-        for p in places
-    ]
-    return differing_runs(left, right, order, order).isEmpty()
+    if not differing_rows(*align_types(*sides)).isEmpty():
+        return False
+    items = order_items(case["reference_sql"])
+    if not items:
+        return True
+    if not order_items(case["candidate_sql"]):
+        return False
+    if case.get("order_by"):
+        items = [f"{abs(p)} {'desc' if p < 0 else 'asc'}" for p in case["order_by"]]
+    keys = order_columns(items, raw[0].columns)
+    names = [c.lower() for c in raw[0].columns]
+    places = list(dict.fromkeys(
+        int(w) - 1 if w.isdigit() else names.index(w)
+        for w in (i.split()[0].strip("`\"").lower().split(".")[-1] for i in items)))
+    # The candidate's rows in its own order: a sorted result has rising ids from end to end.
+    return _comes_in(positional(raw[1]).withColumn("_id", F.monotonically_increasing_id()), places, keys)
 
 
 def score_pair(spark: SparkSession, case: Mapping, seconds: float = TIME_LIMIT) -> tuple:
@@ -86,8 +133,10 @@ def score_pairs(
 ) -> DataFrame:
     """One row per trusted pair: pair_id, passed, result.
 
-    A case has pair_id, reference_sql, candidate_sql and, where order counts, order_by:
-    1-based column places, negative for descending. Only SELECT text runs. Each pair is
+    A case has pair_id, reference_sql and candidate_sql. Order counts where the reference has an
+    ORDER BY of its own: the candidate must have one too, and its rows must come out in the
+    reference's order, ties aside. `order_by` (1-based places, negative for descending) names that
+    order where it is no list of output columns. Only SELECT text runs. Each pair is
     a distributed job that returns a single bit; the driver holds texts and outcomes.
     """
     register_views(spark, folder, tables)

@@ -59,7 +59,8 @@ def count_distinct_values(df: DataFrame) -> DataFrame:
 
     Columns of one type become (ordinal, value) rows and are regrouped with partial
     combining, so a value that fills a third of a column travels once per task, and no
-    row carries other columns along. Long texts are grouped by their SHA-256.
+    row carries other columns along. Long texts are grouped by their SHA-256,
+    marked so that no short text equals it.
     """
     parts = []
     for kind, columns in _by_kind(df).items():
@@ -67,7 +68,7 @@ def count_distinct_values(df: DataFrame) -> DataFrame:
         for at, name, _ in columns:
             key = f"CAST(`{name}` AS {kind})"
             if kind == "string":
-                key = f"IF(length(`{name}`) > 64, sha2(`{name}`, 256), `{name}`)"
+                key = f"IF(length(`{name}`) > 64, concat('#', sha2(`{name}`, 256)), concat('=', `{name}`))"
             cells.append(f"struct({at}L AS ordinal, {key} AS key)")
         values = df.selectExpr(f"inline(array({', '.join(cells)}))").filter("key IS NOT NULL")
         counts = values.distinct().groupBy("ordinal").agg(F.expr("count(1) AS n_distinct"))

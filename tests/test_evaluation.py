@@ -114,7 +114,9 @@ def test_accuracy_roll_up(spark):
 def test_sql_pairs(spark):
     cases = [
         ("SELECT 1", "SELECT 1.0", None, True, "correct"),
-        ("SELECT o_orderkey FROM orders ORDER BY 1", "SELECT o_orderkey FROM orders ORDER BY 1 DESC;", None, True, "correct"),
+        ("SELECT o_orderkey FROM orders ORDER BY 1", "SELECT o_orderkey FROM orders ORDER BY 1 DESC;", None, False, E.MISMATCH),
+        ("SELECT n_regionkey r, n_name FROM nation ORDER BY r", "SELECT n_regionkey, n_name FROM nation ORDER BY 1, 2 DESC", None, True, "correct"),
+        ("SELECT n_regionkey FROM nation ORDER BY 1", "SELECT n_regionkey FROM nation", None, False, E.MISMATCH),
         ("SELECT '1'", "SELECT 1", None, False, E.MISMATCH),
         ("SELECT n_name, n_nationkey FROM nation", "SELECT n_name, n_nationkey FROM nation", [1, -2], True, "correct"),
         ("SELECT 1", "CREATE TABLE t (x INT)", None, False, "Execution failed:"),
@@ -124,7 +126,7 @@ def test_sql_pairs(spark):
     got = {r["pair_id"]: r for r in score_pairs(spark, FOLDER, ["orders", "nation"], texts).collect()}
     for i, (_, _, _, passed, result) in enumerate(cases):
         assert got[i]["passed"] is passed and got[i]["result"].startswith(result)
-    assert "bad cell" in got[5]["result"]
+    assert "bad cell" in got[7]["result"]
 
 
 def test_slow_pair_times_out_alone(spark):

@@ -42,7 +42,7 @@ ANSWERS = [
 ]
 
 
-def test_guidelines_inline_and_joined(spark):
+def test_guidelines(spark):
     guide = spark.createDataFrame(GUIDE, "line_no long, operation string, postgreSQL string, pandas string")
     answers = spark.createDataFrame(ANSWERS, "item_id long, response string")
     entry = lambda n, name, sql, frame: f"{n}. {name}:\nPostgreSQL Solution: {sql}\nPandas Solution: {frame}"
@@ -51,17 +51,34 @@ def test_guidelines_inline_and_joined(spark):
         2: "", 3: "", 5: "",
         4: entry(1, "Row Count", "COUNT(*)", "shape[0]") + "\n\n" + entry(2, "Left Join", "LEFT JOIN", "merge"),
     }
-    for inline in (True, False, None):
-        out = R.add_guidelines(answers, guide, "item_id", "response", inline=inline)
-        assert {r["item_id"]: r["guidelines"] for r in out.collect()} == want
+    out = R.add_guidelines(answers, guide, "item_id", "response")
+    assert {r["item_id"]: r["guidelines"] for r in out.collect()} == want
 
 
-def test_inline_lookup_does_not_shuffle_the_rows(spark, capsys):
+def test_each_row_has_the_text_of_its_own_list_whatever_the_guide_size(spark):
+    answers = spark.createDataFrame([(1, '["A"]'), (1, '["B"]'), (None, '["A"]'), (None, None)], "item_id long, response string")
+    texts = []
+    for size in (512, 513):
+        rows = [(1, "A", "sa", "pa"), (2, "B", "sb", "pb"), *((i, f"op{i}", "s", "p") for i in range(3, size + 1))]
+        guide = spark.createDataFrame(rows, "line_no long, operation string, postgreSQL string, pandas string")
+        out = R.add_guidelines(answers, guide, "item_id", "response").collect()
+        texts.append(sorted((str(r["item_id"]), str(r["response"]), r["guidelines"]) for r in out))
+    a, b = ("1. A:\nPostgreSQL Solution: sa\nPandas Solution: pa", "1. B:\nPostgreSQL Solution: sb\nPandas Solution: pb")
+    assert texts[0] == texts[1] == [("1", '["A"]', a), ("1", '["B"]', b), ("None", "None", ""), ("None", '["A"]', a)]
+
+
+def test_a_hot_operation_goes_to_several_tasks(spark):
     guide = spark.createDataFrame(GUIDE, "line_no long, operation string, postgreSQL string, pandas string")
-    answers = spark.createDataFrame(ANSWERS, "item_id long, response string")
-    R.add_guidelines(answers, guide, "item_id", "response", inline=True).explain()
-    main = capsys.readouterr().out.split("Subquery")[0]
-    assert "Exchange" not in main and "Join" not in main
+    hot = spark.range(1000).select("id", F.lit("sorting").alias("operation"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = R.keyword_join(hot, guide).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) < 600
 
 
 def test_last_value_first_position(spark):
