@@ -17,6 +17,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by `stored` that no later step reads any more.
+
+    A lost executor needs none of them again: whatever was made of them is stored itself.
+    """
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_enough(df: DataFrame, width: Column | int) -> DataFrame:
     """`df`, marked for broadcast if rows times `width` bytes are proven to be few."""
     size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tandem.llm.anchors import LAST_OWNER
 from tandem.llm.components import components
-from tandem.llm.frames import small_enough, stored, text_bytes, text_key
+from tandem.llm.frames import discard, small_enough, stored, text_bytes, text_key
 from tandem.llm.text import byte_arrays, grams, lowered, mix, slices, whole, word_bounds, word_hashes
 
 SHINGLE = 3
@@ -194,8 +194,8 @@ class _Linker:
 
     def _told_apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs that bitmaps in proportion to the sets allow too; these are far shorter than the sets."""
-        wanted = self._wanted(pairs).where(F.col("n") > PARITY_SERVES)
-        wide = stored(_wide_parity(self.rows, wanted), "near-wide")
+        wanted = self._wanted(pairs)
+        wide = stored(_wide_parity(self.rows, wanted.where(F.col("n") > PARITY_SERVES)), "near-wide")
         sizes = self.classes.select("rid", "n")
         for side in ("u", "v"):
             own = wide.select(F.col("rid").alias(side), F.col("wide").alias(f"w_{side}"))
@@ -208,8 +208,10 @@ class _Linker:
             pairs = pairs.withColumn(f"f_{side}", F.when(both & (F.size(w) > narrow), folded).otherwise(w))
         apart = F.greatest("apart", F.when(both, _difference("f_u", "f_v")))
         pairs = pairs.select("u", "v", "n_u", "n_v", apart.alias("apart"))
-        return stored(pairs.where((100 + PERCENT) * F.col("apart") <= (100 - PERCENT) * (F.col("n_u") + F.col("n_v"))).select(
+        told = stored(pairs.where((100 + PERCENT) * F.col("apart") <= (100 - PERCENT) * (F.col("n_u") + F.col("n_v"))).select(
             "u", "v", "apart"), "near-told")
+        discard(wanted, wide)
+        return told
 
     def _add(self, links: DataFrame) -> None:
         links = stored(links, "near-links")
@@ -230,13 +232,15 @@ class _Linker:
         pairs = stored(pairs, "near-pairs")
         if pairs.isEmpty():
             return
-        pairs = self._told_apart(pairs)
-        sets = stored(_sets(self.rows, self._wanted(pairs)).dropDuplicates(["rid"]), "near-sets")
-        nearest = pairs.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select("best.u", "v")
+        told = self._told_apart(pairs)
+        wanted = self._wanted(told)
+        sets = stored(_sets(self.rows, wanted).dropDuplicates(["rid"]), "near-sets")
+        nearest = told.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select("best.u", "v")
         self._add(self._confirmed(nearest, sets))
-        rest = stored(self.across(pairs).select("u", "v"), "near-rest")
+        rest = stored(self.across(told).select("u", "v"), "near-rest")
         if not rest.isEmpty():
             self._add(self._confirmed(rest, sets))
+        discard(pairs, told, wanted, sets, rest)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -296,8 +300,8 @@ def _whole_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
         yield tuple(held)
 
 
-def _link_dense(rows: DataFrame, classes: DataFrame, tokens: DataFrame, dense: DataFrame, facts: DataFrame, linker: _Linker) -> None:
-    """Links between documents whose prefix is dear at any permitted length.
+def _link_dense(rows: DataFrame, classes: DataFrame, left: DataFrame, facts: DataFrame, linker: _Linker) -> None:
+    """Links between documents whose prefix is dear at any permitted length; `left`: their dear shingles.
 
     Hubs come first: each dear shingle's documents are compared with a few of them, which makes
     most groups of near copies one component at the cost of a pair or two a document. Only of
@@ -306,7 +310,6 @@ def _link_dense(rows: DataFrame, classes: DataFrame, tokens: DataFrame, dense: D
     all of whose shingles are common, such as near copies of one text that are no near copies of
     each other; these are compared by parity bitmaps in blocks of like size.
     """
-    left = stored(tokens.where(F.col("docs") > DEAR).join(dense, "rid").select("token", "rid", "n_dear", "reach"), "near-central")
     for hubs in HUBS:
         left = _unsettled(left, linker)
         if left.isEmpty():
@@ -331,6 +334,7 @@ def _link_dense(rows: DataFrame, classes: DataFrame, tokens: DataFrame, dense: D
     cheap = prefixes.select("rid", F.explode("prefix").alias("p")).where(F.col("p.docs").between(2, DEAR)).select(
         F.col("p.token").alias("token"), "rid")
     linker.add(_plausible(_meetings(cheap, facts).select("u", "v"), facts))
+    discard(wanted, each)
 
     central = prefixes.where(F.element_at("prefix", -1)["docs"] > DEAR).select("rid")
     left = _unsettled(left.join(central, "rid", "left_semi"), linker)
@@ -354,9 +358,11 @@ def _unsettled(left: DataFrame, linker: _Linker) -> DataFrame:
     left = stored(left, "near-members")
     for _ in range(2):  # settled documents may leave shingles of one component behind
         open_ = left.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-        left = stored(left.join(open_, "token", "left_semi"), "near-open")
-        able = left.groupBy("rid").agg(F.count("*").alias("open"), F.first("reach").alias("least")).where("open > least").select("rid")
-        left = stored(left.join(able, "rid", "left_semi"), "near-unsettled")
+        still = stored(left.join(open_, "token", "left_semi"), "near-open")
+        able = still.groupBy("rid").agg(F.count("*").alias("open"), F.first("reach").alias("least")).where("open > least").select("rid")
+        kept = stored(still.join(able, "rid", "left_semi"), "near-unsettled")
+        discard(left, still)
+        left = kept
     return left
 
 
@@ -448,9 +454,11 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     linker = _Linker(rows, classes)
     linker.add(_plausible(pairs.where(enough).select("u", "v"), facts))
 
-    dense = stored(matches.where("dense").select("rid", "n_dear", "reach"), "near-dense")
-    if not dense.isEmpty():
-        _link_dense(rows, classes, tokens, dense, facts, linker)
+    dense = matches.where("dense").select("rid", "n_dear", "reach")
+    central = stored(tokens.where(F.col("docs") > DEAR).join(dense, "rid").select("token", "rid", "n_dear", "reach"), "near-central")
+    discard(tokens, matches)
+    if not central.isEmpty():
+        _link_dense(rows, classes, central, facts, linker)
 
     named = classes.select("rid", "sig", "owner", "copies")
     if linker.roots is not None:
