@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tandem.llm.frames import small_enough, stored, text_bytes, text_key
+from tandem.llm.frames import discard, small_enough, stored, text_bytes, text_key
 from tandem.llm.text import anchored_runs, byte_arrays, byte_hashes, slices, word_bounds, word_hashes
 
 PARTITION_BYTES = 1 << 20  # of segments dealt to one partition, on average
@@ -72,6 +72,7 @@ def repeated_windows(rows: DataFrame, window: int, gram: int, words: bool, kerne
     each = found.select("class_key", F.posexplode("anchors").alias("no", "anchor"))
     shared = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-shared")
     wanted = stored(each.join(shared, "anchor", "left_semi").groupBy("class_key").agg(F.collect_list("no").alias("nos")), "repeat-wanted")
+    discard(found, shared)
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -100,6 +101,7 @@ def repeated_windows(rows: DataFrame, window: int, gram: int, words: bool, kerne
     cut = one.join(small_enough(wanted, width), "class_key").select("class_key", "owner", "text", "nos").mapInArrow(
         segments, "class_key binary, owner long, start long, windows long, anchor long, body binary")
     cut = stored(cut.withColumn("segment", F.unhex(F.md5("body"))), "repeat-segments")
+    discard(wanted)
     different = cut.groupBy("segment", "anchor").agg(
         F.count("*").alias("n"), F.min("owner").alias("owner"), F.first("body").alias("body"))
     different = stored(different, "repeat-different")
@@ -121,6 +123,7 @@ def repeated_windows(rows: DataFrame, window: int, gram: int, words: bool, kerne
     parts = max(1, -(-total // PARTITION_BYTES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     facts = stored(different.repartition(parts, "anchor").select("segment", "n", "owner", "body").mapInArrow(
         repeats, "segment binary, first_owner long, runs array<int>"), "repeat-runs")
+    discard(different)
     places = cut.select("segment", "class_key", "owner", "start", "windows").join(
         small_enough(facts, F.lit(40) + 4 * F.size("runs")), "segment")
     # A later owner's segment that equals an earlier one is repeated whole.
@@ -130,7 +133,9 @@ def repeated_windows(rows: DataFrame, window: int, gram: int, words: bool, kerne
         (F.col("start") + F.get("runs", 2 * i) + F.get("runs", 2 * i + 1) + window - 1).alias("to")))
     places = places.withColumn("runs", runs).where(F.size("runs") > 0).select("class_key", F.explode(spans).alias("s"))
     listed = places.groupBy("class_key").agg(F.flatten(F.sort_array(F.collect_list(F.array("s.from", "s.to")))).alias("spans"))
-    return stored(listed, "repeat-spans")
+    found = stored(listed, "repeat-spans")
+    discard(cut, facts)
+    return found
 
 
 def runs_of(flags: np.ndarray, first: np.ndarray) -> list[list[int]]:
