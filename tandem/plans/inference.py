@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +20,10 @@ Model = Callable[[list[str]], list[str]]
 BATCH_ROWS = 50
 MAX_TRIES = 10
 
+PAUSE = 1.0  # seconds after a call that raised
+
+log = logging.getLogger(__name__)
+
 
 def number_batches(df: DataFrame, order: str, batch_rows: int, name: str = "batch_no") -> DataFrame:
     """Batch number along `order`; the last batch takes the remainder as well."""
@@ -31,14 +37,24 @@ def _usable(answer: str | None) -> bool:
     return answer is not None and len(answer) > 1 and answer.strip(PY_SPACE) != ""
 
 
-def _answer(model: Model, prompts: list[str], tries: int) -> list[str]:
-    """Ask again for the unusable answers alone, at most `tries` calls in all."""
+def _answer(model: Model, prompts: list[str | None], tries: int, pause: float) -> list[str]:
+    """Ask again for the unusable answers alone, at most `tries` calls in all.
+
+    A call that raises is one try of its rows, followed by a pause; null prompts are not asked.
+    """
     answers: list[str] = [INVALID] * len(prompts)
-    open_rows = list(range(len(prompts)))
-    for _ in range(tries):
+    open_rows = [i for i, prompt in enumerate(prompts) if prompt is not None]
+    for turn in range(tries):
         if not open_rows:
             break
-        for at, answer in zip(open_rows, model([prompts[i] for i in open_rows]), strict=True):
+        try:
+            given = model([prompts[i] for i in open_rows])
+        except Exception:
+            log.warning("model call %d of %d failed", turn + 1, tries, exc_info=True)
+            if turn + 1 < tries:
+                time.sleep(pause)
+            continue
+        for at, answer in zip(open_rows, given, strict=True):
             if _usable(answer):
                 answers[at] = answer
         open_rows = [i for i in open_rows if answers[i] == INVALID]
@@ -52,10 +68,12 @@ def batch_infer(
     response: str = "response",
     batch_rows: int = BATCH_ROWS,
     tries: int = MAX_TRIES,
+    pause: float = PAUSE,
 ) -> DataFrame:
-    """Add the model's answer to each prompt, or `[INVALID]` after the last try.
+    """Add the model's answer to each prompt, or `[INVALID]` after the last try and for null prompts.
 
-    `load_model` runs once per task on the executor. Only the prompt column goes to
+    A call that raises is tried again after `pause` seconds, so one time-out does not fail
+    the job. `load_model` runs once per task on the executor. Only the prompt column goes to
     Python; the other columns stay in the JVM. Store or `settle` the result before two
     consumers read it, so that no prompt is answered twice.
     """
@@ -64,10 +82,10 @@ def batch_infer(
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for prompts in batches:
-            texts = prompts.fillna("").tolist()
+            texts = prompts.astype(object).where(prompts.notna(), None).tolist()
             answers: list[str] = []
             for start in range(0, len(texts), batch_rows):
-                answers += _answer(model, texts[start : start + batch_rows], tries)
+                answers += _answer(model, texts[start : start + batch_rows], tries, pause)
             yield pd.Series(answers, index=prompts.index, dtype=object)
 
     # Not deterministic, so the optimizer neither repeats nor reorders the calls.

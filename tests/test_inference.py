@@ -34,7 +34,25 @@ def test_only_invalid_rows_are_asked_again(spark):
     texts = ["fine 1", "late 1", "never 1", None]
     df = spark.createDataFrame([(t,) for t in texts], "prompt string").coalesce(1)
     got = [r["response"] for r in I.batch_infer(df, load_flaky, tries=4).collect()]
-    assert got == ["fine 1 after 1", "late 1 after 3", INVALID, " after 1"]
+    assert got == ["fine 1 after 1", "late 1 after 3", INVALID, INVALID]
+
+
+@pytest.mark.parametrize("failures, expected", [(1, ["a!", "b!"]), (3, [INVALID, INVALID])])
+def test_a_raising_call_is_one_try(spark, failures, expected):
+    def load():
+        calls = []
+
+        def model(prompts):
+            calls.append(prompts)
+            if len(calls) <= failures:
+                raise TimeoutError("busy")
+            return [p + "!" for p in prompts]
+
+        return model
+
+    df = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
+    got = [r["response"] for r in I.batch_infer(df, load, tries=3, pause=0).collect()]
+    assert got == expected
 
 
 def test_answer_count_must_match(spark):
