@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
-    ArrayType, DataType, IntegralType, MapType, NumericType, StructType, TimestampNTZType,
+    ArrayType, DataType, DecimalType, FractionalType, IntegralType, MapType, NumericType, StructType,
+    TimestampNTZType,
 )
 
 
@@ -30,6 +31,12 @@ def _text_of(value: str, dtype: DataType) -> str:
     """One spelling per type, so minima of all columns fit one text column."""
     if isinstance(dtype, (ArrayType, MapType, StructType)):
         return "CAST(NULL AS STRING)"
+    if isinstance(dtype, FractionalType) and not isinstance(dtype, DecimalType):
+        # Six decimals where they say something, else the value's own text (NaN, 1.0E35, 1.0E-9).
+        plain = f"CAST(try_cast({value} AS DECIMAL(38,6)) AS STRING)"
+        return f"coalesce(IF({value} <> 0 AND abs({value}) < 1e-6, NULL, {plain}), CAST({value} AS STRING))"
+    if isinstance(dtype, DecimalType):
+        return f"coalesce(CAST(try_cast({value} AS DECIMAL(38,6)) AS STRING), CAST({value} AS STRING))"
     if isinstance(dtype, NumericType):
         return f"CAST(CAST({value} AS DECIMAL(38,6)) AS STRING)"
     if isinstance(dtype, TimestampNTZType):

@@ -61,6 +61,13 @@ def test_profile(spark, exact):
     assert (got["k"]["smallest"], got["k"]["largest"], got["v"]["smallest"]) == ("1.000000", "3.000000", None)
 
 
+def test_profile_of_extreme_numbers(spark):
+    df = spark.createDataFrame(
+        [(1e35, 1e-9, float("nan")), (-1e35, 0.5, 1.0)], "big double, small double, nan double")
+    got = {r["column_name"]: (r["smallest"], r["largest"]) for r in P.profile_tables({"t": df}).collect()}
+    assert got == {"big": ("-1.0E35", "1.0E35"), "small": ("1.0E-9", "0.500000"), "nan": ("1.000000", "NaN")}
+
+
 def test_keys(spark):
     child = spark.createDataFrame([(1, 1), (1, 9), (2, 9), (3, None)], "id long, ref long")
     parent = spark.createDataFrame([(1,), (2,)], "id long")
