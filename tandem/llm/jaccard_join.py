@@ -422,8 +422,8 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "near-classes")
 
-    # Below 10 shingles only equal sets can be linked.
-    able = classes.where(F.col("n") * (100 - PERCENT) >= 100)
+    # n shingles of n + 1 are the nearest that sets can be without being equal: 100 n >= P (n + 1), at 90 from 9 on.
+    able = classes.where(F.col("n") * (100 - PERCENT) >= PERCENT)
     tokens = able.select("rid", "n", F.posexplode("prefix").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     tokens = stored(tokens.join(shared, "token"), "near-tokens")

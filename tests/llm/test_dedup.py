@@ -135,6 +135,28 @@ def test_near_components(mixed_docs, mixed_rows, monkeypatch, dear, longest):
     assert bag(jaccard_join.near_components(mixed_docs), "doc_id", "n_shingles", "component_id") == want
 
 
+@pytest.fixture(scope="session")
+def short_rows():
+    """Texts of 8 to 11 three-word shingles with one word more at an end or at both, and a chain through them."""
+    rows = []
+    for n in range(6, 14):
+        own = [f"s{n}w{j}" for j in range(n)]
+        for extra in ([], ["after"], ["before"], ["before", "after"]):
+            rows.append((len(rows), " ".join(["x"] * ("before" in extra) + own + ["y"] * ("after" in extra))))
+    return rows + [(100 + i, " ".join(f"chain{j}" for j in range(i, 11 + i + k))) for i in range(3) for k in range(2)]
+
+
+@pytest.mark.parametrize("dear, longest", [(1000, 24), (2, 1)])
+def test_near_components_of_short_texts(spark, short_rows, monkeypatch, dear, longest):
+    monkeypatch.setattr(jaccard_join, "DEAR", dear)
+    monkeypatch.setattr(jaccard_join, "LONGEST", longest)
+    sets, group, least = components_of(short_rows)
+    assert {len(s) for s in sets} >= {8, 9, 10, 11} and len(set(group)) < len(short_rows)
+    want = Counter((i, len(s), least[g]) for (i, _), s, g in zip(short_rows, sets, group))
+    docs = spark.createDataFrame(short_rows, "doc_id long, text string")
+    assert bag(jaccard_join.near_components(docs), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_one_of_each(mixed_docs, mixed_rows):
     sets, group, _ = components_of(mixed_rows)
     kept = jaccard_join.one_of_each(mixed_docs)
