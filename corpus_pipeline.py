@@ -14,6 +14,7 @@ from tandem.llm.queries import OLD_SHARDS, SHARDS, old_shard
 from tandem.session import ship_package
 
 LEAST_QUALITY = 0.3
+SHINGLE, PERCENT = 5, 80  # of near duplicates; op7 has its own contract
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: 80 percent of five-word shingles shared."""
     ship_package(spark)
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, size=SHINGLE, percent=PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ from tandem.llm.components import components
 from tandem.llm.frames import discard, small_enough, stored, text_bytes, text_key
 from tandem.llm.text import byte_arrays, grams, lowered, mix, slices, whole, word_bounds, word_hashes
 
-SHINGLE = 3
-PERCENT = 90
+SHINGLE = 3      # words of a shingle, and
+PERCENT = 90     # least similarity, where the caller gives none
 DEAR = 32        # documents with a shingle in their prefix from which the shingle is not joined on
 LONGEST = 24     # most shingles by which a prefix is lengthened
 HUBS = (1, 4)    # hubs per dear shingle, by round
@@ -62,22 +62,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return value, np.searchsorted(row, np.arange(len(offsets)))
 
 
-def _required(n):
+def _required(n, percent: int):
     """Least overlap of a set of n with any partner."""
-    return -(-n * PERCENT // 100)
+    return -(-n * percent // 100)
 
 
-def _extra(n):
+def _extra(n, percent: int):
     """By how many shingles the prefix of a set of n can be lengthened at most."""
-    return np.minimum(LONGEST, np.maximum(_required(n) - 1, 0))
+    return np.minimum(LONGEST, np.maximum(_required(n, percent) - 1, 0))
 
 
-def _profiles(rows: DataFrame) -> DataFrame:
+def _profiles(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, owner, n, sig (128 bits of the whole set), prefix (at its longest) and parity."""
 
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            value, first = shingle_sets(*byte_arrays(batch.column("text")))
+            value, first = shingle_sets(*byte_arrays(batch.column("text")), size)
             n = np.diff(first)
             row = np.repeat(np.arange(len(n)), n)
             spread = mix(value)
@@ -88,7 +88,7 @@ def _profiles(rows: DataFrame) -> DataFrame:
                 sums[some, 1] = np.add.reduceat(mix(spread + np.uint64(1)), first[:-1][some]) + n[some].astype(np.uint64)
             bits = np.bincount(row * 1024 + (spread & np.uint64(1023)).astype(np.int64), minlength=1024 * len(n)) & 1
             parity = np.packbits(bits.astype(np.uint8)).view(np.int64)
-            length = np.minimum(n, n - _required(n) + 1 + _extra(n))
+            length = np.minimum(n, n - _required(n, percent) + 1 + _extra(n, percent))
             ends = np.cumsum(length)
             place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
             prefix = value[np.repeat(first[:-1], length) + place].view(np.int64)
@@ -103,12 +103,12 @@ def _profiles(rows: DataFrame) -> DataFrame:
         profile, f"doc_id {kind}, owner long, text_key binary, n long, sig binary, prefix array<long>, parity array<long>")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """rid and set (all shingles) of the sets in `wanted` (rid, sig, owner), from their texts."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            value, first = shingle_sets(*byte_arrays(batch.column("text")))
+            value, first = shingle_sets(*byte_arrays(batch.column("text")), size)
             n = np.diff(first)
             spread = mix(value)
             sums = np.zeros((len(n), 2), np.uint64)
@@ -126,12 +126,12 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(small_enough(wanted.select("rid", "sig"), 32), "sig").select("rid", "set")
 
 
-def _wide_parity(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _wide_parity(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """rid and wide: parity bitmaps of 4 to 8 bits a shingle, for the sets in `wanted` (rid, sig, owner)."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            value, first = shingle_sets(*byte_arrays(batch.column("text")))
+            value, first = shingle_sets(*byte_arrays(batch.column("text")), size)
             spread, n = mix(value), np.diff(first)
             long = np.flatnonzero(n > PARITY_SERVES)
             sigs, maps = [], []
@@ -161,7 +161,7 @@ def _difference(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that sizes and parity allow, with the bound `apart`. `facts`: rid, n, parity."""
     for side in ("u", "v"):
         own = facts.select(F.col("rid").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"p_{side}"))
@@ -169,15 +169,15 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     both = F.col("n_u") + F.col("n_v")
     # 100 I >= P U with I = (both - d) / 2 and U = (both + d) / 2.
     return pairs.withColumn("apart", _difference("p_u", "p_v")).where(
-        (100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
-        & ((100 + PERCENT) * F.col("apart") <= (100 - PERCENT) * both)).select("u", "v", "apart")
+        (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+        & ((100 + percent) * F.col("apart") <= (100 - percent) * both)).select("u", "v", "apart")
 
 
 class _Linker:
     """Confirms pairs on their whole sets; keeps all links found so far and their components."""
 
-    def __init__(self, rows: DataFrame, classes: DataFrame):
-        self.rows, self.classes = rows, classes
+    def __init__(self, rows: DataFrame, classes: DataFrame, size: int, percent: int):
+        self.rows, self.classes, self.size, self.percent = rows, classes, size, percent
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -186,7 +186,7 @@ class _Linker:
             pairs = pairs.join(sets.select(F.col("rid").alias(side), F.col("set").alias(f"set_{side}")), side)
         shared = F.size(F.array_intersect("set_u", "set_v"))
         union = F.size("set_u") + F.size("set_v") - shared
-        return pairs.where(100 * shared >= PERCENT * union).select("u", "v")
+        return pairs.where(100 * shared >= self.percent * union).select("u", "v")
 
     def _wanted(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
@@ -195,7 +195,7 @@ class _Linker:
     def _told_apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs that bitmaps in proportion to the sets allow too; these are far shorter than the sets."""
         wanted = self._wanted(pairs)
-        wide = stored(_wide_parity(self.rows, wanted.where(F.col("n") > PARITY_SERVES)), "near-wide")
+        wide = stored(_wide_parity(self.rows, wanted.where(F.col("n") > PARITY_SERVES), self.size), "near-wide")
         sizes = self.classes.select("rid", "n")
         for side in ("u", "v"):
             own = wide.select(F.col("rid").alias(side), F.col("wide").alias(f"w_{side}"))
@@ -208,8 +208,8 @@ class _Linker:
             pairs = pairs.withColumn(f"f_{side}", F.when(both & (F.size(w) > narrow), folded).otherwise(w))
         apart = F.greatest("apart", F.when(both, _difference("f_u", "f_v")))
         pairs = pairs.select("u", "v", "n_u", "n_v", apart.alias("apart"))
-        told = stored(pairs.where((100 + PERCENT) * F.col("apart") <= (100 - PERCENT) * (F.col("n_u") + F.col("n_v"))).select(
-            "u", "v", "apart"), "near-told")
+        possible = (100 + self.percent) * F.col("apart") <= (100 - self.percent) * (F.col("n_u") + F.col("n_v"))
+        told = stored(pairs.where(possible).select("u", "v", "apart"), "near-told")
         discard(wanted, wide)
         return told
 
@@ -234,7 +234,7 @@ class _Linker:
             return
         told = self._told_apart(pairs)
         wanted = self._wanted(told)
-        sets = stored(_sets(self.rows, wanted).dropDuplicates(["rid"]), "near-sets")
+        sets = stored(_sets(self.rows, wanted, self.size).dropDuplicates(["rid"]), "near-sets")
         nearest = told.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select("best.u", "v")
         self._add(self._confirmed(nearest, sets))
         rest = stored(self.across(told).select("u", "v"), "near-rest")
@@ -247,7 +247,7 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _meetings(cheap: DataFrame, facts: DataFrame) -> DataFrame:
+def _meetings(cheap: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs u < v that meet at shingles of `cheap` (token, rid), how often (`met`), as far as sizes and
     folded parity bitmaps allow. Each shingle has at most `DEAR` documents there."""
     folded = F.array(*(F.col("parity")[i].bitwiseXOR(F.col("parity")[i + 4]).bitwiseXOR(F.col("parity")[i + 8])
@@ -264,8 +264,8 @@ def _meetings(cheap: DataFrame, facts: DataFrame) -> DataFrame:
                 live = live[token[live] == token[live + step]]
                 other = live + step
                 both, apart = n[live] + n[other], np.bitwise_count((bits[live] ^ bits[other]).view(np.uint64)).sum(1).astype(np.int64)
-                ok = (100 + PERCENT) * apart <= (100 - PERCENT) * both
-                ok &= 100 * np.minimum(n[live], n[other]) >= PERCENT * np.maximum(n[live], n[other])
+                ok = (100 + percent) * apart <= (100 - percent) * both
+                ok &= 100 * np.minimum(n[live], n[other]) >= percent * np.maximum(n[live], n[other])
                 found.append(np.sort(np.column_stack([rid[live[ok]], rid[other[ok]]]), 1))
                 size += len(found[-1])
                 step += 1
@@ -318,28 +318,28 @@ def _link_dense(rows: DataFrame, classes: DataFrame, left: DataFrame, facts: Dat
         hub = left.groupBy("token", F.pmod(F.xxhash64("rid"), F.lit(hubs)).alias("bucket")).agg(
             F.max(F.struct("n_dear", "rid")).alias("hub")).select("token", F.col("hub.rid").alias("hub"))
         pairs = left.select("token", "rid").join(hub, "token").where("rid <> hub").select(*_ordered("rid", "hub")).distinct()
-        linker.add(_plausible(linker.across(pairs), facts))
+        linker.add(_plausible(linker.across(pairs), facts, linker.percent))
     left = _unsettled(left, linker)
     if left.isEmpty():
         return
 
     wanted = stored(classes.join(left.select("rid").distinct(), "rid", "left_semi").select("rid", "sig", "owner"), "near-wanted")
-    each = _sets(rows, wanted).dropDuplicates(["rid"]).select("rid", F.size("set").alias("n"), F.explode("set").alias("token"))
+    each = _sets(rows, wanted, linker.size).dropDuplicates(["rid"]).select("rid", F.size("set").alias("n"), F.explode("set").alias("token"))
     each = stored(each, "near-dense-tokens")
     common = each.groupBy("token").agg(F.count("*").alias("docs"))
-    basic = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    basic = F.col("n") - F.ceil(F.col("n") * linker.percent / 100) + 1
     prefixes = each.join(common, "token").groupBy("rid").agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("all"))
     prefixes = stored(prefixes.select("rid", "n", F.slice("all", F.lit(1), basic.cast("int")).alias("prefix")), "near-dense-prefixes")
     cheap = prefixes.select("rid", F.explode("prefix").alias("p")).where(F.col("p.docs").between(2, DEAR)).select(
         F.col("p.token").alias("token"), "rid")
-    linker.add(_plausible(_meetings(cheap, facts).select("u", "v"), facts))
+    linker.add(_plausible(_meetings(cheap, facts, linker.percent).select("u", "v"), facts, linker.percent))
     discard(wanted, each)
 
     central = prefixes.where(F.element_at("prefix", -1)["docs"] > DEAR).select("rid")
     left = _unsettled(left.join(central, "rid", "left_semi"), linker)
     left = left.groupBy("rid").agg(F.first("root").alias("root")).join(facts, "rid")
-    linker.add(_in_blocks(left))
+    linker.add(_in_blocks(left, linker.percent))
 
 
 def _unsettled(left: DataFrame, linker: _Linker) -> DataFrame:
@@ -366,13 +366,13 @@ def _unsettled(left: DataFrame, linker: _Linker) -> DataFrame:
     return left
 
 
-def _in_blocks(left: DataFrame) -> DataFrame:
+def _in_blocks(left: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs (u, v, apart) of different components among rows (rid, root, n, parity).
 
-    Rows are packed in blocks by size class (a factor of 0.9 each), so a partner is in the same
+    Rows are packed in blocks by size class (a factor of `percent` each), so a partner is in the same
     class or the next; only pairs that the bitmaps allow leave the comparison of two blocks.
     """
-    left = left.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / -np.log(PERCENT / 100)))
+    left = left.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)))
     sizes = left.groupBy("level").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     left = left.join(sizes, "level").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
     packed = stored(left.groupBy("level", "block").agg(
@@ -394,8 +394,8 @@ def _in_blocks(left: DataFrame) -> DataFrame:
                 rid_b, root_b, n_b, parity_b = arrays(b)
                 for i in range(len(rid)):
                     apart = np.bitwise_count((parity[i] ^ parity_b).view(np.uint64)).sum(1)
-                    ok = ((100 + PERCENT) * apart.astype(np.int64) <= (100 - PERCENT) * (n[i] + n_b)) & (root[i] != root_b)
-                    ok &= 100 * np.minimum(n[i], n_b) >= PERCENT * np.maximum(n[i], n_b)
+                    ok = ((100 + percent) * apart.astype(np.int64) <= (100 - percent) * (n[i] + n_b)) & (root[i] != root_b)
+                    ok &= 100 * np.minimum(n[i], n_b) >= percent * np.maximum(n[i], n_b)
                     if ok.any():
                         yield pa.record_batch([
                             pa.array(np.minimum(rid[i], rid_b[ok])), pa.array(np.maximum(rid[i], rid_b[ok])),
@@ -404,34 +404,38 @@ def _in_blocks(left: DataFrame) -> DataFrame:
     return met.repartition(F.xxhash64("a.rid", "b.rid")).mapInArrow(compare, "u long, v long, apart long").distinct()
 
 
-def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_components(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT,
+) -> DataFrame:
     """By row: doc_id, n_shingles, component_id, owner (the id, or a last one for null), text_key and
     group_key (one for all linked rows, null without words).
 
-    Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; two rows are linked where 100 times the
-    shared shingles is at least 90 times all. component_id is the smallest id reachable; a null
+    Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, shingles of `size` words; two rows are linked
+    where 100 times the shared shingles is at least `percent` (50 to 99) times all. component_id is the smallest id reachable; a null
     id counts as larger than all and stays null where no row has one. Rows without words are
     linked with nothing. Equal sets are one class, so copies cost no pairs, and no link between
     different sets is lost.
     """
+    if size < 1 or not 50 <= percent <= 99:  # a bitmap is folded once at most, so no partner has more than twice the shingles
+        raise ValueError("size is 1 or more, percent 50 to 99")
     owner = F.coalesce(F.col(key), F.lit(LAST_OWNER)).cast("long")
     rows = docs.select(F.col(key).alias("doc_id"), owner.alias("owner"), text_key(text).alias("text_key"), text_bytes(text).alias("text"))
-    profiles = stored(_profiles(rows), "near-profiles")
+    profiles = stored(_profiles(rows, size, percent), "near-profiles")
     classes = profiles.where("n > 0").groupBy("sig").agg(
         F.min("owner").alias("owner"), F.count("*").alias("copies"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "near-classes")
 
     # n shingles of n + 1 are the nearest that sets can be without being equal: 100 n >= P (n + 1), at 90 from 9 on.
-    able = classes.where(F.col("n") * (100 - PERCENT) >= PERCENT)
+    able = classes.where(F.col("n") * (100 - percent) >= percent)
     tokens = able.select("rid", "n", F.posexplode("prefix").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     tokens = stored(tokens.join(shared, "token"), "near-tokens")
     n = F.col("n")
-    required = F.ceil(n * PERCENT / 100)
+    required = F.ceil(n * percent / 100)
     basic = n - required + 1
     # The least that the smallest possible partner's prefix can be lengthened.
-    reach = F.least(F.lit(LONGEST), F.ceil(required * PERCENT / 100) - 1)
+    reach = F.least(F.lit(LONGEST), F.ceil(required * percent / 100) - 1)
     dear_places = F.sort_array(F.collect_list(F.when(F.col("docs") > DEAR, F.struct("at", "token"))))
     matches = tokens.groupBy("rid").agg(F.first("n").alias("n"), dear_places.alias("dear"))
     longer = F.size(F.filter("dear", lambda d, i: d["at"] - i < basic))
@@ -444,15 +448,15 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     cheap = tokens.where(F.col("docs") <= DEAR).join(matches.select("rid", "basic", "longer", "dense"), "rid").where(
         F.col("dense") | (F.col("at") < F.col("basic") + F.col("longer")))
     facts = classes.select("rid", "n", "parity")
-    pairs = _meetings(cheap.select("token", "rid"), facts)
+    pairs = _meetings(cheap.select("token", "rid"), facts, percent)
     for side in ("u", "v"):
         pairs = pairs.join(matches.select(
             F.col("rid").alias(side), F.when(F.col("dense"), F.col("extra")).otherwise(F.col("longer")).alias(f"more_{side}"),
             F.when(F.col("longer") > 0, F.col("dear")).alias(f"dear_{side}")), side)
     dear_met = F.coalesce(F.size(F.array_intersect("dear_u", "dear_v")), F.lit(0))
     enough = (F.least("more_u", "more_v") == 0) | (F.col("met") + F.greatest(dear_met, F.lit(0)) > F.least("more_u", "more_v", F.lit(LONGEST)))
-    linker = _Linker(rows, classes)
-    linker.add(_plausible(pairs.where(enough).select("u", "v"), facts))
+    linker = _Linker(rows, classes, size, percent)
+    linker.add(_plausible(pairs.where(enough).select("u", "v"), facts, percent))
 
     dense = matches.where("dense").select("rid", "n_dear", "reach")
     central = stored(tokens.where(F.col("docs") > DEAR).join(dense, "rid").select("token", "rid", "n_dear", "reach"), "near-central")
@@ -478,13 +482,15 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         "owner", "text_key", F.when(F.col("n") > 0, F.coalesce("group_key", "sig")).alias("group_key"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT,
+) -> DataFrame:
     """`docs` with one row of each group of linked rows: the smallest id, then the smallest text key.
 
     Columns stay as they are. Rows without words are groups of their own. Of rows equal in id
     and text one stays.
     """
-    found = stored(near_components(docs, text, key).where("group_key IS NOT NULL").select("owner", "text_key", "group_key"), "near-found")
+    found = stored(near_components(docs, text, key, size, percent).where("group_key IS NOT NULL").select("owner", "text_key", "group_key"), "near-found")
     one = F.struct("owner", "text_key")
     best = found.groupBy("group_key").agg(F.min(one).alias("best"), F.count("*").alias("rows")).where("rows > 1")
     marked = stored(found.join(best, "group_key").select("owner", "text_key", (one == F.col("best")).alias("stays")), "near-marked")

@@ -7,6 +7,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tandem.llm import jaccard_join, lz_dedup, suffix_dedup
 from tandem.llm.anchors import LAST_OWNER, merged
 from tandem.llm.components import components
@@ -108,15 +109,15 @@ def test_a_passage_begun_by_one_source_and_ended_by_another():
     assert (source[first[2]:first[2] + 91] >= 0).all() and (source[first[0]:first[1]] < 0).all()
 
 
-def components_of(rows):
+def components_of(rows, size=3, percent=90):
     sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets.append(frozenset(tuple(w[j:j + 3]) for j in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(tuple(w[j:j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
     group = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 old, new = group[a], group[b]
                 group = [new if g == old else g for g in group]
     least = defaultdict(lambda: LAST_OWNER)
@@ -157,6 +158,37 @@ def test_near_components_of_short_texts(spark, short_rows, monkeypatch, dear, lo
     assert bag(jaccard_join.near_components(docs), "doc_id", "n_shingles", "component_id") == want
 
 
+@pytest.fixture(scope="session")
+def five_word_rows(mixed_rows, short_rows):
+    """Also 100 words of which 0 to 4 are changed apart from each other, and texts of 1 to 9 words."""
+    words = [f"u{j}" for j in range(100)]
+    rows = [(200 + k, " ".join("new%d.%d" % (k, j) if j % 20 == 10 and j // 20 < k else w for j, w in enumerate(words))) for k in range(5)]
+    rows += [(300 + n, " ".join(f"few{j}" for j in range(n))) for n in range(1, 10)]
+    return mixed_rows + [(i if i is None else 1000 + i, t) for i, t in short_rows] + rows
+
+
+@pytest.mark.parametrize("dear, longest", [(1000, 24), (2, 1)])
+def test_near_components_of_five_words(spark, five_word_rows, monkeypatch, dear, longest):
+    monkeypatch.setattr(jaccard_join, "DEAR", dear)
+    monkeypatch.setattr(jaccard_join, "LONGEST", longest)
+    monkeypatch.setattr(jaccard_join, "PARITY_SERVES", 16 if dear < 32 else 256)
+    sets, group, least = components_of(five_word_rows, 5, 80)
+    want = Counter((i, len(s), None if least[g] == LAST_OWNER else least[g]) for (i, _), s, g in zip(five_word_rows, sets, group))
+    docs = spark.createDataFrame(five_word_rows, "doc_id long, text string")
+    assert bag(jaccard_join.near_components(docs, size=5, percent=80), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_stage_of_near_duplicates(spark, five_word_rows):
+    sets, group, least = components_of(five_word_rows, 5, 80)
+    docs = spark.createDataFrame(five_word_rows, "doc_id long, text string")
+    rows = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert {200, 201, 202} & {i for i, _ in rows} == {200}
+    groups = Counter(group[five_word_rows.index(r)] for r in rows if (r[1] or "").split())
+    assert set(groups.values()) == {1} and set(groups) == {g for g, s in zip(group, sets) if s}
+    assert all(LAST_OWNER if i is None else i == least[group[five_word_rows.index((i, t))]] for i, t in rows if (t or "").split())
+    assert sum(not (t or "").split() for _, t in rows) == sum(not s for s in sets)
+
+
 def test_one_of_each(mixed_docs, mixed_rows):
     sets, group, _ = components_of(mixed_rows)
     kept = jaccard_join.one_of_each(mixed_docs)
