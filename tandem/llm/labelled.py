@@ -18,8 +18,9 @@ def training_sample(
     """At most `rows` different labelled texts, none held out, as (bytes, 0 or 1).
 
     Rows come in the order of a hash of the id, so the sample is the same in every run. A null
-    label, id or text gives no example; of contradicting labels the larger counts. The sample
-    is bounded by rows and `TRAIN_BYTES`, so it may come to the driver.
+    label, id or text gives no example; of contradicting labels the larger counts, of several
+    texts of one id the one with the smallest hash. So no more than `rows` texts of `TRAIN_BYTES`
+    come to the driver, however many rows an id has.
     """
     chosen = (
         labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
@@ -28,7 +29,9 @@ def training_sample(
     )
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text")).where(
         F.length("text") <= TRAIN_BYTES)
-    found = texts.join(F.broadcast(chosen), "id").select("y", "text", F.xxhash64("id").alias("place"), "id").collect()
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(
+        F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    found = one.select("y", "text", F.xxhash64("id").alias("place"), "id").collect()
     seen: dict[bytes, int] = {}
     for row in sorted(found, key=lambda r: (r["place"], r["id"], bytes(r["text"]))):
         seen.setdefault(bytes(row["text"]), row["y"])

@@ -4,11 +4,12 @@ import random
 import re
 from collections import Counter
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pytest
 
-from tandem.llm import decontamination, mixing, quality_cnn, quality_rules, resharding, token_counts, toxicity
+from tandem.llm import decontamination, labelled, mixing, quality_cnn, quality_rules, resharding, token_counts, toxicity
 
 
 def test_mixing_targets(spark):
@@ -130,6 +131,22 @@ def test_toxicity_learns_and_composes():
     assert toxicity.train([]).probabilities(np.zeros(0, np.uint8), np.array([0, 0])).tolist()[0] < 0.5
 
 
+def test_training_sample_has_one_text_of_an_id(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(40)] + [(i, f"more {i} {j}") for i in range(0, 40, 5) for j in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    free = [i for i in range(40) if crc32(str(i).encode()) % 5]
+    assert any(i % 5 == 0 for i in free)
+    collected, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(collect(df)) or collected[-1])
+    for most in (10, 100):
+        collected.clear()
+        sample = labelled.training_sample(docs, labels, "toxic", most)
+        ids = [int(t.split()[1]) for t, _ in sample]
+        assert len(ids) == len(set(ids)) == min(most, len(free)) and set(ids) <= set(free)
+        assert all(y == i % 2 for i, (_, y) in zip(ids, sample)) and sum(map(len, collected)) <= most
+
+
 def test_network_gradients_and_learning():
     rng = random.Random(3)
     sample = [(b"aaaa " * 60, 0) if i % 2 else (" ".join(rng.choice(["the", "cat", "sat", "mat", "dog"]) for _ in range(90)).encode(), 1) for i in range(60)]
