@@ -137,15 +137,20 @@ def reshard(
 def rewrite(resharded: DataFrame, path: str) -> list[int]:
     """Write the shards that gained or lost rows under `path` (`shard=N` folders); returns their numbers.
 
-    Folders of other shards stay as they are. A shard of the old layout that has no number in
-    the new one is only read. The list of shards is bounded by their number.
+    Folders of other shards stay as they are. `path` may be the old layout: folders of shards
+    that lost all their rows are removed once the others are written, so no document is there
+    twice. The list of shards is bounded by their number.
     """
     resharded = stored(resharded, "reshard-result")
     moved = resharded.where("place.shard <> place.old_shard")
     pairs = moved.select(F.explode(F.array("place.shard", "place.old_shard")).alias("shard")).distinct()
-    new = resharded.agg(F.max("place.shard")).first()[0]
-    touched = sorted(r["shard"] for r in pairs.collect() if r["shard"] <= (new or 0))
+    touched = sorted(r["shard"] for r in pairs.collect())
+    filled = {r["shard"] for r in resharded.select("place.shard").distinct().collect()}
     rows = resharded.withColumn("shard", F.col("place.shard")).where(F.col("shard").isin(touched))
     (rows.repartition("shard", F.pmod(F.xxhash64("place.slot"), F.lit(8))).drop("place").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
+    context = resharded.sparkSession.sparkContext
+    for shard in sorted(set(touched) - filled):  # the overwrite leaves folders without new rows in place
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
     return touched

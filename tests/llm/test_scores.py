@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tandem.llm import decontamination, labelled, mixing, quality_cnn, quality_rules, resharding, token_counts, toxicity
 
@@ -58,6 +59,23 @@ def test_reshard(mixed_docs, mixed_rows, no_docs, tmp_path, spark):
     assert resharding.reshard(no_docs, old, 3, 4).count() == 0
 
 
+@pytest.mark.parametrize("shards, emptied", [(3, None), (5, 1), (6, 4)])
+def test_rewrite_over_the_old_layout(mixed_docs, mixed_rows, tmp_path, spark, shards, emptied):
+    """Fewer shards, and shards of capacity 0: every document is there once, in its new shard."""
+    path = str(tmp_path / "layout")
+    mixed_docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(5)).alias("shard")).write.partitionBy("shard").parquet(path)
+    total = sum(8 + len((t or "").encode()) for _, t in mixed_rows)
+    capacities = None if emptied is None else resharding.even_capacities(total, shards - 1)
+    if capacities:
+        capacities.insert(emptied, 0)
+    placed = resharding.reshard(spark.read.parquet(path), F.col("shard"), 5, shards, keep=["doc_id", "text"], capacities=capacities)
+    want = Counter((r["doc_id"], r["text"], r["place"]["shard"]) for r in placed.collect())
+    touched = resharding.rewrite(placed, path)
+    back = Counter((r["doc_id"], r["text"], r["shard"]) for r in spark.read.parquet(path).select("doc_id", "text", "shard").collect())
+    assert back == want and Counter(k[:2] for k in back.elements()) == Counter(mixed_rows)
+    assert set(touched) >= ({3, 4} if emptied is None else {emptied})
+
+
 def test_token_counts_are_greedy(mixed_docs, mixed_rows, no_docs):
     mark = token_counts.WORD_MARK
     pieces = {mark, mark + b"a", b"ab", b"abc", b"abcde", b"bc", "é".encode(), b"dd", mark + b"aab", b"cd"} | {bytes([b]) for b in range(256)}
