@@ -1,10 +1,11 @@
-"""Substring removal by relative Lempel-Ziv parsing.
+"""Substring removal against reference blocks.
 
 Texts that may share a passage meet in reference blocks (see `anchors`); every segment of a
-block is indexed by its 50-word windows, with the earliest document first. A segment is parsed
-greedily against all of its block: a factor runs on while the next window continues the same
-earlier source, and is then confirmed on the words. Where a factor ends, the windows over its
-end are looked up on their own, so a passage that one source begins and another ends is found.
+block is indexed by its 50-word windows, with the earliest document first. Each window is looked
+up by hash, and that decides: there is no greedy longest match as in a relative Lempel-Ziv parse.
+Neighbouring windows that continue one earlier source form a factor, which is confirmed on the
+words at once. As every window is looked up, a passage that one source begins and another ends
+is found.
 """
 
 from __future__ import annotations
