@@ -10,6 +10,7 @@ windows meet in one partition of bounded size.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from tandem.llm.frames import discard, small_enough, stored, text_bytes, text_ke
 from tandem.llm.text import anchored_runs, byte_arrays, byte_hashes, slices, word_bounds, word_hashes
 
 PARTITION_BYTES = 1 << 20  # of segments dealt to one partition, on average
+OUTPUT_BYTES, OUTPUT_ROWS = 4 << 20, 50_000  # of segments in one Arrow batch
 LAST_OWNER = (1 << 63) - 1  # owner of texts without an id
 
 # Finds repeats in one partition: takes bodies, counts and owners of its different segments and
@@ -84,37 +86,47 @@ def repeated_windows(rows: DataFrame, window: int, gram: int, words: bool, kerne
             picked = np.repeat(run[:-1], sizes) + nos.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), sizes)
             raw = data.tobytes()
-            bodies = []
-            for a, n in zip(starts[picked].tolist(), counts[picked].tolist()):
+            keys: list[bytes] = []
+            bodies: list[bytes | None] = []
+            seen: set[tuple[int, bytes]] = set()
+            begun = held = 0
+            for i, (r, a, n) in enumerate(zip(row.tolist(), starts[picked].tolist(), counts[picked].tolist())):
                 b = a + n + window - 1
-                if words:
-                    bodies.append(b" ".join(raw[bounds[0][a]:bounds[1][b - 1]].split()))
-                else:
-                    bodies.append(raw[a:b])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("class_key").take(pa.array(row)), batch.column("owner").take(pa.array(row)),
-                 pa.array(starts[picked] - first[row], pa.int64()), pa.array(counts[picked], pa.int64()),
-                 pa.array(values[picked].view(np.int64)), pa.array(bodies, pa.binary())],
-                ["class_key", "owner", "start", "windows", "anchor", "body"])
+                body = b" ".join(raw[bounds[0][a]:bounds[1][b - 1]].split()) if words else raw[a:b]
+                key = md5(body).digest()
+                keys.append(key)
+                # One body of each kind a text: in text of a short period the same few come again and again.
+                bodies.append(None if (r, key) in seen else body)
+                seen.add((r, key))
+                held += len(body) if bodies[-1] is not None else 0
+                if held > OUTPUT_BYTES or len(keys) == OUTPUT_ROWS or i + 1 == len(row):
+                    at = slice(begun, i + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("class_key").take(pa.array(row[at])), batch.column("owner").take(pa.array(row[at])),
+                         pa.array((starts[picked] - first[row])[at], pa.int64()), pa.array(counts[picked][at], pa.int64()),
+                         pa.array(values[picked].view(np.int64)[at]), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())],
+                        ["class_key", "owner", "start", "windows", "anchor", "segment", "body"])
+                    keys, bodies, begun, held = [], [], i + 1, 0
 
     width = F.lit(32) + 4 * F.size("nos")
     cut = one.join(small_enough(wanted, width), "class_key").select("class_key", "owner", "text", "nos").mapInArrow(
-        segments, "class_key binary, owner long, start long, windows long, anchor long, body binary")
-    cut = stored(cut.withColumn("segment", F.unhex(F.md5("body"))), "repeat-segments")
+        segments, "class_key binary, owner long, start long, windows long, anchor long, segment binary, body binary")
+    cut = stored(cut, "repeat-segments")
     discard(wanted)
     different = cut.groupBy("segment", "anchor").agg(
-        F.count("*").alias("n"), F.min("owner").alias("owner"), F.first("body").alias("body"))
+        F.count("*").alias("n"), F.min("owner").alias("owner"), F.first("body", ignorenulls=True).alias("body"))
     different = stored(different, "repeat-different")
 
     def repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # bounded by how segments are dealt out
-        if not table.num_rows:
+        dealt = [b for b in batches if b.num_rows]  # bounded by how segments are dealt out
+        if not dealt:
             return
+        table = pa.Table.from_batches(dealt)
         bodies = table.column("body").to_pylist()
         n, owner = table.column("n").to_numpy(), table.column("owner").to_numpy()
         runs = kernel(bodies, n, owner)
         kept = [i for i, r in enumerate(runs) if r or n[i] > 1]
-        small = table.select(["segment", "owner"]).take(kept).combine_chunks().to_batches()
+        small = table.select(["segment", "owner"]).take(pa.array(kept, pa.int64())).combine_chunks().to_batches()
         for batch in small:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([runs[i] for i in kept], pa.list_(pa.int32()))], ["segment", "first_owner", "runs"])
