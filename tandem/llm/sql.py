@@ -4,7 +4,11 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 MIXING = rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size,
+         concat_ws(':', coalesce(doc_id::VARCHAR, ''), coalesce('=' || source, '-'), md5(coalesce(text, '')), '') AS draw_key
+  FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY draw_key) AS nth FROM sized
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap,
          [5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT]::BIGINT AS weight
@@ -23,8 +27,8 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
 ), drawn AS (
   SELECT doc_id, size, source_size, target, rate,
-         ('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS draw
-  FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+         ('0x' || substr(md5('8:' || draw_key || ':' || nth), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS draw
+  FROM numbered JOIN rates ON numbered.source IS NOT DISTINCT FROM rates.source
 )
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken

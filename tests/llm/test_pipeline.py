@@ -93,10 +93,13 @@ def copies(docs):
             target[s] = Fraction(2 * sizes[s]) if full else level * weight[s]
         rest -= sum(target[s] for s in full or free)
         free -= full or free
-    result = []
+    result, seen = [], Counter()
     for row in docs:
+        seen[row] += 1
         rate = target[row[2]] / sizes[row[2]] if sizes[row[2]] else Fraction(0)
-        draw = Fraction(int(md5(f"8:{'' if row[0] is None else row[0]}".encode()).hexdigest()[:13], 16), 16**13)
+        own = ("" if row[0] is None else row[0], "-" if row[2] is None else "=" + row[2], md5((row[1] or "").encode()).hexdigest())
+        drawn = "8:{}:{}:{}::{}".format(*own, seen[row])
+        draw = Fraction(int(md5(drawn.encode()).hexdigest()[:13], 16), 16**13)
         result += [row] * (int(rate) + (draw < rate - int(rate)))
     return result
 
