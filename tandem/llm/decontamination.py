@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.frames import small_enough, stored, text_key
+from tandem.llm.frames import free_name, quoted, small_enough, stored, text_key
 
 WINDOW = 13
 GRAM = 6
@@ -102,7 +102,7 @@ def contamination(
     wanted = stored(with_fingerprints(items).select(F.explode("prints").alias("h")).distinct(), "leak-prints")
 
     # One pass over all texts keeps their key, word count and fingerprints.
-    named = docs.select(F.struct(*keep).alias("own") if keep else F.lit(None).cast("string").alias("own"),
+    named = docs.select(F.struct(*map(quoted, keep)).alias("own") if keep else F.lit(None).cast("string").alias("own"),
                         F.col(text).alias("text"), text_key(text).alias("leak_key"))
     prints = stored(with_fingerprints(with_words(named)).select("own", "leak_key", "n_words", "prints"), "leak-documents")
     suspects = prints.select("leak_key", F.explode("prints").alias("h")).join(wanted, "h", "left_semi").select("leak_key")
@@ -147,4 +147,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **
     """`docs` without contaminated rows, columns as they are."""
     leaks = stored(contamination(docs, benchmark, text, keep=(), **settings).where("leak.contaminated")
                    .select("leak.leak_key").distinct(), "leak-removed")
-    return docs.withColumn("leak_key", text_key(text)).join(small_enough(leaks, 16), "leak_key", "left_anti").select(*docs.columns)
+    name = free_name(docs, "leak_key")
+    clean = docs.withColumn(name, text_key(text)).join(small_enough(leaks.toDF(name), 16), name, "left_anti")
+    return clean.select(*map(quoted, docs.columns))

@@ -36,6 +36,24 @@ def small_enough(df: DataFrame, width: Column | int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, with underscores added until no column of `df` is called that, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of `df` that are not called one of `names`, in any case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_key(text: str = "text") -> Column:
     """128-bit key of a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tandem.llm.anchors import LAST_OWNER
 from tandem.llm.components import components
-from tandem.llm.frames import discard, small_enough, stored, text_bytes, text_key
+from tandem.llm.frames import discard, free_name, quoted, small_enough, stored, text_bytes, text_key
 from tandem.llm.text import byte_arrays, grams, lowered, mix, slices, whole, word_bounds, word_hashes
 
 SHINGLE = 3      # words of a shingle, and
@@ -496,9 +496,9 @@ def one_of_each(
     marked = stored(found.join(best, "group_key").select("owner", "text_key", (one == F.col("best")).alias("stays")), "near-marked")
     gone = stored(marked.where("NOT stays").select("owner", "text_key").distinct(), "near-gone")
     twins = stored(marked.where("stays").groupBy("owner", "text_key").count().where("count > 1").select("owner", "text_key"), "near-twins")
-    names = ["__owner", "__text_key"]
+    names = [free_name(docs, "__owner"), free_name(docs, "__text_key")]
     keyed = docs.withColumns({names[0]: F.coalesce(F.col(key), F.lit(LAST_OWNER)).cast("long"), names[1]: text_key(text)})
     gone, twins = (small_enough(t.toDF(*names), 24) for t in (gone, twins))
     single = keyed.join(gone, names, "left_anti").join(twins, names, "left_anti")
     twice = keyed.join(twins, names, "left_semi").dropDuplicates(names)
-    return single.unionByName(twice).select(*docs.columns)
+    return single.unionByName(twice).select(*map(quoted, docs.columns))

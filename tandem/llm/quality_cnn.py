@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tandem.llm.frames import text_bytes
+from tandem.llm.frames import free_name, others, quoted, text_bytes
 from tandem.llm.labelled import training_sample
 from tandem.llm.text import byte_arrays, slices
 
@@ -171,14 +171,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "
 
 
 def with_score(docs: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:
-    """`docs` plus the probability of good quality. Null and empty texts get the padding chunk's score."""
+    """`docs` plus the probability of good quality as `name`, which replaces a column of that name.
+
+    Null and empty texts get the padding chunk's score.
+    """
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__bytes"):
-            found = probabilities(net, *byte_arrays(batch.column("__bytes")))
-            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__bytes"]
+        for batch in slices(batches, held):
+            found = probabilities(net, *byte_arrays(batch.column(held)))
+            kept = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], names)
 
-    names = [*docs.columns, name]
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.withColumn("__bytes", text_bytes(text)).mapInArrow(score, schema)
+    before, held = others(docs, name), free_name(docs, "__bytes")
+    names = [*before, name]
+    schema = StructType([*(docs.schema[c] for c in before), StructField(name, DoubleType())])
+    return docs.select(*map(quoted, before), text_bytes(text).alias(held)).mapInArrow(score, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from tandem.llm.frames import text_bytes
+from tandem.llm.frames import free_name, others, quoted, text_bytes
 from tandem.llm.text import BLANKS, byte_arrays, slices, word_bounds, word_hashes
 
 # Common words by language.
@@ -183,7 +183,7 @@ def quality_rules(
     min_chars: int = MIN_CHARS, min_common_words: int = MIN_COMMON_WORDS,
     class_distance: float = CLASS_DISTANCE, common_distance: float = COMMON_DISTANCE,
 ) -> DataFrame:
-    """`docs` plus the base counts, `base_failed`, both distances and `kept`, as one struct `rules`.
+    """`docs` plus the base counts, `base_failed`, both distances and `kept`, as one struct `rules` (replaced if there).
 
     Distances are to the nearest language. A document with fewer than `min_chars` bytes (or
     `min_common_words` words) is not judged by that histogram. Null and empty texts have no
@@ -199,11 +199,12 @@ def quality_rules(
         i = look.languages.index(row["language"])
         (classes[i] if row["part"] == "classes" else words[i])[row["bin"]] = row["n"]
     known = [i for i in range(len(look.languages)) if classes[i].sum()]
-    names = [*docs.columns, "rules"]
+    before, held = others(docs, "rules"), free_name(docs, "__bytes")
+    names = [*before, "rules"]
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__bytes"):
-            data, offsets = byte_arrays(batch.column("__bytes"))
+        for batch in slices(batches, held):
+            data, offsets = byte_arrays(batch.column(held))
             starts, ends, first = word_bounds(data, offsets)
             hashes = word_hashes(data, starts, ends)
             n = len(offsets) - 1
@@ -230,10 +231,10 @@ def quality_rules(
                 [*(pa.array(c.astype(np.int64)) for c in columns), pa.array(failed), pa.array(by_class.astype(float)),
                  pa.array(by_word.astype(float)), pa.array(~failed & ~strange)],
                 [*(c.split()[0] for c in COUNTS.split(", ")), "base_failed", "class_distance", "common_distance", "kept"])
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__bytes"]
+            kept = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*kept, struct], names)
 
     fields = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in COUNTS.split(", "))
     rules = f"struct<{fields}, base_failed: boolean, class_distance: double, common_distance: double, kept: boolean>"
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"rules {rules}").fields])
-    return docs.withColumn("__bytes", text_bytes(text)).mapInArrow(judge, schema)
+    schema = StructType([*(docs.schema[c] for c in before), *StructType.fromDDL(f"rules {rules}").fields])
+    return docs.select(*map(quoted, before), text_bytes(text).alias(held)).mapInArrow(judge, schema)

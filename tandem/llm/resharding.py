@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tandem.llm.frames import stored
+from tandem.llm.frames import others, quoted, stored
 
 OVERHEAD = 8
 BLOCK_ROWS = 2_000  # rows that one ordered window is made for, on average
@@ -87,6 +87,8 @@ def reshard(
 ) -> DataFrame:
     """Columns `keep` (default: all) of `docs` plus a struct `place`: size, text_crc32, old_shard, shard, slot.
 
+    A kept column called `place` is replaced; no other name clashes with one used inside.
+
     `old_shard` gives each row's shard of 0 to `old_count` - 1; `capacities` are bytes by new
     shard (default: equal). Size is the bytes of the text plus 8; null text has none and its
     checksum is that of an empty one. Rows stand in their old shard by a hash of id and text,
@@ -95,13 +97,13 @@ def reshard(
     ids are rows like others; equal rows are interchangeable. Only sums per old shard come to
     the driver.
     """
-    keep = list(docs.columns if keep is None else keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "place"]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
     rows = docs.count()
     blocks = max(16, -(-rows // (BLOCK_ROWS * old_count)))
     order = F.xxhash64(F.col(key), F.col(text))
     base = stored(docs.select(
-        *keep, F.struct(
+        F.struct(*map(quoted, keep)).alias("own") if keep else F.lit(None).cast("string").alias("own"), F.struct(
             size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
             old_shard.cast("int").alias("old"), F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int").alias("block"),
             order.alias("order"), F.col(key).cast("string").alias("id")).alias("place")), "reshard-rows")
@@ -129,7 +131,7 @@ def reshard(
     counts = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = stored(counts.withColumn("first", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows"), "reshard-slots")
-    return placed.join(firsts, ["shard", "old", "block"]).select(*keep, F.struct(
+    return placed.join(firsts, ["shard", "old", "block"]).select(*(F.col("own")[c].alias(c) for c in keep), F.struct(
         F.col("place.size").alias("size"), F.col("place.text_crc32").alias("text_crc32"), F.col("old").alias("old_shard"),
         F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("nth")).cast("long").alias("slot")).alias("place"))
 
@@ -137,7 +139,7 @@ def reshard(
 def rewrite(resharded: DataFrame, path: str) -> list[int]:
     """Write the shards that gained or lost rows under `path` (`shard=N` folders); returns their numbers.
 
-    Folders of other shards stay as they are. `path` may be the old layout: folders of shards
+    A column called `shard` is the folder's number afterwards. Folders of other shards stay as they are. `path` may be the old layout: folders of shards
     that lost all their rows are removed once the others are written, so no document is there
     twice. The list of shards is bounded by their number.
     """
@@ -146,8 +148,9 @@ def rewrite(resharded: DataFrame, path: str) -> list[int]:
     pairs = moved.select(F.explode(F.array("place.shard", "place.old_shard")).alias("shard")).distinct()
     touched = sorted(r["shard"] for r in pairs.collect())
     filled = {r["shard"] for r in resharded.select("place.shard").distinct().collect()}
-    rows = resharded.withColumn("shard", F.col("place.shard")).where(F.col("shard").isin(touched))
-    (rows.repartition("shard", F.pmod(F.xxhash64("place.slot"), F.lit(8))).drop("place").write.mode("overwrite")
+    rows = resharded.where(F.col("place.shard").isin(touched)).repartition("place.shard", F.pmod(F.xxhash64("place.slot"), F.lit(8)))
+    # A column of the rows that is called like the folders gives way to them.
+    (rows.select(*map(quoted, others(resharded, "place", "shard")), F.col("place.shard").alias("shard")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
     context = resharded.sparkSession.sparkContext
     for shard in sorted(set(touched) - filled):  # the overwrite leaves folders without new rows in place

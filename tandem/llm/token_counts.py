@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tandem.llm.frames import text_bytes
+from tandem.llm.frames import free_name, others, quoted, text_bytes
 from tandem.llm.text import byte_arrays, slices, word_bounds, word_hashes
 
 WORD_MARK = "▁".encode()  # begins every word in the vocabulary of this kind of tokenizer
@@ -125,6 +125,8 @@ def with_token_count(
 ) -> DataFrame:
     """`docs` plus the number of greedy pieces of all words `[^\\x20\\x09-\\x0D]+`; 0 for null and empty texts.
 
+    A column called `name` is replaced.
+
     The automaton's size is that of the vocabulary. Each different word of a batch walks once;
     words of any length are walked whole.
     """
@@ -132,15 +134,16 @@ def with_token_count(
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
-        for batch in slices(batches, "__bytes"):
-            data, offsets = byte_arrays(batch.column("__bytes"))
+        for batch in slices(batches, held):
+            data, offsets = byte_arrays(batch.column(held))
             starts, ends, first = word_bounds(data, offsets)
             _, one, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
             pieces = machine.counts(data, starts[one], ends[one])[back]
             total = np.concatenate([[0], np.cumsum(pieces)])
-            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__bytes"]
+            kept = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(total[first[1:]] - total[first[:-1]])], names)
 
-    names = [*docs.columns, name]
-    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
-    return docs.withColumn("__bytes", text_bytes(text)).mapInArrow(count, schema)
+    before, held = others(docs, name), free_name(docs, "__bytes")
+    names = [*before, name]
+    schema = StructType([*(docs.schema[c] for c in before), StructField(name, LongType())])
+    return docs.select(*map(quoted, before), text_bytes(text).alias(held)).mapInArrow(count, schema)

@@ -28,6 +28,31 @@ def test_mixing_copies(mixed_docs, no_docs):
     assert mixing.mixed(no_docs.withColumnRenamed("spans", "source")).count() == 0
 
 
+def mix_rows(ids):
+    """4,000 texts of three sources, a third of them copies of one."""
+    rng = random.Random(6)
+    sources = ["a"] * 2000 + ["b"] * 1200 + [None] * 800
+    texts = [" ".join(["w"] * rng.randint(1, 60)) + f" {i}" if i % 3 else "the same text " * 10 for i in range(4000)]
+    return [(ids(i), t, s) for i, (t, s) in enumerate(zip(texts, sources))]
+
+
+@pytest.mark.parametrize("ids", [lambda i: i, lambda i: None, lambda i: 7, lambda i: i if i % 2 else 0])
+@pytest.mark.parametrize("block_rows", [50, 2_000])
+def test_mixing_comes_near_its_targets_whatever_the_ids(spark, monkeypatch, ids, block_rows):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+    rows = mix_rows(ids)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    counted = mixing.with_copies(docs).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in counted) == Counter(rows)
+    for source in ("a", "b", None):
+        own = [r["mix"] for r in counted if r["source"] == source]
+        assert abs(sum(m["size"] * m["copies"] for m in own) / own[0]["target"] - 1) < 0.05
+        assert {m["copies"] for m in own} <= {int(own[0]["rate"]), int(own[0]["rate"]) + 1}
+    again = Counter(map(tuple, mixing.mixed(docs.repartition(5)).collect()))
+    assert again == Counter({k: n for k, n in Counter(
+        (r["doc_id"], r["text"], r["source"]) for r in counted for _ in range(r["mix"]["copies"])).items()})
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(1)
     for _ in range(20):
