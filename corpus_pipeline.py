@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tandem.llm import decontamination, jaccard_join, mixing, quality_cnn, resharding
-from tandem.llm.frames import stored
+from tandem.llm.frames import free_name, others, quoted, stored
 from tandem.llm.queries import OLD_SHARDS, SHARDS, old_shard
 from tandem.session import ship_package
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network rejects go. It is trained on labelled rows of `docs` itself."""
     ship_package(spark)
     net = quality_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    name = "__quality"
+    name = free_name(docs, "__quality")
     return quality_cnn.with_score(docs, net, name=name).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
@@ -44,10 +44,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-equal shards, moving the fewest bytes from the layout by text hash."""
+    """Near-equal shards, moving the fewest bytes from the layout by text hash.
+
+    Adds size, shard and slot, in place of columns of these names.
+    """
     ship_package(spark)
     placed = resharding.reshard(docs, old_shard(), OLD_SHARDS, SHARDS)
-    return placed.select(*docs.columns, "place.size", "place.shard", "place.slot")
+    own = others(docs, "place", "size", "shard", "slot")
+    return placed.select(*map(quoted, own), "place.size", "place.shard", "place.slot")
 
 
 STAGES = [
