@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tandem.llm import (
-    decontamination, jaccard_join, lz_dedup, mixing, quality_cnn, quality_rules, resharding, sql, suffix_dedup,
+    decontamination, jaccard_join, lz_dedup, merkle, mixing, quality_cnn, quality_rules, resharding, sql, suffix_dedup,
     token_counts, toxicity,
 )
+from tandem.llm.decontamination import ascii_lower
 from tandem.llm.labelled import held_out
 
 # Folder of the public tokenizers' vocabulary files, read by the driver.
@@ -82,6 +83,13 @@ def op10_distribution_divergence_rules(spark: SparkSession, sf_dir: str) -> Data
     return judged.select("doc_id", *counts, "rules.base_failed", "rules.kept", "rules.class_distance", "rules.common_distance")
 
 
+def op11_octopus_multiproof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = documents(spark, sf_dir, *columns)
+    tampered = F.when(held_out(), merkle.leaf_digest(docs, columns, {"text": ascii_lower("text")}))
+    return merkle.with_proofs(docs, columns, tampered).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_min_cost_flow_resharding, op3_toxicity_grammar, op4_byte_cnn_quality,
     op5_longest_match_token_counts, op6_winnowing_decontamination, op7_adaptive_prefix_jaccard_join, op8_source_mixing,
-    op9_relative_lz_dedup, op10_distribution_divergence_rules, pipeline)}
+    op9_relative_lz_dedup, op10_distribution_divergence_rules, op11_octopus_multiproof, pipeline)}
 
-ORACLES = {"op6_winnowing_decontamination": sql.DECONTAMINATION, "op8_source_mixing": sql.MIXING}
+ORACLES = {"op6_winnowing_decontamination": sql.DECONTAMINATION, "op8_source_mixing": sql.MIXING,
+           "op11_octopus_multiproof": sql.MERKLE}

@@ -62,3 +62,45 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+def _merkle(arity: int = 16, levels: int = 8) -> str:
+    """Trees of up to 16^8 leaves: `levels` rounds, each of which leaves finished trees as they are."""
+    fields = ", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # DuckDB has no crc32: a table of its 256 steps, folded over the id's digits.
+    steps = "SELECT i, list_reduce([i::BIGINT] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) t(i)"
+    parts = [f"""WITH steps AS ({steps}), crc AS (SELECT list(v ORDER BY i) AS t FROM steps), leaves AS (
+  SELECT doc_id, source, sha256(concat({fields})) AS leaf,
+    xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda d: ascii(d)::BIGINT),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 5 = 0 AS hit,
+    sha256(concat({fields.replace("text::", lower + "::")})) AS changed
+  FROM documents, crc
+), t0 AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    CASE WHEN hit THEN changed ELSE leaf END AS folded, '' AS proof FROM leaves
+), n0 AS (SELECT tree, place, leaf AS digest FROM t0)"""]
+
+    def rounds(t: str, n: str, tree: str, place: str) -> str:
+        for k in range(levels):
+            parts.append(f"""{n}{k}s AS (SELECT *, count(*) OVER (PARTITION BY tree) AS size FROM {n}{k}),
+{n}{k}r AS (SELECT tree, place // {arity} AS run, max(size) AS size, list(digest ORDER BY place) AS l FROM {n}{k}s GROUP BY 1, 2),
+{n}{k + 1} AS MATERIALIZED (SELECT tree, run AS place, CASE WHEN size = 1 THEN l[1] ELSE sha256(array_to_string(l, '')) END AS digest FROM {n}{k}r),
+{t}{k + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (folded, proof, {place}), t.{place} // {arity} AS {place},
+  proof || array_to_string(l[1:{place} % {arity}] || l[{place} % {arity} + 2:], '') AS proof,
+  CASE WHEN size = 1 THEN folded ELSE sha256(array_to_string(l[1:{place} % {arity}] || [folded] || l[{place} % {arity} + 2:], '')) END AS folded
+  FROM {t}{k} t JOIN {n}{k}r r ON t.{tree} = r.tree AND t.{place} // {arity} = r.run)""")
+        return f"{t}{levels}"
+
+    last = rounds("t", "n", "tree", "place")
+    parts.append(f"subroots AS (SELECT tree, digest FROM n{levels})")
+    parts.append(f"u0 AS (SELECT s.*, tree AS top_place, 0 AS top, digest AS subroot FROM {last} s JOIN subroots USING (tree))")
+    parts.append("m0 AS (SELECT 0 AS tree, tree AS place, digest FROM subroots)")
+    last = rounds("u", "m", "top", "top_place")
+    return ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+FROM {last} JOIN m{levels} ON true"""
+
+
+MERKLE = _merkle()
