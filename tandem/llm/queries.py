@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tandem.llm import (
     decontamination, jaccard_join, lz_dedup, merkle, mixing, quality_cnn, quality_rules, resharding, sql, suffix_dedup,
-    token_counts, toxicity,
+    token_counts, toxicity, vector_codes,
 )
 from tandem.llm.decontamination import ascii_lower
 from tandem.llm.labelled import held_out
@@ -90,6 +90,11 @@ def op11_octopus_multiproof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_proofs(docs, columns, tampered).withColumnRenamed("id", "doc_id")
 
 
+def op12_gnat_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.with_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +104,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_min_cost_flow_resharding, op3_toxicity_grammar, op4_byte_cnn_quality,
     op5_longest_match_token_counts, op6_winnowing_decontamination, op7_adaptive_prefix_jaccard_join, op8_source_mixing,
-    op9_relative_lz_dedup, op10_distribution_divergence_rules, op11_octopus_multiproof, pipeline)}
+    op9_relative_lz_dedup, op10_distribution_divergence_rules, op11_octopus_multiproof,
+    op12_gnat_vector_codes, pipeline)}
 
 ORACLES = {"op6_winnowing_decontamination": sql.DECONTAMINATION, "op8_source_mixing": sql.MIXING,
-           "op11_octopus_multiproof": sql.MERKLE}
+           "op11_octopus_multiproof": sql.MERKLE, "op12_gnat_vector_codes": sql.VECTOR_CODES}

@@ -104,3 +104,37 @@ FROM {last} JOIN m{levels} ON true"""
 
 
 MERKLE = _merkle()
+
+
+def _codes(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Every part against every entry. All numbers are whole and far below 2^53, so doubles are exact."""
+    out = [f"""WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) t(p)
+), b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+)"""]
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, p, min(row(list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), e)) AS best
+  FROM parts JOIN b{k} USING (p) GROUP BY vec_id, p)""")
+        if k < rounds:
+            out.append(f"""m{k} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i)::DOUBLE[] AS c FROM (
+    SELECT p, e, i, sum(value)::BIGINT AS s, count(*) AS n FROM (
+      SELECT p, best[2] AS e, unnest(range(len(x))) AS i, unnest(x)::BIGINT AS value FROM a{k} JOIN parts USING (vec_id, p))
+    GROUP BY p, e, i) GROUP BY p, e
+), b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))""")
+    return ",\n".join(out) + f""", coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(list_aggregate(c::BIGINT[], 'string_agg', ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
+VECTOR_CODES = _codes()
