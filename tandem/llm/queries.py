@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tandem.llm import (
-    decontamination, jaccard_join, lz_dedup, merkle, mixing, quality_cnn, quality_rules, resharding, sql, suffix_dedup,
+    decontamination, interpolation, jaccard_join, lz_dedup, merkle, mixing, quality_cnn, quality_rules, resharding, sql, suffix_dedup,
     token_counts, toxicity, vector_codes,
 )
 from tandem.llm.decontamination import ascii_lower
@@ -95,6 +95,10 @@ def op12_gnat_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.with_scores(documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_suffix_array_dedup, op2_min_cost_flow_resharding, op3_toxicity_grammar, op4_byte_cnn_quality,
     op5_longest_match_token_counts, op6_winnowing_decontamination, op7_adaptive_prefix_jaccard_join, op8_source_mixing,
     op9_relative_lz_dedup, op10_distribution_divergence_rules, op11_octopus_multiproof,
-    op12_gnat_vector_codes, pipeline)}
+    op12_gnat_vector_codes, op13_deleted_interpolation, pipeline)}
 
 ORACLES = {"op6_winnowing_decontamination": sql.DECONTAMINATION, "op8_source_mixing": sql.MIXING,
            "op11_octopus_multiproof": sql.MERKLE, "op12_gnat_vector_codes": sql.VECTOR_CODES}

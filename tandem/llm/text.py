@@ -85,7 +85,8 @@ def byte_hashes(data: np.ndarray) -> np.ndarray:
     return _TABLE[0][data]
 
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order."""
     return mix(a * _ODD + b)
 
 
@@ -98,11 +99,11 @@ def grams(units: np.ndarray, k: int) -> np.ndarray:
     while k:
         if k & 1:
             part = power[done:done + n]
-            result = part if result is None else _joined(result, part)
+            result = part if result is None else joined(result, part)
             done += size
         k >>= 1
         if k:
-            power, size = _joined(power[:-size], power[size:]), size * 2
+            power, size = joined(power[:-size], power[size:]), size * 2
     return result
 
 
