@@ -21,13 +21,14 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from tandem.llm.frames import discard, quoted, stored, text_bytes
 from tandem.llm.text import byte_arrays, joined, lowered, mix, slices, word_bounds, word_hashes
 
 CHUNK_BYTES = 8 << 20    # of text in one chunk (or one longer text)
 RANGE_TOKENS = 1 << 20   # tokens in the corpus for each range of hashes
+PER_TASK = 4             # chunks, or ranges of hashes, in one partition
 DELETED = 8              # one training document in so many is deleted for learning the weights
 STEPS = 8                # probabilities of deleted tokens are told apart to an eighth of a factor of two
 PRIOR = 3.0              # tokens by which a bucket's weights are drawn to those of all buckets
@@ -197,7 +198,9 @@ def counted(chunks: DataFrame, range_tokens: int = RANGE_TOKENS) -> tuple[DataFr
 
     asked = chunks.mapInArrow(
         ask, "chunk binary, held_back boolean, place long, words binary, word_n binary, bigrams binary, bigram_n binary")
-    answered = stored(asked.groupBy("place").applyInArrow(
+    # So many partitions that one is a few ranges, whatever the session's setting for shuffles is.
+    dealt = asked.repartition(-(-ranges // PER_TASK), "place")
+    answered = stored(dealt.groupBy("place").applyInArrow(
         answer, "chunk binary, held_back boolean, place long, words binary, bigrams binary, " + ", ".join(f"{s} long" for s in STATS)),
         "lm-answers")
     totals = answered.agg(*(F.sum(s).alias(s) for s in STATS)).first()
@@ -258,6 +261,12 @@ def learned(cells: Iterable[tuple[int, int | None, int | None, int]], rest_kinds
     return weights / weights.sum(1, keepdims=True)
 
 
+def met(tables: list[DataFrame]) -> list[GroupedData]:
+    """Tables grouped by chunk, the first of which has one row for each, a few chunks to a partition."""
+    parts = -(-max(tables[0].count(), 1) // PER_TASK)
+    return [t.repartition(parts, "chunk").groupBy("chunk") for t in tables]
+
+
 def learn(chunks: DataFrame, answers: DataFrame, totals: Totals) -> np.ndarray:
     """Weights from the documents held back, under the counts of the others.
 
@@ -276,7 +285,7 @@ def learn(chunks: DataFrame, answers: DataFrame, totals: Totals) -> np.ndarray:
             pa.array(cells[:, 0], pa.int32()), *(pa.array(cells[:, k], pa.int32(), mask=cells[:, k] == -1_000_000) for k in (1, 2)),
             pa.array(n, pa.int64())], names=["bucket", "after", "alone", "n"])
 
-    held = [t.where("held_back").groupBy("chunk") for t in (chunks, answers)]
+    held = met([t.where("held_back") for t in (chunks, answers)])
     cells = held[0].cogroup(held[1]).applyInArrow(tally, "bucket int, after int, alone int, n long")
     cells = cells.groupBy("bucket", "after", "alone").agg(F.sum("n").alias("n")).collect()
     return learned(sorted((tuple(c) for c in cells), key=str), totals.rest_kinds)
@@ -325,7 +334,8 @@ def with_scores(
             names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    own, got = met([chunks, answers])
+    scored = stored(own.cogroup(got).applyInArrow(
         score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
     discard(chunks, answers)
     return scored
