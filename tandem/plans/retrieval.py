@@ -143,41 +143,44 @@ def add_guidelines(
     return found.withColumn(name, F.coalesce(F.col(name), F.lit("")))
 
 
-def _block_counts(df: DataFrame, group: str, block_rows: int) -> DataFrame:
-    return df.groupBy(F.col(group).alias("grp")).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("n_blocks")
-    )
+def usable_vectors(df: DataFrame, group: str, row: str, vector: str) -> DataFrame:
+    """Columns grp (group and length), id and v of the rows that can be near to something.
 
+    Rows without a group go, and vectors that are null, empty or hold a null, NaN or infinite
+    entry: they have no distance. Vectors of different lengths never meet.
+    """
+    finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = df.where(F.col(group).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & finite)
+    return kept.select(
+        F.struct(F.col(group).alias("name"), F.size(vector).alias("length")).alias("grp"),
+        F.col(row).cast("long").alias("id"), F.col(vector).alias("v"))
 
-def _blocks(
-    df: DataFrame, counts: DataFrame, group: str, row: str, vector: str, prefix: str
-) -> DataFrame:
-    """Vectors packed by group into rows of about `block_rows` each.
+
+def _block_counts(rows: DataFrame, block_rows: int) -> DataFrame:
+    return rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("n_blocks"))
+
+
+def packed_rows(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Vectors packed by group into blocks: grp, block, ids and flat, which run in the same order.
 
     A block is named by a hash of the row id, so a hot group is many blocks and no task
-    gathers more than one of them. `ids` and `flat` run in the same order.
+    gathers more than one of them.
     """
-    named = df.join(counts, df[group] == counts["grp"]).select(
-        "grp",
-        F.pmod(F.xxhash64(row), F.col("n_blocks")).alias(f"{prefix}_block"),
-        F.struct(F.col(row).cast("long").alias("id"), F.col(vector).alias("v")).alias("r"),
-    )
-    packed = named.groupBy("grp", f"{prefix}_block").agg(F.collect_list("r").alias("rows"))
+    named = rows.join(counts, "grp").select(
+        "grp", F.pmod(F.xxhash64("id"), F.col("n_blocks")).alias("block"), F.struct("id", "v").alias("r"))
+    packed = named.groupBy("grp", "block").agg(F.collect_list("r").alias("rows"))
     return packed.select(
-        "grp",
-        f"{prefix}_block",
-        F.transform("rows", lambda r: r["id"]).alias(f"{prefix}_ids"),
-        F.flatten(F.transform("rows", lambda r: r["v"])).alias(f"{prefix}_flat"),
-    )
+        "grp", "block", F.transform("rows", lambda r: r["id"]).alias("ids"),
+        F.flatten(F.transform("rows", lambda r: r["v"])).alias("flat"))
 
 
-def _matrix(ids: pa.Array, flat: pa.Array, at: int) -> tuple[np.ndarray, np.ndarray]:
+def matrix_of(ids: pa.Array, flat: pa.Array, at: int) -> tuple[np.ndarray, np.ndarray]:
     names = ids[at].values.to_numpy(zero_copy_only=False)
     values = flat[at].values.to_numpy(zero_copy_only=False).astype(np.float64)
     return names, values.reshape(len(names), -1)
 
 
-def _best_in_block(
+def best_in_block(
     q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """k nearest documents of one block for each query: ids and exact distances."""
@@ -216,35 +219,40 @@ def nearest(
     group has them. Returns (query_id, rank, doc_id, distance); ties go to the smaller
     id.
 
-    Both sides are packed into blocks, and a query block meets each document block of
-    its group once: the rows that cross the network are blocks and, per query and
-    block, k candidates - never query/document pairs. Tasks are keyed by document
-    block, so a hot group spreads over as many tasks as it has blocks.
+    Rows that `usable_vectors` leaves out get no neighbours and are none. Both sides are packed
+    into blocks, and a query block meets each document block of its group once: the rows that
+    cross the network are blocks and, per query and block, k candidates - never query/document
+    pairs. Tasks are keyed by document block, so a hot group spreads over as many tasks as it
+    has blocks. `neighbours.nearest_by_balls` leaves out blocks that are too far away.
     """
-    d_counts = _block_counts(corpus, group, block_rows)
-    q = _blocks(queries, _block_counts(queries, group, block_rows), group, query_id, vector, "q")
-    d = _blocks(corpus, d_counts, group, doc_id, vector, "d")
+    asking, known = usable_vectors(queries, group, query_id, vector), usable_vectors(corpus, group, doc_id, vector)
+    d_counts = _block_counts(known, block_rows)
+    q = packed_rows(asking, _block_counts(asking, block_rows)).select(
+        "grp", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
+    d = packed_rows(known, d_counts).withColumnsRenamed({"ids": "d_ids", "flat": "d_flat"})
     # Hashing may leave a block number unused; the join below simply misses it.
     last = F.col("n_blocks") - 1
-    routed = q.join(d_counts, "grp").select(
-        *q.columns, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("d_block")
-    )
-    met = routed.join(d, ["grp", "d_block"]).select("q_ids", "q_flat", "d_ids", "d_flat")
+    routed = q.join(d_counts, "grp").select(*q.columns, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    met = routed.join(d, ["grp", "block"]).select("q_ids", "q_flat", "d_ids", "d_flat")
     out_schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("distance", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i) for i in range(4)]
             for at in range(batch.num_rows):
-                q_ids, q_matrix = _matrix(columns[0], columns[1], at)
-                d_ids, d_matrix = _matrix(columns[2], columns[3], at)
-                for found in _best_in_block(q_ids, q_matrix, d_ids, d_matrix, k):
+                q_ids, q_matrix = matrix_of(columns[0], columns[1], at)
+                d_ids, d_matrix = matrix_of(columns[2], columns[3], at)
+                for found in best_in_block(q_ids, q_matrix, d_ids, d_matrix, k):
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in found], schema=out_schema)
 
     found = met.mapInArrow(search, "query_id long, doc_id long, distance double")
-    best = F.struct("distance", "doc_id")
+    return k_best(found, k)
+
+
+def k_best(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, doc_id, distance) of the k nearest candidates of each query; ties go to the smaller id."""
     if k == 1:
-        top = found.groupBy("query_id").agg(F.min(best).alias("b"))
+        top = found.groupBy("query_id").agg(F.min(F.struct("distance", "doc_id")).alias("b"))
         return top.select("query_id", F.lit(1).alias("rank"), "b.doc_id", "b.distance")
     # The rank filter also prunes before the exchange, to k rows per query and task.
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id")

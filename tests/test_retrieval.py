@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.plans import retrieval as R
+from tandem.plans import neighbours as N, retrieval as R
 
 
 def brute(queries, corpus, k):
@@ -33,6 +33,65 @@ def test_nearest_is_exact_with_ties_and_a_hot_group(spark, k, block_rows):
     assert rows == brute(queries, corpus, k)
 
 
+SCHEMA = "id long, grp_name string, embedding array<float>"
+
+
+def by_balls(spark, queries, corpus, k, block_rows):
+    q, d = (N.balls(spark.createDataFrame(rows, SCHEMA), "grp_name", "id", "embedding", size)
+            for rows, size in ((queries, max(1, block_rows // 4)), (corpus, block_rows)))
+    found = N.nearest_by_balls(q, d, k)
+    rows = sorted((r["query_id"], r["rank"], r["doc_id"], round(r["distance"], 9)) for r in found.rows.collect())
+    return rows, found, d
+
+
+@pytest.mark.parametrize("k, block_rows", [(1, 6), (3, 2), (2, 2048)])
+def test_balls_find_the_same_with_ties_copies_and_a_hot_group(spark, k, block_rows):
+    rng = np.random.default_rng(8)
+    vec = lambda: [float(x) for x in rng.integers(0, 3, 4)]
+    group = lambda i: "hot" if i % 3 else f"g{i % 5}"
+    corpus = [(i, group(i), vec()) for i in range(90)] + [(200 + i, "hot", [1.0] * 4) for i in range(40)] + [(100, "one", vec())]
+    queries = [(i, group(i + 1), vec()) for i in range(50)] + [(100, "one", vec()), (101, "none", vec())]
+    rows, _, index = by_balls(spark, queries, corpus, k, block_rows)
+    assert rows == brute(queries, corpus, k)
+    assert sorted(i for r in index.collect() for i in r["ids"]) == sorted(i for i, _, _ in corpus)
+
+
+def test_far_balls_are_never_met(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 50, (30, 8))
+    vec = lambda: [float(np.float32(x)) for x in centres[rng.integers(30)] + rng.normal(0, 1, 8)]
+    corpus = [(i, "a" if i % 4 else "b", vec()) for i in range(1500)]
+    queries = [(i, "a" if i % 3 else "b", vec()) for i in range(300)]
+    rows, found, index = by_balls(spark, queries, corpus, 2, 24)
+    assert [r[:3] for r in rows] == [r[:3] for r in brute(queries, corpus, 2)]
+    assert index.count() > 60 and index.selectExpr("max(n)").first()[0] <= 48
+    assert found.pairs_met < 0.2 * found.pairs_all
+
+
+ODD_VECTORS = [None, [], [1.0, None, 0.0], [float("nan"), 0.0, 0.0], [0.0, float("inf"), 1.0], [0.0, 1.0]]
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_vectors_without_a_distance_spoil_nothing(spark, k):
+    good = [(i, "g", [float(i), 0.0, 1.0]) for i in range(5)]
+    odd = [(10 + i, "g", v) for i, v in enumerate(ODD_VECTORS)] + [(30, None, [1.0, 0.0, 1.0])]
+    want = brute(good, good, k)
+    for queries, corpus in ((good + odd, good), (good, good + odd), (good + odd, good + odd[:5])):
+        df = [spark.createDataFrame(rows, SCHEMA) for rows in (queries, corpus)]
+        got = R.nearest(*df, "grp_name", "id", "id", k=k).collect()
+        assert sorted((r["query_id"], r["rank"], r["doc_id"], round(r["distance"], 9)) for r in got) == want
+        assert by_balls(spark, queries, corpus, k, 2)[0] == want
+    pair = [(1, "g", [0.0, 1.0]), (2, "g", [5.0, 1.0, 1.0])]
+    assert by_balls(spark, pair, good + [(9, "g", [3.0, 1.0])], 1, 2)[0] == brute(pair[:1], [(9, "g", [3.0, 1.0])], 1) + brute(pair[1:], good, 1)
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert R.nearest(none, none, "grp_name", "id", "id").count() == 0
+    rows, found, _ = by_balls(spark, [(1, "g", [1.0])], [], 1, 4)
+    assert rows == [] and found.pairs_all == 0
+
+
 GUIDE = [
     (1, "Sorting", "ORDER BY", "sort_values"), (2, " sorting", "no", "no"),
     (3, "Left Join", "LEFT JOIN", "merge"), (4, "Row Count", "COUNT(*)", "shape[0]"),
