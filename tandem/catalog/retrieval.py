@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tandem.catalog.registry import query, quote
 from tandem.functions import text as X
-from tandem.plans import retrieval as R
-from tandem.plans.inference import retrieve_and_translate
+from tandem.plans import neighbours as N, retrieval as R, runs as W
+from tandem.plans.inference import batch_infer, retrieve_and_translate, retrieve_apis_and_translate
+from tandem.session import scratch_path
 from tandem.sources.tables import table
 
 SPACE = quote(X.PY_SPACE)
@@ -117,6 +118,44 @@ def _(spark, d):
     return best.select("query_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
 
 
+def _nearest_sql(queries: str, corpus: str, match: str, k: int) -> str:
+    return f"""
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(distance, 6) AS distance FROM (
+      SELECT q.vec_id AS query_id, c.vec_id AS doc_id, list_distance(q.e, c.e) AS distance,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, c.e), c.vec_id) AS rank
+      FROM {queries} q JOIN {corpus} c ON {match}) WHERE rank <= {k}"""
+
+
+SQL_VECTORS = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@query("p07_knn_balls", _nearest_sql(SQL_VECTORS, SQL_VECTORS, "(q.label + 3) % 10 = c.label", 2))
+def _(spark, d):
+    """Two nearest vectors of another label, by balls that are skipped where they are too far away."""
+    vectors = table(spark, d, "embeddings")
+    asking = N.balls(vectors.withColumn("label", (F.col("label") + 3) % 10), "label", "vec_id", "embedding", 32)
+    found = N.nearest_by_balls(asking, N.balls(vectors, "label", "vec_id", "embedding", 128), k=2)
+    return found.rows.withColumn("distance", F.round("distance", 6))
+
+
+# Every seventh vector has no distance, in one of five ways; the odd ones are asked for and searched too.
+SQL_ODD = """(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE vec_id % 7 > 0 AND label IS NOT NULL)"""
+
+
+@query("p07_knn_odd_vectors", _nearest_sql(SQL_ODD, SQL_ODD, "q.label = c.label", 2))
+def _(spark, d):
+    """Null vectors, null, NaN and infinite entries and other lengths in the groups of good vectors."""
+    v = F.col("embedding")
+    put = lambda x: F.transform(v, lambda e, i: F.when(i == 3, F.lit(x).cast("float")).otherwise(e))
+    ways = [F.lit(None).cast("array<float>"), put(None), put(float("nan")), put(float("-inf")), F.slice(v, 1, 0)]
+    kind = F.floor(F.col("vec_id") / 7) % 5
+    odd = F.coalesce(*(F.when(kind == i, F.struct(w.alias("v"))) for i, w in enumerate(ways)))
+    vectors = table(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, odd["v"]).otherwise(v))
+    best = R.nearest(vectors, vectors, "label", "vec_id", "vec_id", k=2)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.round("distance", 6).alias("distance"))
+
+
 @query("p08_dedupe_by_name", f"SELECT item_id, name, position, sql, frame FROM {SQL_SINGLE}")
 def _(spark, d):
     return _single(spark, d).select("item_id", "name", "position", "value.sql", "value.frame")
@@ -217,3 +256,79 @@ def _(spark, d):
     lists = operation_lists(spark, d).withColumn(
         "item_id", F.when(F.col("item_id") % 3 > 0, F.col("item_id") % 7))
     return R.add_guidelines(lists, guide(spark, d), "item_id", "response").select("item_id", "guidelines")
+
+
+# The vector path: a name's vector is made of the hex digits of two MD5 sums.
+LIBRARIES = ["NumPy", "Pandas", "TensorFlow", "PyTorch"]
+DIRECTIONS = ["pd_to_np", "np_to_pd", "py_to_tf", "tf_to_py"]
+SQL_LIBRARY = "['NumPy', 'Pandas', 'TensorFlow', 'PyTorch']"
+SQL_DIRECTION = "['pd_to_np', 'np_to_pd', 'py_to_tf', 'tf_to_py']"
+SQL_API_NAMES = f"""(SELECT DISTINCT item_id % 4 AS side, operation FROM {SQL_OPERATIONS})"""
+SQL_API_NEAREST = f"""(SELECT side, operation, arg_min(vec_id, row(distance, vec_id)) AS doc_id FROM (
+    SELECT n.side, n.operation, v.vec_id, list_distance(list_transform(range(64), lambda i:
+        ((('0x' || substr(md5(n.operation) || md5('again ' || n.operation), i + 1, 1))::INT - 7.5) / 30)::FLOAT::DOUBLE), v.e) AS distance
+    FROM {SQL_API_NAMES} n JOIN {SQL_VECTORS} v ON n.side = v.label % 4) GROUP BY side, operation)"""
+SQL_API_TEXTS = f"""(SELECT item_id, trim(string_agg(n || '.' || name || ':' || chr(10) || ' Vector ' || doc_id || ' of its library. ', '' ORDER BY n), {SPACE}) AS text
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY position) AS n FROM (
+      SELECT item_id, 'api_' || doc_id % 40 AS name, min(position) AS position, arg_max(doc_id, position) AS doc_id
+      FROM {SQL_OPERATIONS} o JOIN {SQL_API_NEAREST} h ON o.item_id % 4 = h.side AND o.operation = h.operation GROUP BY 1, 2))
+    GROUP BY item_id)"""
+SQL_API_PROMPT = f"""('Use for ' || {SQL_DIRECTION}[item_id % 4 + 1] || ' of ' || item_id || ':' || chr(10) || coalesce(text, ''))"""
+
+
+def _load_digits():
+    """Stands for an embedding model."""
+    from hashlib import md5
+
+    def embed(names: list[str]) -> list[list[float]]:
+        digits = [md5(n.encode()).hexdigest() + md5(f"again {n}".encode()).hexdigest() for n in names]
+        return [[(int(x, 16) - 7.5) / 30 for x in row] for row in digits]
+
+    return embed
+
+
+def _pick(values: list[str], number) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+
+
+@query("p20_rag_apis", f"""
+    SELECT l.item_id AS item_id, 'size = ' || length({SQL_API_PROMPT.replace("item_id", "l.item_id")}) AS code,
+      md5({SQL_API_PROMPT.replace("item_id", "l.item_id")}) AS prompt_md5
+    FROM {SQL_LISTS} l LEFT JOIN {SQL_API_TEXTS} t ON l.item_id = t.item_id""")
+def _(spark, d):
+    """Names to vectors, to the nearest document of the target library, to one text, into the prompt."""
+    documents = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), _pick(LIBRARIES, F.col("label")).alias("library"),
+        F.concat(F.lit("api_"), (F.col("vec_id") % 40).cast("string")).alias("api_name"),
+        F.concat(F.lit("Vector "), F.col("vec_id").cast("string"), F.lit(" of its library. ")).alias("docstring"), "embedding")
+    direction = _pick(DIRECTIONS, F.col("item_id"))
+    items = operation_lists(spark, d).select(
+        "item_id", direction.alias("direction"),
+        F.concat(F.lit("Name the functions <<"), "response", F.lit(">>")).alias("identify_prompt"),
+        F.concat(F.lit("Use for "), direction, F.lit(" of "), F.col("item_id").cast("string"), F.lit(":\n[APIs]")).alias("translate_prompt"))
+    done = retrieve_apis_and_translate(items, documents, _load_digits, _load_scripted)
+    return done.select("item_id", "code", F.md5("prompt").alias("prompt_md5"))
+
+
+def _load_echo():
+    return lambda prompts: [p.upper() for p in prompts]
+
+
+@query("p20_resume", """
+    SELECT m.model, 'direction=' || (p_partkey % 6) AS prompt_folder, p_partkey AS item_id,
+      upper('Part ' || p_name || ' for ' || m.model) AS response
+    FROM part, (VALUES ('small'), ('large')) m(model)""")
+def _(spark, d):
+    """Prompt files in six folders: a run over the first three, then a run that finds all six."""
+    prompts, output, checkpoint = (scratch_path(spark, f"runs-{n}") for n in ("prompts", "output", "checkpoint"))
+    rows = table(spark, d, "part").select(
+        F.col("p_partkey").alias("item_id"), F.concat(F.lit("Part "), "p_name").alias("prompt"), (F.col("p_partkey") % 6).alias("direction"))
+
+    def ask(batch: DataFrame, model: str) -> DataFrame:
+        return batch_infer(batch.withColumn("prompt", F.concat("prompt", F.lit(f" for {model}"))), _load_echo)
+
+    for some in (F.col("direction") < 3, F.col("direction") >= 3):
+        rows.where(some).repartition(1, "direction").write.mode("append").partitionBy("direction").json(prompts)
+        W.answer_files(spark, prompts, "item_id long, prompt string", output, checkpoint, {"small": ask, "large": ask}, files_at_once=2)
+    answers = W.read_answers(spark, output)
+    return answers.select("model", F.split("prompt_file", "/")[0].alias("prompt_folder"), "item_id", "response")

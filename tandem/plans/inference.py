@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tandem.functions.text import INVALID, PY_SPACE, extract_code
+from tandem.functions.text import INVALID, PY_SPACE, extract_code, library_of
 from tandem.operators.ordering import number_rows
+from tandem.plans.documents import Embedder, add_documents
 from tandem.plans.retrieval import add_guidelines
 from tandem.session import settle
 
@@ -97,6 +98,19 @@ def in_order(df: DataFrame, item: str = "item_id") -> DataFrame:
     return df.orderBy(item)
 
 
+def _chain(
+    items: DataFrame, lookup: Callable[[DataFrame], DataFrame], slot: str, load_model: Callable[[], Model],
+    language: str, durable: bool,
+) -> DataFrame:
+    """Identify, let `lookup` add a column `found` for the column `operations`, fill the slot, translate."""
+    keep = settle if durable else (lambda df: df)
+    named = batch_infer(items, load_model, "identify_prompt", "identified")
+    named = keep(named.withColumn("operations", extract_code(F.col("identified"), "JSON")))
+    filled = lookup(named).withColumn("prompt", F.replace(F.col("translate_prompt"), F.lit(slot), F.col("found")))
+    answered = keep(batch_infer(filled, load_model, "prompt", "response"))
+    return answered.withColumn("code", extract_code(F.col("response"), language)).drop("identified", "found")
+
+
 def retrieve_and_translate(
     items: DataFrame,
     guide: DataFrame,
@@ -110,15 +124,27 @@ def retrieve_and_translate(
     Adds operations, prompt, response and code. One plan from end to end; with
     `durable` each round of answers is stored before it is used.
     """
-    keep = settle if durable else (lambda df: df)
-    named = batch_infer(items, load_model, "identify_prompt", "identified")
-    named = keep(named.withColumn("operations", extract_code(F.col("identified"), "JSON")))
-    guided = add_guidelines(named, guide, "item_id", "operations")
-    filled = guided.withColumn(
-        "prompt",
-        F.replace(F.col("translate_prompt"), F.lit("[GUIDELINES]"), F.col("guidelines")),
-    )
-    answered = keep(batch_infer(filled, load_model, "prompt", "response"))
-    return answered.withColumn("code", extract_code(F.col("response"), language)).drop(
-        "identified", "guidelines"
-    )
+    return _chain(items, lambda named: add_guidelines(named, guide, "item_id", "operations", "found"),
+                  "[GUIDELINES]", load_model, language, durable)
+
+
+def retrieve_apis_and_translate(
+    items: DataFrame,
+    documents: DataFrame,
+    load_embedder: Callable[[], Embedder],
+    load_model: Callable[[], Model],
+    language: str = "Python",
+    durable: bool = True,
+    store: str | None = None,
+) -> DataFrame:
+    """Identify operations, find the nearest documents of the target library, and translate with their text.
+
+    `items`: item_id, direction, identify_prompt, translate_prompt (with an `[APIs]` slot). The
+    library is that of the direction; items of an unknown direction get no document. For `documents`
+    and `store` see `add_documents`. Adds operations, prompt, response and code.
+    """
+    def lookup(named: DataFrame) -> DataFrame:
+        aimed = named.withColumn("_library", library_of(F.col("direction")))
+        return add_documents(aimed, documents, load_embedder, "operations", "_library", "found", store=store).drop("_library")
+
+    return _chain(items, lookup, "[APIs]", load_model, language, durable)

@@ -39,18 +39,25 @@ def first_entries(guide: DataFrame, name: str = "operation", line: str = "line_n
     )
 
 
+def spread_join(rows: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of many rows with few `entries` by `keys`.
+
+    Rows of one key go by `SPREAD` extra key values unless Spark broadcasts the entries, so a
+    hot key is no single task.
+    """
+    spread = rows.withColumn("_spread", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
+    copies = entries.withColumn(
+        "_spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return spread.join(copies, [*keys, "_spread"]).drop("_spread")
+
+
 def keyword_join(operations: DataFrame, guide: DataFrame, name: str = "operation") -> DataFrame:
     """Operations with their guide entry; names the guide lacks drop out.
 
-    The guide has one row per key after `first_entries`, so a hot operation never
-    multiplies. Rows of one operation go by `SPREAD` extra key values unless Spark
-    broadcasts the guide, so a hot one is no single task.
+    The guide has one row per key after `first_entries`, so a hot operation never multiplies.
     """
-    keyed = operations.withColumn("match_key", match_key(F.col(name))).withColumn(
-        "_spread", F.pmod(F.xxhash64(*operations.columns), F.lit(SPREAD)))
-    entries = first_entries(guide).withColumn(
-        "_spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
-    return keyed.join(entries, ["match_key", "_spread"]).drop("match_key", "_spread")
+    keyed = operations.withColumn("match_key", match_key(F.col(name)))
+    return spread_join(keyed, first_entries(guide), ["match_key"]).drop("match_key")
 
 
 def last_by_name(hits: DataFrame, item: str, name: str, value: Column, position: str) -> DataFrame:
