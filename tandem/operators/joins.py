@@ -17,6 +17,22 @@ from tandem.operators.aggregates import _operand
 NULL_SPREAD = 1024
 
 
+# Copies of each entry that many rows are joined with, so that a very frequent key is looked up in many tasks.
+SPREAD = 16
+
+
+def spread_join(rows: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of many rows with few `entries` by `keys`.
+
+    Rows of one key go by `SPREAD` extra key values unless Spark broadcasts the entries, so a
+    hot key is no single task.
+    """
+    spread = rows.withColumn("_spread", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
+    copies = entries.withColumn(
+        "_spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return spread.join(copies, [*keys, "_spread"]).drop("_spread")
+
+
 def _spread_of(df: DataFrame, preserved: bool, key: str, salt: int) -> Column:
     """Second join key: 0..salt-1 for keyed rows, spread out for null keys."""
     row = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])

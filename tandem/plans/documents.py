@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from tandem.plans.retrieval import explode_operations, last_by_name, nearest, numbered_list, spread_join
+from tandem.operators.joins import spread_join
+from tandem.plans.retrieval import explode_operations, last_by_name, nearest, numbered_list
 from tandem.session import settle
 
 Embedder = Callable[[list[str]], list[list[float]]]

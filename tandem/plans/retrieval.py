@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tandem.functions.text import parse_operations, strip_space
-
-# Copies of each guide entry, so that a very frequent operation is looked up in many tasks.
-SPREAD = 16
+from tandem.operators.joins import spread_join
 
 # Vectors per block in nearest-neighbour search: a block of 1,000 floats is 8 MB.
 BLOCK_ROWS = 2048
@@ -39,18 +37,6 @@ def first_entries(guide: DataFrame, name: str = "operation", line: str = "line_n
     )
 
 
-def spread_join(rows: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of many rows with few `entries` by `keys`.
-
-    Rows of one key go by `SPREAD` extra key values unless Spark broadcasts the entries, so a
-    hot key is no single task.
-    """
-    spread = rows.withColumn("_spread", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
-    copies = entries.withColumn(
-        "_spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
-    return spread.join(copies, [*keys, "_spread"]).drop("_spread")
-
-
 def keyword_join(operations: DataFrame, guide: DataFrame, name: str = "operation") -> DataFrame:
     """Operations with their guide entry; names the guide lacks drop out.
 
