@@ -164,6 +164,33 @@ def _(spark, d):
     return E.differing_runs(left, right, [F.col("y").desc()], [F.col("y").desc()])
 
 
+def _ordered_sql(order: str) -> str:
+    return f"""(SELECT row(a, b, y, n) AS run, CAST(sum(n) OVER (ORDER BY {order}) - n AS BIGINT) AS start
+      FROM (SELECT a, b, y, count(*) AS n FROM {SQL_LEFT} GROUP BY a, b, y))"""
+
+
+# The same answer in orders of its own: reversed, the same, and the same but for ties.
+RIGHT_ORDERS = {
+    "reversed": ("y, a, b", lambda: [F.col("y").asc()]),
+    "same": ("y DESC, a, b", lambda: [F.col("y").desc()]),
+    "other_ties": ("y DESC, a DESC, b", lambda: [F.col("y").desc(), F.col("a").desc()]),
+}
+
+
+@query("e06_orders", " UNION ALL ".join(f"""
+    SELECT {quote(name)} AS case_name, count(*) AS n_differing FROM {_ordered_sql("y DESC, a, b")} l
+      FULL JOIN {_ordered_sql(order)} r ON l.start = r.start WHERE l.run IS DISTINCT FROM r.run"""
+    for name, (order, _) in RIGHT_ORDERS.items()))
+def _(spark, d):
+    """One result against itself in three declared orders; only the same order has no differing place."""
+    left, _ = _answers(spark, d)
+    found = [
+        E.differing_runs(left, left.repartition(5), [F.col("y").desc()], order(), places=512, fan=4).agg(
+            F.lit(name).alias("case_name"), F.count("*").alias("n_differing"))
+        for name, (_, order) in RIGHT_ORDERS.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("e07_equal_bag", f"""
     SELECT a, b, y, CAST(sum(sign) AS BIGINT) AS surplus FROM
       (SELECT a, b, y, 1 AS sign FROM {SQL_LEFT} UNION ALL SELECT a, b, y, -1 FROM {SQL_RIGHT})

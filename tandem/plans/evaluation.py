@@ -12,6 +12,7 @@ from pyspark.sql.types import (
 
 from tandem.functions.text import base_name
 from tandem.operators.ordering import number_rows
+from tandem.session import settle
 
 # Outcome texts.
 PASSED = ("passed", "correct")
@@ -30,6 +31,9 @@ QUIET_TENSORFLOW = (
 ROUNDING_OFFSET = 1e-10
 DIGITS = 1
 
+# Places of a result in one digest, and digests under one of the next level.
+RANGE_PLACES, RANGES_AT_ONCE = 4096, 1024
+
 # Path parts of the runs whose cases are logged, and parts that veto it.
 LOGGED_RUNS = {
     "query": (("zero_shot", "rag", "intent"), ()),
@@ -151,22 +155,63 @@ def _runs(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return number_rows(counted, [*order, *ties], "start", weight="n")[0]
 
 
+def _xor_of(*cells: str | Column) -> list[Column]:
+    """Two independent hashes of rows, joined so that neither order of arrival nor partitions matter."""
+    return [F.bit_xor(F.xxhash64(F.lit(seed), *cells)).alias(f"h{seed}") for seed in (0, 1)]
+
+
+def range_digests(runs: DataFrame, places: int) -> DataFrame:
+    """One row for each `places` places of a numbered result: range, h0 and h1.
+
+    A run belongs to the range it starts in, and its digest holds its place, length and cells, so two
+    results have the same digests where they are the same list.
+    """
+    return runs.groupBy(F.floor(F.col("start") / places).alias("range")).agg(*_xor_of(*runs.columns))
+
+
+def differing_ranges(left: DataFrame, right: DataFrame, fan: int) -> DataFrame:
+    """Ranges whose digests two sides (`range_digests`) do not share, by a tree of two levels.
+
+    Digests of `fan` ranges are compared first, and single ranges only below those that differ.
+    """
+    def tops(side: DataFrame) -> DataFrame:
+        return side.groupBy(F.floor(F.col("range") / fan).alias("top")).agg(*_xor_of("range", "h0", "h1"))
+
+    def unequal(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+        both = a.withColumnsRenamed({"h0": "l0", "h1": "l1"}).join(b, key, "full")
+        return both.where(~(F.col("l0").eqNullSafe(F.col("h0")) & F.col("l1").eqNullSafe(F.col("h1")))).select(key)
+
+    open_tops = unequal(tops(left), tops(right), "top")
+    below = [side.join(open_tops, F.floor(side["range"] / fan) == open_tops["top"], "left_semi") for side in (left, right)]
+    return unequal(*below, "range")
+
+
 def differing_runs(
     left: DataFrame, right: DataFrame,
     left_order: Sequence[Column], right_order: Sequence[Column],
+    places: int = RANGE_PLACES, fan: int = RANGES_AT_ONCE,
 ) -> DataFrame:
     """Places where two results, each in its own declared order, do not agree.
 
     Empty means equal as lists. Rows hold the run's start and, for each side, its
     length and cells (null where the side has no run starting there).
-    """
-    def side(df: DataFrame, order: Sequence[Column], tag: str) -> DataFrame:
-        runs = _runs(df, order)
-        return runs.select(
-            "start", F.struct("n", *df.columns).alias(tag)
-        )
 
-    both = side(left, left_order, "l").join(side(right, right_order, "r"), "start", "full")
+    Each side is sorted by itself. What the sides are compared by first are digests of
+    ranges of places; only the runs of ranges that differ meet cell by cell, so equal
+    results exchange digests alone.
+    """
+    sides = [settle(_runs(df, order)) for df, order in ((left, left_order), (right, right_order))]
+    digests = [settle(range_digests(runs.select("start", "n", *left.columns), places)) for runs in sides]
+    ranges = settle(differing_ranges(*digests, fan))
+    # The lowest and highest range reach the scans, which are sorted by place.
+    low, high = ranges.agg(F.min("range"), F.max("range")).first()
+    near = F.lit(False) if low is None else F.col("start").between(low * places, (high + 1) * places - 1)
+
+    def side(runs: DataFrame, tag: str) -> DataFrame:
+        open_runs = runs.where(near).withColumn("range", F.floor(F.col("start") / places)).join(ranges, "range", "left_semi")
+        return open_runs.select("start", F.struct("n", *left.columns).alias(tag))
+
+    both = side(sides[0], "l").join(side(sides[1], "r"), "start", "full")
     cells = ["n", *left.columns]
     return both.filter(~F.col("l").eqNullSafe(F.col("r"))).select(
         "start",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
 from collections.abc import Iterable, Mapping
@@ -21,38 +20,43 @@ from tandem.sources.tables import query_only, register_views
 TIME_LIMIT = 30.0
 PAIRS_AT_ONCE = 8
 
+# Spark's names of the steps that hand rows on in the order they come.
+KEEP_ORDER = ("SubqueryAlias", "Project", "GlobalLimit", "LocalLimit", "Offset", "WithCTE")
+
 OUTCOME = "pair_id long, passed boolean, result string"
 
 
-def order_items(sql: str) -> list[str]:
-    """Sort items of the statement's own ORDER BY, none if it has none.
+def order_of(df: DataFrame) -> list[tuple[int | None, bool, bool]]:
+    """The order a query's rows come in, as Spark's analysis of its text has it; empty for none.
 
-    Sub-queries, calls and quoted texts are blanked first, so theirs do not count.
+    For each sort key the output column's place from 1 (None for a key that is none), whether it
+    ascends, and whether nulls come first.
     """
-    text = re.sub(r"'(?:[^']|\'\')*'", "''", sql)
-    while (shorter := re.sub(r"\([^()]*\)", " _ ", text)) != text:
-        text = shorter
-    found = re.search(r"(?is)\border\s+by\b(.*?)(?:\blimit\b.*|\boffset\b.*|;\s*)?$", text)
-    return [item.strip() for item in found[1].split(",")] if found else []
-
-
-def order_columns(items: list[str], names: list[str]) -> list[Column]:
-    """Sort items by place or output name as keys over `_c0`, `_c1`, ...; Spark's null places."""
+    plan = df._jdf.queryExecution().analyzed()
+    output = plan.output()
+    while plan.nodeName() in KEEP_ORDER:
+        plan = plan.plan() if plan.nodeName() == "WithCTE" else plan.child()
+    if plan.nodeName() != "Sort" or not getattr(plan, "global")():
+        return []
+    ordering = plan.order()
+    ids = [output.apply(i).exprId() for i in range(output.size())]
     keys = []
-    lowered = [n.lower() for n in names]
-    for item in items:
-        parts = re.fullmatch(r"(?is)(.+?)(?:\s+(asc|desc))?(?:\s+nulls\s+(first|last))?", item)
-        word, down = parts[1].strip("`\" ").lower(), (parts[2] or "").lower() == "desc"
-        at = int(word) - 1 if word.isdigit() else lowered.index(word.split(".")[-1]) if word.split(".")[-1] in lowered else None
-        if at is None:
-            raise ValueError(f"give order_by: {item} is no output column of the reference")
-        nulls_first = parts[3].lower() == "first" if parts[3] else not down
-        col = F.col(f"_c{at}")
-        keys.append((col.desc_nulls_first() if nulls_first else col.desc_nulls_last()) if down
-                    else (col.asc_nulls_first() if nulls_first else col.asc_nulls_last()))
+    for i in range(ordering.size()):
+        key = ordering.apply(i)
+        column = key.child()
+        named = column.getClass().getSimpleName() == "AttributeReference"
+        at = next((n for n, own in enumerate(ids, 1) if named and own.equals(column.exprId())), None)
+        keys.append((at, key.isAscending(), key.nullOrdering().sql() == "NULLS FIRST"))
     return keys
 
 
+def _sort_key(place: int, ascending: bool, nulls_first: bool) -> Column:
+    col = F.col(f"_c{place - 1}")
+    if ascending:
+        return col.asc_nulls_first() if nulls_first else col.asc_nulls_last()
+    return col.desc_nulls_first() if nulls_first else col.desc_nulls_last()
+
+
 def _comes_in(rows: DataFrame, places: list[int], keys: list[Column]) -> bool:
     """Whether rows (with `_id` rising as they come out) come out in the order of `keys`.
 
@@ -71,18 +75,17 @@ def _matches(spark: SparkSession, case: Mapping) -> bool:
         return False
     if not differing_rows(*align_types(*sides)).isEmpty():
         return False
-    items = order_items(case["reference_sql"])
-    if not items:
+    order = order_of(raw[0])
+    if not order:
         return True
-    if not order_items(case["candidate_sql"]):
+    if not order_of(raw[1]):
         return False
     if case.get("order_by"):
-        items = [f"{abs(p)} {'desc' if p < 0 else 'asc'}" for p in case["order_by"]]
-    keys = order_columns(items, raw[0].columns)
-    names = [c.lower() for c in raw[0].columns]
-    places = list(dict.fromkeys(
-        int(w) - 1 if w.isdigit() else names.index(w)
-        for w in (i.split()[0].strip("`\"").lower().split(".")[-1] for i in items)))
+        order = [(abs(p), p > 0, p > 0) for p in case["order_by"]]  # nulls where Spark puts them
+    if any(place is None for place, _, _ in order):
+        raise ValueError("give order_by: a sort key is no output column of the reference")
+    keys = [_sort_key(*key) for key in order]
+    places = list(dict.fromkeys(place - 1 for place, _, _ in order))
     # The candidate's rows in its own order: a sorted result has rising ids from end to end.
     return _comes_in(positional(raw[1]).withColumn("_id", F.monotonically_increasing_id()), places, keys)
 
@@ -133,9 +136,9 @@ def score_pairs(
 ) -> DataFrame:
     """One row per trusted pair: pair_id, passed, result.
 
-    A case has pair_id, reference_sql and candidate_sql. Order counts where the reference has an
-    ORDER BY of its own: the candidate must have one too, and its rows must come out in the
-    reference's order, ties aside. `order_by` (1-based places, negative for descending) names that
+    A case has pair_id, reference_sql and candidate_sql. Order counts where the reference's rows
+    are ordered, as Spark's analysis of the text says: the candidate's must be ordered too, and come
+    out in the reference's order, ties aside. `order_by` (1-based places, negative for descending) names that
     order where it is no list of output columns. Only SELECT text runs. Each pair is
     a distributed job that returns a single bit; the driver holds texts and outcomes.
     """
