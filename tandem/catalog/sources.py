@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tandem.catalog.registry import query, quote
 from tandem.operators.containment import contain_join, table_mentions
 from tandem.session import scratch_path
-from tandem.sources import jsonl, profile as P, progress
+from tandem.sources import jsonl, profile as P, progress, sketches as S
 from tandem.sources.tables import load_tables, run_sql, table
 
 # Columns of the test tables, as Spark names their types.
@@ -115,6 +115,38 @@ def _(spark, d):
     return P.profile_tables(load_tables(spark, d, TABLE_TYPES), exact=True)
 
 
+SKETCHED = ["part", "orders", "events", "labels"]
+
+
+@query("s06_sketch_profile", f"""
+    SELECT * EXCLUDE (n_distinct), true AS distinct_within,
+      CASE WHEN data_type IN ('int', 'bigint', 'double') THEN true END AS median_within
+    FROM ({" UNION ALL ".join(_profile_sql(name) for name in SKETCHED)})""")
+def _(spark, d):
+    """Profiles merged from sketches of files that came in two lots, and whether the estimates are as near as stated."""
+    store, found = scratch_path(spark, "sketches"), []
+    for name, df in load_tables(spark, d, SKETCHED).items():
+        folder = scratch_path(spark, f"lots-{name}")
+        for lot in (0, 1):
+            half = F.pmod(F.xxhash64(*df.columns), F.lit(2)) == lot
+            df.where(half).repartition(2).write.mode("append").parquet(folder)
+            S.update_sketches(spark, store, name, folder)
+        merged = S.merged_profile(spark, store, name, folder)
+        medians = {r["column_name"]: r["median"] for r in merged.where("median IS NOT NULL").collect()}
+        near = [F.struct(
+            F.lit(c).alias("column_name"),
+            ((F.count_if(F.col(c) < m) <= (0.5 + S.RANK_ERROR) * F.count(c))
+             & (F.count_if(F.col(c) <= m) >= (0.5 - S.RANK_ERROR) * F.count(c))).alias("median_within"))
+            for c, m in medians.items()]
+        ranks = df.agg(F.array(*near).alias("r")).select(F.inline("r"))
+        exact = P.count_distinct_values(df).withColumnRenamed("n_distinct", "truth")
+        within = F.abs(F.col("n_distinct") - F.col("truth")) <= S.DISTINCT_ERROR * F.col("truth")
+        found.append(merged.join(exact, "ordinal").join(ranks, "column_name", "left").select(
+            "table_name", "ordinal", "column_name", "data_type", "n_rows", "n_nulls", "smallest", "largest",
+            within.alias("distinct_within"), "median_within"))
+    return reduce(DataFrame.unionByName, found)
+
+
 PRIMARY_KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"],
     "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
@@ -152,13 +184,7 @@ def _key_sql() -> str:
 
 @query("s09_key_check", _key_sql())
 def _(spark, d):
-    tables = load_tables(spark, d, TABLE_TYPES)
-    found = [P.check_primary_key(tables[t], f"{t}_pk", cols) for t, cols in PRIMARY_KEYS.items()]
-    found += [
-        P.check_foreign_key(tables[child], f"{child}_{column}_fk", column, tables[parent], parent_column)
-        for child, column, parent, parent_column in FOREIGN_KEYS
-    ]
-    return reduce(DataFrame.unionByName, found)
+    return P.check_keys(load_tables(spark, d, TABLE_TYPES), PRIMARY_KEYS, FOREIGN_KEYS)
 
 
 SQL_TEXTS = """(SELECT p_partkey, p_type AS db_id,

@@ -27,7 +27,7 @@ TABLES_AT_ONCE = 4
 # The expressions below are SQL text: a wide table takes hundreds of them, and building
 # each from Python calls would take longer than small tables' jobs.
 
-def _text_of(value: str, dtype: DataType) -> str:
+def text_of(value: str, dtype: DataType) -> str:
     """One spelling per type, so minima of all columns fit one text column."""
     if isinstance(dtype, (ArrayType, MapType, StructType)):
         return "CAST(NULL AS STRING)"
@@ -44,7 +44,7 @@ def _text_of(value: str, dtype: DataType) -> str:
     return f"CAST({value} AS STRING)"
 
 
-def _literal(text: str) -> str:
+def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -89,11 +89,11 @@ def _figures(df: DataFrame, columns: list[tuple[int, str, DataType]], exact: boo
     for at, name, dtype in columns:
         sketch = "" if exact else f"approx_count_distinct(`{name}`) AS n_distinct, "
         rows.append(
-            f"struct({at}L AS ordinal, {_literal(df.columns[at - 1])} AS column_name, "
+            f"struct({at}L AS ordinal, {literal(df.columns[at - 1])} AS column_name, "
             f"'{dtype.simpleString()}' AS data_type, count(1) AS n_rows, "
             f"count_if(`{name}` IS NULL) AS n_nulls, {sketch}"
-            f"{_text_of(f'min(`{name}`)', dtype)} AS smallest, "
-            f"{_text_of(f'max(`{name}`)', dtype)} AS largest)"
+            f"{text_of(f'min(`{name}`)', dtype)} AS smallest, "
+            f"{text_of(f'max(`{name}`)', dtype)} AS largest)"
         )
     return df.agg(F.expr(f"array({', '.join(rows)}) AS rows")).selectExpr("inline(rows)")
 
@@ -167,3 +167,69 @@ def check_foreign_key(
         F.lit("FOREIGN KEY").alias("kind"),
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations"),
     )
+
+
+def _slot_value(columns: Sequence[str]) -> str:
+    """One text for a key's values, other for other values; a null has its own."""
+    parts = []
+    for name in columns:
+        text = f"CAST(`{name.replace('`', '``')}` AS STRING)"
+        parts.append(f"coalesce(concat(length({text}), ':', {text}), '-')")
+    return f"concat({', '.join(parts)})"
+
+
+def key_values(tables: dict[str, DataFrame], slots: Sequence[tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """Columns value, slot and n: how many rows of a slot's table have each value in its columns.
+
+    A slot is a table and some of its columns. Each table is scanned once for all its slots, and
+    rows are counted where they are read, so a hot value travels once per task.
+    """
+    parts = []
+    for name, df in tables.items():
+        own = [(at, columns) for at, (table, columns) in enumerate(slots) if table == name]
+        if own:
+            cells = ", ".join(
+                f"struct({at} AS slot, {_slot_value(columns)} AS value, {' OR '.join(f'`{c}` IS NULL' for c in columns)} AS missing)"
+                for at, columns in own)
+            parts.append(df.selectExpr(f"inline(array({cells}))"))
+    each = reduce(DataFrame.unionByName, parts)
+    return each.groupBy("slot", "value", "missing").agg(F.count(F.lit(1)).alias("n"))
+
+
+def check_keys(
+    tables: dict[str, DataFrame],
+    primary: dict[str, Sequence[str]],
+    foreign: Iterable[tuple[str, str, str, str]],
+) -> DataFrame:
+    """Violations of all declared keys at once: constraint_name, kind, violations.
+
+    `primary` names each table's key columns; `foreign` lists child, column, parent and parent
+    column. A primary key is violated by each value that occurs more than once or holds a
+    null, a foreign key by each child row whose value no parent row has (null points nowhere).
+
+    Every value is brought together with the slots that have it, as inclusion dependencies
+    are found: one look at a value settles all keys it matters to. Tables are scanned once, and a
+    value's list is no longer than the number of slots.
+    """
+    foreign = list(foreign)
+    slots = list(dict.fromkeys(
+        [(table, tuple(columns)) for table, columns in primary.items()]
+        + [(table, (column,)) for child, c, parent, p in foreign for table, column in ((child, c), (parent, p))]))
+    at = {slot: i for i, slot in enumerate(slots)}
+    keys = [(f"{table}_pk", "PRIMARY KEY", at[table, tuple(columns)], -1) for table, columns in primary.items()]
+    keys += [(f"{child}_{c}_fk", "FOREIGN KEY", at[child, (c,)], at[parent, (p,)]) for child, c, parent, p in foreign]
+    counted = key_values(tables, slots).groupBy("value").agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", F.struct("n", "missing")))).alias("has"))
+    # Sums of all keys in one row: as many as there are constraints.
+    sums = []
+    for i, (_, kind, own, parent) in enumerate(keys):
+        cell = F.element_at("has", F.lit(own))
+        if kind == "PRIMARY KEY":
+            bad = F.when((cell["n"] > 1) | cell["missing"], F.lit(1).cast("long"))
+        else:
+            bad = F.when(~cell["missing"] & ~F.map_contains_key("has", F.lit(parent)), cell["n"])
+        sums.append(F.coalesce(F.sum(bad), F.lit(0).cast("long")).alias(f"k{i}"))
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("constraint_name"), F.lit(kind).alias("kind"), F.col(f"k{i}").alias("violations"))
+        for i, (name, kind, _, _) in enumerate(keys)])
+    return counted.agg(*sums).select(F.inline(rows))

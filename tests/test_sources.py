@@ -1,10 +1,13 @@
 """Reading, writing, profiles and keys."""
 
+import datetime as dt
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from tandem.session import scratch_path, shared_dir
-from tandem.sources import jsonl, profile as P, progress
+from tandem.sources import jsonl, profile as P, progress, sketches as S
 from tandem.sources.tables import load_tables
 
 
@@ -76,6 +79,30 @@ def test_keys(spark):
     assert P.check_foreign_key(parent, "fk", "id", parent, "id").first()["violations"] == 0
 
 
+def test_all_keys_at_once(spark, capsys):
+    tables = {
+        "child": spark.createDataFrame([(1, 1, "a"), (1, 9, "b"), (2, 9, None), (3, None, "1:a"), (4, 1, "a")], "id long, ref int, t string"),
+        "parent": spark.createDataFrame([(1, "a"), (2, "zz"), (2, "b"), (None, None)], "id long, name string"),
+        "lines": spark.createDataFrame([("a", "b:c"), ("a:b", "c"), ("a", "b:c"), (None, "x"), (None, "x")], "x string, y string"),
+        "empty": spark.createDataFrame([], "id long"),
+    }
+    primary = {"child": ["id"], "parent": ["id"], "lines": ["x", "y"], "empty": ["id"]}
+    foreign = [("child", "ref", "parent", "id"), ("child", "t", "parent", "name"), ("parent", "id", "child", "ref"),
+               ("child", "id", "empty", "id"), ("empty", "id", "child", "id"), ("parent", "id", "parent", "id")]
+    checked = P.check_keys(tables, primary, foreign)
+    want = {f"{t}_pk": P.check_primary_key(tables[t], "", c).first()["violations"] for t, c in primary.items()}
+    want |= {f"{c}_{x}_fk": P.check_foreign_key(tables[c], "", x, tables[p], y).first()["violations"] for c, x, p, y in foreign[:-1]}
+    want["parent_id_fk"] = None
+    got = {r["constraint_name"]: r["violations"] for r in checked.collect() if r["constraint_name"] != "parent_id_fk"}
+    assert {**got, "parent_id_fk": None} == want
+    assert sorted(r["violations"] for r in checked.collect() if r["constraint_name"] == "parent_id_fk") == [0, 2]
+    assert got == {"child_pk": 1, "parent_pk": 2, "lines_pk": 2, "empty_pk": 0, "child_ref_fk": 2, "child_t_fk": 1, "child_id_fk": 5, "empty_id_fk": 0}
+    files = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("orders", "customer", "nation")}
+    P.check_keys(files, {"orders": ["o_orderkey"], "customer": ["c_custkey"]},
+                 [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey")]).explain()
+    assert capsys.readouterr().out.count("FileScan") == 3
+
+
 def test_skip_done(spark):
     pending = spark.createDataFrame([("m", "a"), ("m", "b"), ("n", "a")], "model string, file string")
     done = spark.createDataFrame([("m", "a"), ("m", "a")], "model string, file string")
@@ -96,3 +123,46 @@ def test_scratch_is_below_the_configured_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_dir(spark) == named
+
+
+def numbers(n, start=0):
+    """Rows of every kind of column, with nulls, NaN, -0.0 and texts that sort by bytes."""
+    return [(i, None if i % 5 == 0 else i % 90, float("nan") if i % 97 == 0 else (i % 400) / 8 - 10, f"é{i % 33}" if i % 4 else None,
+             dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), Decimal(i % 21) / 4, [i % 3], bool(i % 2)) for i in range(start, start + n)]
+
+
+KINDS = "id long, k int, d double, `odd ``name` string, t timestamp_ntz, m decimal(9,2), v array<int>, b boolean"
+
+
+def test_sketches_merge_to_the_profile(spark, tmp_path):
+    folder, store = str(tmp_path / "table"), str(tmp_path / "store")
+    for round_, n in enumerate((900, 2100)):
+        part = spark.createDataFrame(numbers(n, 900 * round_), KINDS)
+        part.repartition(3).write.mode("append").parquet(folder)
+        assert S.update_sketches(spark, store, "t", folder) == 3
+        assert S.update_sketches(spark, store, "t", folder) == 0
+        whole = spark.read.parquet(folder)
+        exact = {r["column_name"]: r for r in P.profile_columns(whole, "t", exact=True).collect()}
+        got = {r["column_name"]: r for r in S.merged_profile(spark, store, "t", folder).collect()}
+        assert set(got) == set(exact)
+        for name, row in got.items():
+            same = ["table_name", "ordinal", "data_type", "n_rows", "n_nulls", "smallest", "largest"]
+            assert [row[c] for c in same] == [exact[name][c] for c in same], name
+            assert abs(row["n_distinct"] - exact[name]["n_distinct"]) <= S.DISTINCT_ERROR * exact[name]["n_distinct"], name
+        assert {n for n, r in got.items() if r["median"] is not None} == {"id", "k", "d", "m"}
+        below = whole.where(F.col("id") <= got["id"]["median"]).count()
+        assert abs(below / whole.count() - 0.5) < S.RANK_ERROR
+
+
+def test_sketches_of_changed_and_removed_files(spark, tmp_path):
+    folder, store = tmp_path / "table", str(tmp_path / "store")
+    write = lambda n, name: spark.createDataFrame([(i,) for i in range(n)], "a long").coalesce(1).write.mode("overwrite").parquet(str(folder / name))
+    for name, n in (("x y", 5), ("z", 7)):
+        write(n, name)
+    S.update_sketches(spark, store, "t", str(folder))
+    write(50, "z")
+    rows = lambda: [tuple(r) for r in S.merged_profile(spark, store, "t", str(folder)).select("n_rows", "largest").collect()]
+    assert rows() == [(5, "4.000000")]  # the new file has no sketch yet, and the old one is gone
+    assert S.update_sketches(spark, store, "t", str(folder)) == 1
+    assert rows() == [(55, "49.000000")]
+    assert S.update_sketches(spark, store, "other", str(folder / "z")) == 1 and rows() == [(55, "49.000000")]
