@@ -48,6 +48,33 @@ def _(spark, d):
     return _digest(jsonl.read_jsonl(spark, path, DOCUMENT))
 
 
+# Documents as lines of one file a language; every seventh is cut off, every eleventh has a text for a number.
+SQL_LINES = """(SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS line_no,
+    CASE WHEN doc_id % 7 = 0 THEN '{"doc_id": ' || doc_id WHEN doc_id % 11 = 0 THEN '{"doc_id": "no ' || doc_id || '"}' END AS bad
+    FROM documents WHERE lang IS NOT NULL)"""
+
+
+@query("s01_line_numbers", f"""
+    SELECT lang, line_no, CASE WHEN bad IS NULL THEN doc_id END AS doc_id, CASE WHEN bad IS NULL THEN md5(text) END AS text_md5,
+      bad AS bad_line FROM {SQL_LINES}""")
+def _(spark, d):
+    """Rows by file and line, and the broken lines by theirs."""
+    path = scratch_path(spark, "lines")
+    number = F.col("doc_id").cast("string")
+    line = (
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit('{"doc_id": '), number))
+        .when(F.col("doc_id") % 11 == 0, F.concat(F.lit('{"doc_id": "no '), number, F.lit('"}')))
+        .otherwise(F.to_json(F.struct("doc_id", "text"))))
+    documents = table(spark, d, "documents").where("lang IS NOT NULL").select("lang", "doc_id", line.alias("value"))
+    one_file = documents.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value")
+    one_file.write.partitionBy("lang").text(path)
+    rows, bad = jsonl.read_numbered(spark, path, "doc_id long, text string", "*.txt")
+    lang = F.regexp_extract("file", "lang=(.*)$", 1).alias("lang")
+    none = F.lit(None).cast("string")
+    return rows.select(lang, "line_no", "doc_id", F.md5("text").alias("text_md5"), none.alias("bad_line")).unionByName(
+        bad.select(lang, "line_no", none.cast("long").alias("doc_id"), none.alias("text_md5"), F.col("text").alias("bad_line")))
+
+
 @query("s02_jsonl_overwrite", SQL_DOCUMENT)
 def _(spark, d):
     path = scratch_path(spark, "overwrite")

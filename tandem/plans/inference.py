@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import logging
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from threading import Semaphore
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -62,6 +65,41 @@ def _answer(model: Model, prompts: list[str | None], tries: int, pause: float) -
     return answers
 
 
+def _calls_in_flight(
+    model: Model, batches: Iterator[list[str | None]], batch_rows: int, tries: int, pause: float, in_flight: int
+) -> Iterator[list[str]]:
+    """Answers of each batch, in order, with up to `in_flight` calls at a time, also across batches.
+
+    A batch is read as soon as there is room for its first call, so memory is bounded by the calls, and a
+    slow call holds back only what comes after it.
+    """
+    waiting: deque[list[Future]] = deque()
+    room = Semaphore(in_flight)
+
+    def call(part: list[str | None]) -> list[str]:
+        try:
+            return _answer(model, part, tries, pause)
+        finally:
+            room.release()
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        try:
+            for texts in batches:
+                calls: list[Future] = []
+                waiting.append(calls)
+                for start in range(0, len(texts), batch_rows):
+                    room.acquire()
+                    calls.append(pool.submit(call, texts[start : start + batch_rows]))
+                while len(waiting) > 1 and all(c.done() for c in waiting[0]):
+                    yield [a for c in waiting.popleft() for a in c.result()]
+                if len(waiting) > in_flight:
+                    yield [a for c in waiting.popleft() for a in c.result()]
+            while waiting:
+                yield [a for c in waiting.popleft() for a in c.result()]
+        finally:
+            pool.shutdown(cancel_futures=True)
+
+
 def batch_infer(
     df: DataFrame,
     load_model: Callable[[], Model],
@@ -70,24 +108,24 @@ def batch_infer(
     batch_rows: int = BATCH_ROWS,
     tries: int = MAX_TRIES,
     pause: float = PAUSE,
+    in_flight: int = 1,
 ) -> DataFrame:
     """Add the model's answer to each prompt, or `[INVALID]` after the last try and for null prompts.
 
     A call that raises is tried again after `pause` seconds, so one time-out does not fail
-    the job. `load_model` runs once per task on the executor. Only the prompt column goes to
-    Python; the other columns stay in the JVM. Store or `settle` the result before two
-    consumers read it, so that no prompt is answered twice.
+    the job. `load_model` runs once per task on the executor. With `in_flight` above 1 that many calls
+    of a task are under way at once, each with retries of its own rows alone, and the model must
+    stand calls from several threads: for models behind a network, whose calls wait. Only the
+    prompt column goes to Python; the other columns stay in the JVM. Store or `settle` the result
+    before two consumers read it, so that no prompt is answered twice.
     """
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
-        for prompts in batches:
-            texts = prompts.astype(object).where(prompts.notna(), None).tolist()
-            answers: list[str] = []
-            for start in range(0, len(texts), batch_rows):
-                answers += _answer(model, texts[start : start + batch_rows], tries, pause)
-            yield pd.Series(answers, index=prompts.index, dtype=object)
+        texts = (prompts.astype(object).where(prompts.notna(), None).tolist() for prompts in batches)
+        for answers in _calls_in_flight(model, texts, batch_rows, tries, pause, in_flight):
+            yield pd.Series(answers, dtype=object)
 
     # Not deterministic, so the optimizer neither repeats nor reorders the calls.
     return df.withColumn(response, ask.asNondeterministic()(F.col(prompt)))

@@ -55,6 +55,56 @@ def test_a_raising_call_is_one_try(spark, failures, expected):
     assert got == expected
 
 
+def slow(log, failing=()):
+    """Answers late calls first, fails some calls once, and writes down how many were under way."""
+    def load():
+        import threading
+        import time
+        import uuid
+
+        lock, state = threading.Lock(), {"now": 0, "most": 0, "seen": {}}
+
+        def model(prompts):
+            with lock:
+                state["now"] += 1
+                state["most"] = max(state["most"], state["now"])
+                calls = state["seen"][prompts[0]] = state["seen"].get(prompts[0], 0) + 1
+            time.sleep(0.15 if int(prompts[0].split()[1]) % 20 < 10 else 0.02)
+            with lock:
+                state["now"] -= 1
+                (log / f"{uuid.uuid4().hex}").write_text(str(state["most"]))
+            if prompts[0] in failing and calls == 1:
+                raise TimeoutError("busy")
+            return ["" if p.endswith("never") or (p.endswith("late") and calls < 2) else f"{p}!" for p in prompts]
+
+        return model
+
+    return load
+
+
+@pytest.mark.parametrize("in_flight", [1, 4])
+def test_calls_in_flight(spark, tmp_path, in_flight):
+    """Order is kept, rows are asked again by themselves, and no more calls than allowed are under way."""
+    texts = [None if i == 33 else f"p {i} " + ("late" if i % 17 == 3 else "never" if i % 23 == 5 else "x") for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "item_id long, prompt string").coalesce(1)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "15")
+    try:
+        out = I.batch_infer(df, slow(tmp_path, {"p 20 x", "p 40 x"}), batch_rows=5, tries=3, pause=0, in_flight=in_flight)
+        got = [(r["item_id"], r["response"]) for r in out.collect()]
+    finally:
+        spark.conf.set(limit, before)
+    assert got == [(i, INVALID if t is None or t.endswith("never") else f"{t}!") for i, t in enumerate(texts)]
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) == in_flight
+
+
+def test_a_broken_call_in_flight_fails_the_job(spark):
+    df = spark.createDataFrame([(f"p {i}",) for i in range(40)], "prompt string").coalesce(1)
+    with pytest.raises(Exception, match="zip"):
+        I.batch_infer(df, lambda: lambda prompts: ["one"], batch_rows=3, in_flight=4).collect()
+
+
 def test_answer_count_must_match(spark):
     df = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
     with pytest.raises(Exception, match="zip"):

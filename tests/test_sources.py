@@ -39,6 +39,46 @@ def test_broken_lines(spark, tmp_path):
     assert jsonl.read_jsonl(spark, str(tmp_path), "a long", strict=False).count() == 2
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files of a few hundred bytes are several blocks, some in one task."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+BAD = ["{", "not json", "[1]", '[{"a": 1}]', '{"a": "text"}', '{"a": 1', "null", "7"]
+
+
+@pytest.mark.parametrize("end", ["\n", ""])
+def test_lines_keep_their_place(spark, tmp_path, small_blocks, end):
+    files = {}
+    for name, n in (("a.jsonl", 200), ("deep/b c.jsonl", 57), ("one.jsonl", 1), ("none.jsonl", 0)):
+        lines = [BAD[i % len(BAD)] if i % 9 == 4 else " \t" if i % 13 == 6 else '{"a": %d, "b": "é%s"}' % (i, "x" * (i % 40)) for i in range(n)]
+        files[name] = lines
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(lines) + end if lines else "")
+    rows, bad = jsonl.read_numbered(spark, str(tmp_path / "in"), "a long, b string")
+    name_of = lambda r: r["file"].split("/in/")[1].replace("%20", " ")
+    want = {(n, i): line for n, lines in files.items() for i, line in enumerate(lines) if line.strip()}
+    assert {(name_of(r), r["line_no"]): r["text"] for r in bad.collect()} == {k: v for k, v in want.items() if v in BAD}
+    good = {(name_of(r), r["line_no"]): (r["a"], r["b"]) for r in rows.collect()}
+    assert good == {k: (k[1], "é" + "x" * (k[1] % 40)) for k, v in want.items() if v not in BAD}
+
+
+def test_lines_of_a_folder_that_spark_wrote(spark, tmp_path, small_blocks):
+    """Its parts are one file, in the order of their names."""
+    df = spark.range(500).repartitionByRange(4, "id").sortWithinPartitions("id")
+    jsonl.write_jsonl(df, str(tmp_path / "run.jsonl"))
+    rows, bad = jsonl.read_numbered(spark, str(tmp_path), "id long")
+    got = rows.collect()
+    assert {r["file"].split("/")[-1] for r in got} == {"run.jsonl"} and bad.isEmpty()
+    assert all(r["line_no"] == r["id"] for r in got) and len(got) == 500
+
+
 def test_missing_table_fails_at_once(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         load_tables(spark, "/root/testdata/sf0.001", ["orders", "nowhere"])
