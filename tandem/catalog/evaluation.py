@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tandem.catalog.prompts import SPACE, SQL_RESPONSES, responses
 from tandem.catalog.registry import query, quote
 from tandem.functions import text as X
+from tandem.operators.ordering import number_rows
 from tandem.plans import evaluation as E
+from tandem.plans.scoring import read_scores, same_text, score_files
 from tandem.plans.sql_pairs import score_pairs
+from tandem.session import scratch_path, settle
 from tandem.sources.tables import table
 
 # -- cases derived from events ---------------------------------------------------------
@@ -276,6 +279,51 @@ def _(spark, d):
     return paths.select("doc_id", F.explode(domains).alias("r")).select("doc_id", "r.domain", "r.m.*")
 
 
+# Part names as the truth; every run has another kind of mistake in every so many lines.
+RUN_FILES = {
+    # path: (lines of the run per truth line that are wrong, lines it stops before the end)
+    "zero_shot/alpha_v1_postgresql_to_pandas": (5, 0), "rag/alpha_v2_pandas_to_postgresql": (3, 40), "drafts/beta_v1_other": (2, 7),
+}
+SQL_TRUTH = "(SELECT p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS line_no, count(*) OVER () AS n FROM part)"
+
+
+def _run_sql(path: str) -> str:
+    wrong, short = RUN_FILES[path]
+    folder, name = path.split("/")
+    source, target = ("PostgreSQL", "Pandas") if "postgresql_to_pandas" in path else ("Pandas", "PostgreSQL")
+    return f"""SELECT {quote(path)} AS run, {quote(folder)} AS folder, {quote(name.split("_")[0])} AS model, {quote(name.split("_")[1])} AS version,
+      {quote(source)} AS source, {quote(target)} AS target, count(*) AS n_cases,
+      count(*) FILTER (line_no % {wrong} > 0 AND line_no % 10 <> 9) AS n_passed, count(*) FILTER (line_no % 10 = 9) AS execution_errors,
+      CAST(0 AS BIGINT) AS timeouts, count(*) FILTER (line_no % {wrong} = 0 AND line_no % 10 <> 9) AS assertion_errors,
+      count(*) FILTER (line_no % {wrong} = 0 OR line_no % 10 = 9) AS total_errors,
+      count(*) FILTER (line_no % {wrong} > 0 AND line_no % 10 <> 9) * 100.0::DOUBLE / count(*) AS accuracy,
+      CAST({short} AS BIGINT) AS n_truth_only, CAST(0 AS BIGINT) AS n_prediction_only,
+      CAST({f"count(*)" if folder != "drafts" else "0"} AS BIGINT) AS n_logged
+      FROM {SQL_TRUTH} WHERE line_no < n - {short}"""
+
+
+@query("e12_scores_from_files", " UNION ALL ".join(map(_run_sql, RUN_FILES)))
+def _(spark, d):
+    """Runs in files, paired by line, scored twice: the second time replaces the first."""
+    root = scratch_path(spark, "scores")
+    numbered, n = number_rows(table(spark, d, "part").select("p_partkey", "p_name"), [F.col("p_partkey")], "line_no")
+    numbered = settle(numbered)
+
+    def write(rows: DataFrame, path: str) -> None:
+        rows.repartitionByRange(3, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+
+    write(numbered.select("line_no", F.to_json(F.struct(F.col("p_name").alias("answer"))).alias("value")), f"{root}/truth.jsonl")
+    for path, (wrong, short) in RUN_FILES.items():
+        answer = F.concat(F.lit("```python\n"), "p_name", F.when(F.col("line_no") % wrong == 0, F.lit("?")).otherwise(F.lit("")), F.lit("\n```"))
+        line = F.when(F.col("line_no") % 10 == 9, F.lit("{")).otherwise(F.to_json(F.struct(answer.alias("response"))))
+        write(numbered.where(F.col("line_no") < n - short).select("line_no", line.alias("value")), f"{root}/runs/{path}.jsonl")
+    for _ in range(2):
+        score_files(spark, f"{root}/truth.jsonl", "answer string", f"{root}/runs", "response string", "query",
+                    same_text("answer", "response"), f"{root}/out", "*.txt")
+    logged = read_scores(spark, f"{root}/out", "cases").groupBy("run").agg(F.count("*").alias("n_logged"))
+    return read_scores(spark, f"{root}/out", "accuracy").join(logged, "run", "left").fillna(0, ["n_logged"])
+
+
 # -- SQL pairs -------------------------------------------------------------------------
 
 BY_CUSTOMER = "SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS decimal(18,2))) AS v FROM orders GROUP BY 1"
