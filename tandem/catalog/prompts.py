@@ -250,7 +250,7 @@ def _(spark, d):
     SELECT event_id, CAST(least((row_number() OVER (ORDER BY event_id) - 1) // 64,
         greatest(count(*) OVER () // 64, 1) - 1) AS BIGINT) AS batch_no FROM events""")
 def _(spark, d):
-    return number_batches(table(spark, d, "events"), "event_id", 64).select("event_id", "batch_no")
+    return number_batches(table(spark, d, "events").select("event_id"), "event_id", 64)
 
 
 def _load_echo():

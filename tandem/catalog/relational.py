@@ -495,6 +495,15 @@ def _(spark, d):
         "p_partkey", "mirrored")
 
 
+@query("r24_apply_function_series", "SELECT p_partkey, round(p_retailprice * 2 - p_size, 4) AS score FROM part")
+def _(spark, d):
+    """A function of a whole Series, here of two columns packed in one."""
+    packed = table(spark, d, "part").withColumn("both", F.struct("p_retailprice", "p_size"))
+    scored = M.apply_function(
+        packed, "both", "score", lambda both: (both["p_retailprice"] * 2 - both["p_size"]).round(4), "double", of_series=True)
+    return scored.select("p_partkey", "score")
+
+
 @query("r32_column_product", """
     SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 4) AS rebate FROM lineitem""")
 def _(spark, d):
@@ -542,7 +551,7 @@ SQL_KNOWN = f"(SELECT *, CASE WHEN NOT isnan(reading) THEN reading END AS known
 def _(spark, d):
     """The position makes the order itself part of the result: NaN and null come last."""
     rows = _readings(spark, d).select("l_orderkey", "l_linenumber", "reading")
-    order = [O.sort_key("reading", True, "frame"), F.col("l_orderkey"), F.col("l_linenumber")]
+    order = [O.sort_key("reading", True, "frame", holds_nan=True), F.col("l_orderkey"), F.col("l_linenumber")]
     return O.number_rows(rows, order)[0]
 
 

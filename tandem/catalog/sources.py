@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tandem.catalog.registry import query, quote
 from tandem.operators.containment import contain_join, table_mentions
-from tandem.session import scratch_path
+from tandem.session import scratch_path, settle
 from tandem.sources import jsonl, profile as P, progress, sketches as S
 from tandem.sources.tables import load_tables, run_sql, table
 
@@ -268,6 +268,8 @@ def _(spark, d):
     path = scratch_path(spark, "record")
     stats = table(spark, d, "documents").groupBy("source", F.col("lang").alias("target")).agg(
         F.count(F.lit(1)).alias("n_cases"), F.sum("n_chars").alias("n_chars"))
+    stats = settle(stats)
     for run_time in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
         progress.append_stats(stats, path, run_time)
+    progress.compact_stats(spark, path)
     return progress.read_stats(spark, path).select("source", "target", "n_cases", "n_chars", "run_time")

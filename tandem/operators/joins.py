@@ -33,36 +33,39 @@ def spread_join(rows: DataFrame, entries: DataFrame, keys: list[str]) -> DataFra
     return spread.join(copies, [*keys, "_spread"]).drop("_spread")
 
 
-def _spread_of(df: DataFrame, preserved: bool, key: str, salt: int) -> Column:
-    """Second join key: 0..salt-1 for keyed rows, spread out for null keys."""
-    row = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
-    keyed = F.pmod(row, F.lit(salt)) if salt > 1 else F.lit(0).cast("long")
-    lost = F.pmod(row, F.lit(NULL_SPREAD)) if preserved else F.lit(-1).cast("long")
-    return F.when(F.col(key).isNull(), lost).otherwise(keyed)
-
+def _salted(
+    many: DataFrame, one: DataFrame, many_key: str, one_key: str, how: str, salt: int, null_safe: bool
+) -> DataFrame:
+    """`many` joined with `one` (inner or left), each key split in `salt` parts by copying `one`.
 
-def _salted_copies(df: DataFrame, salt: int) -> DataFrame:
-    return df.withColumn("_spread_r", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    Rows are dealt out by a number of their own, so no column is read for it. Where null keys
+    match nothing, those that have to be kept go to parts of their own.
+    """
+    own = F.monotonically_increasing_id()
+    spread = F.pmod(own, F.lit(salt)) if salt > 1 else F.lit(0).cast("long")
+    if how == "left" and not null_safe:
+        spread = F.when(F.col(many_key).isNull(), F.pmod(own, F.lit(NULL_SPREAD))).otherwise(spread)
+    left = many.withColumn("_spread_l", spread)
+    if salt > 1:
+        copies = one.withColumn("_spread_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    else:
+        # Not a literal, or the optimizer would fold it away and drop the second key.
+        copies = one.withColumn("_spread_r", F.when(F.col(one_key).isNull(), -1).otherwise(0).cast("long"))
+    same = left[many_key].eqNullSafe(copies[one_key]) if null_safe else left[many_key] == copies[one_key]
+    joined = left.join(copies, same & (left["_spread_l"] == copies["_spread_r"]), how)
+    return joined.drop("_spread_l", "_spread_r")
 
 
-def _join_sql(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, salt: int
+def _joined(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, salt: int, null_safe: bool
 ) -> DataFrame:
+    if salt == 1 and (how == "inner" or null_safe):
+        same = left[left_key].eqNullSafe(right[right_key]) if null_safe else left[left_key] == right[right_key]
+        return left.join(right, same, how)
     if how == "right":
-        flipped = _join_sql(right, left, right_key, left_key, "left", salt)
+        flipped = _salted(right, left, right_key, left_key, "left", salt, null_safe)
         return flipped.select(*left.columns, *right.columns)
-    if how == "inner" and salt == 1:
-        return left.join(right, left[left_key] == right[right_key], "inner")
-    many = left.withColumn("_spread_l", _spread_of(left, how == "left", left_key, salt))
-    if salt > 1:
-        one = _salted_copies(right, salt)
-    else:
-        # Not a literal, or the optimizer would fold it away and drop the second key.
-        one = right.withColumn("_spread_r", F.when(F.col(right_key).isNull(), -1).otherwise(0))
-    matched = (many[left_key] == one[right_key]) & (
-        many["_spread_l"] == one["_spread_r"].cast("long")
-    )
-    return many.join(one, matched, how).drop("_spread_l", "_spread_r")
+    return _salted(left, right, left_key, right_key, how, salt, null_safe)
 
 
 def join_on(
@@ -81,11 +84,11 @@ def join_on(
     column, other shared names get `_x` and `_y`.
 
     `salt` > 1 splits each key of the row-preserving side (left for inner) into that
-    many tasks by copying the other side; the result is the same.
+    many tasks by copying the other side, under both rules; the result is the same.
     """
     right_key = right_key or left_key
     if check_semantics(semantics) == "sql":
-        return _join_sql(left, right, left_key, right_key, how, salt)
+        return _joined(left, right, left_key, right_key, how, salt, null_safe=False)
     one_key = left_key == right_key
     shared = [c for c in left.columns if c in right.columns and not (one_key and c == left_key)]
     for name in shared:
@@ -96,7 +99,7 @@ def join_on(
     if one_key:
         right = right.withColumnRenamed(right_key, "_key_r")
         right_on = "_key_r"
-    joined = left.join(right, left[left_on].eqNullSafe(right[right_on]), how)
+    joined = _joined(left, right, left_on, right_on, how, salt, null_safe=True)
     if not one_key:
         return joined
     if how == "right":

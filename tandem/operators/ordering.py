@@ -6,33 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tandem.functions.values import check_semantics
+from tandem.functions.values import check_semantics, is_float
 from tandem.session import settle
 
 
-def sort_key(column: str, descending: bool = False, semantics: str = "sql") -> Column:
+def sort_key(column: str, descending: bool = False, semantics: str = "sql", holds_nan: bool = False) -> Column:
     """Sort expression with the dialect's null place spelled out.
 
     SQL puts null above every value, so first when descending; frames put it, and NaN
-    with it, last in both directions.
+    with it, last in both directions. `holds_nan` says that the column is of floats.
     """
     col = F.col(column)
     if check_semantics(semantics) == "sql":
         return col.desc_nulls_first() if descending else col.asc_nulls_last()
-    known = F.when(~_is_nan(col), col)
+    known = F.when(~F.isnan(col), col) if holds_nan else col
     return known.desc_nulls_last() if descending else known.asc_nulls_last()
 
 
-def _is_nan(col: Column) -> Column:
-    """NaN of a float column; false for every value of other types, text included."""
-    return F.typeof(col).isin("float", "double") & (col.cast("string") == "NaN")
-
-
 def sort_rows(
     df: DataFrame, column: str, descending: bool = True, semantics: str = "sql",
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    return df.orderBy(sort_key(column, descending, semantics), *tiebreak)
+    floats = is_float(df.schema[column].dataType)
+    return df.orderBy(sort_key(column, descending, semantics, floats), *tiebreak)
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[Column] = ()) -> DataFrame:

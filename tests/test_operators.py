@@ -33,8 +33,9 @@ def right(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "right"])
-def test_frame_joins_follow_pandas(left, right, how):
-    got = J.join_on(left, right, "k", how=how, semantics="frame")
+@pytest.mark.parametrize("salt", [1, 3])
+def test_frame_joins_follow_pandas(left, right, how, salt):
+    got = J.join_on(left, right, "k", how=how, semantics="frame", salt=salt)
     want = left.toPandas().astype({"k": "Int64"}).merge(
         right.toPandas().astype({"k": "Int64"}), on="k", how=how)
     assert got.columns == ["k", "l", "r"]
@@ -55,8 +56,31 @@ def test_sql_joins_with_and_without_salt(spark, left, right, how, salt):
 
 def test_null_keys_are_spread_in_outer_joins(spark):
     big = spark.range(400).select(F.lit(None).cast("long").alias("k"), "id")
-    spread = J._spread_of(big, True, "k", 1)
-    assert big.select(spread.alias("s")).distinct().count() > 100
+    small = spark.range(3).select(F.col("id").alias("k2"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = J.join_on(big, small, "k", "k2", "left").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in sizes) == 400 and max(r["count"] for r in sizes) < 200
+
+
+@pytest.mark.parametrize("how", ["left", "right"])
+def test_outer_joins_read_the_columns_that_are_used(spark, capsys, how):
+    orders, lines = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("orders", "lineitem"))
+    J.join_on(lines, orders, "l_orderkey", "o_orderkey", how, salt=2).select("l_quantity", "o_totalprice").explain()
+    plan = capsys.readouterr().out
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_functions_of_a_series(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (2.5,)], "v double")
+    got = M.apply_function(df, "v", "w", lambda v: v.fillna(0) * 2, "double", of_series=True)
+    assert sorted(r["w"] for r in got.collect()) == [0.0, 2.0, 5.0]
 
 
 def test_frame_join_suffixes(spark):

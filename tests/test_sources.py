@@ -158,6 +158,17 @@ def test_stats_accumulate(spark, tmp_path):
     assert [str(r["run_time"])[:10] for r in rows] == ["2024-01-01", "2024-01-02"]
 
 
+def test_compacted_record_keeps_its_rows(spark, tmp_path):
+    path = f"{tmp_path}/r"
+    for day in range(1, 5):
+        rows = [("a", "b", day / 2), ("a", "c", 1.0)][: day % 2 + 1]
+        progress.append_stats(spark.createDataFrame(rows, "source string, target string, accuracy double"), path, f"2024-01-0{day} 00:00:00")
+    before = sorted(map(str, progress.read_stats(spark, path).collect()))
+    assert len(list(tmp_path.rglob("*.parquet"))) == 6
+    progress.compact_stats(spark, path)
+    assert sorted(map(str, progress.read_stats(spark, path).collect())) == before and len(list(tmp_path.rglob("*.parquet"))) == 2
+
+
 def test_scratch_is_below_the_configured_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
