@@ -105,8 +105,44 @@ def test_repeated_passages(mixed_docs, mixed_rows):
 def test_a_passage_begun_by_one_source_and_ended_by_another():
     words = [b"w%d" % i for i in range(200)]
     bodies = [b" ".join(words[:100]), b" ".join(words[40:160]), b" ".join(words[10:150])]
-    source, first = lz_dedup.parse_block(bodies, np.array([1, 2, 3]))
-    assert (source[first[2]:first[2] + 91] >= 0).all() and (source[first[0]:first[1]] < 0).all()
+    block = lz_dedup.Block.index(bodies, np.array([1, 2, 3]), 50)
+    # The second takes 60 words of the first; the third all of the first's end, then what the second goes on with.
+    assert list(block.factors(50)) == [(100, 60, 40), (220, 90, 10), (220 + 41, 99, 100 + 11)]
+
+
+def test_factors_are_greedy_and_cover_what_repeats():
+    """Every factor is as long as its source goes on, and together they cover just the windows that an earlier owner has."""
+    rng = random.Random(9)
+    pool = [b" ".join(b"%d.%d" % (p, j) for j in range(rng.randint(3, 30))) for p in range(12)]
+    bodies = [b" ".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    owners = np.array([rng.randrange(25) for _ in bodies])
+    block = lz_dedup.Block.index(bodies, owners, 10)
+    texts, segment = [b.split() for b in bodies], np.repeat(np.arange(60), np.diff(block.first))
+    flat = [w for t in texts for w in t]
+    least = {}
+    for t, owner in zip(texts, owners):
+        for j in range(len(t) - 9):
+            least[tuple(t[j:j + 10])] = min(least.get(tuple(t[j:j + 10]), 99), owner)
+    want = {int(block.first[i]) + j for i, t in enumerate(texts) for j in range(len(t) - 9) if least[tuple(t[j:j + 10])] < owners[i]}
+    covered, last = set(), (-1, 0)
+    for a, n, b in block.factors(10):
+        assert n >= 10 and flat[a:a + n] == flat[b:b + n] and owners[segment[b]] < owners[segment[a]]
+        assert len({*segment[a:a + n]}) == len({*segment[b:b + n]}) == 1
+        ends = a + n == block.first[segment[a] + 1] or b + n == block.first[segment[b] + 1]
+        assert ends or flat[a + n] != flat[b + n]
+        assert a > last[0] and a + n > last[1]
+        covered |= set(range(a, a + n - 9))
+        last = a, a + n
+    assert covered == want and len(want) > 100
+
+
+def test_words_decide_not_hashes(monkeypatch):
+    """All words of one length share a hash: no factor comes of that."""
+    monkeypatch.setattr(lz_dedup, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    bodies = [b"aa bb cc dd ee ff", b"xx bb cc dd yy zz", b"aa bb cc dd ee gg"]
+    found = list(lz_dedup.Block.index(bodies, np.array([1, 2, 3]), 3).factors(3))
+    assert all(bodies[0].split()[b:b + n] == [w for x in bodies for w in x.split()][a:a + n] for a, n, b in found)
+    assert {(a, b) for a, _, b in found} <= {(7, 1), (12, 0), (13, 1), (14, 2)} and found
 
 
 def components_of(rows, size=3, percent=90):
