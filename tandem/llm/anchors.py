@@ -136,8 +136,8 @@ def repeated_windows(rows: DataFrame, window: int, gram: int, words: bool, kerne
     facts = stored(different.repartition(parts, "anchor").select("segment", "n", "owner", "body").mapInArrow(
         repeats, "segment binary, first_owner long, runs array<int>"), "repeat-runs")
     discard(different)
-    places = cut.select("segment", "class_key", "owner", "start", "windows").join(
-        small_enough(facts, F.lit(40) + 4 * F.size("runs")), "segment")
+    # What grows with the shared text is joined as Spark's own size rule has it.
+    places = cut.select("segment", "class_key", "owner", "start", "windows").join(facts, "segment")
     # A later owner's segment that equals an earlier one is repeated whole.
     runs = F.when(F.col("owner") > F.col("first_owner"), F.array(F.lit(0), F.col("windows").cast("int"))).otherwise(F.col("runs"))
     spans = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), lambda i: F.struct(
