@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from tandem.llm.frames import discard, quoted, stored, text_bytes
+from tandem.llm.packing import packed, range_starts, rising, risen, unpacked
 from tandem.llm.text import byte_arrays, joined, lowered, mix, slices, word_bounds, word_hashes
 
 CHUNK_BYTES = 8 << 20    # of text in one chunk (or one longer text)
@@ -36,31 +37,6 @@ ROUNDS = 200
 BEGIN, END = (mix(np.array([n], np.uint64))[0] for n in (101, 102))
 SCORED, TRAINED, HELD_BACK = 0, 1, 2
 
-_ZSTD = pa.Codec("zstd")
-
-
-def packed(values: np.ndarray) -> bytes:
-    """Unsigned numbers by byte plane, compressed."""
-    size = values.dtype.itemsize
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, size).T).tobytes()
-    return len(values).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
-
-
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(_ZSTD.decompress(data[8:], n * size, asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind)[:, 0] if n else np.zeros(0, kind)
-
-
-def rising(values: np.ndarray) -> bytes:
-    """Ascending hashes as differences."""
-    return packed(np.diff(values, prepend=np.uint64(0)))
-
-
-def risen(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
-
-
 @dataclass
 class Tokens:
     """A chunk's tokens: different words and bigrams by ascending hash, and where each token is among them."""
@@ -152,7 +128,7 @@ def counted(chunks: DataFrame, range_tokens: int = RANGE_TOKENS) -> tuple[DataFr
     """By chunk and range of hashes, the counts asked for (stored: chunk, held_back, place, words, bigrams), and totals."""
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     ranges = max(1, -(-tokens // range_tokens))
-    bounds = np.array([-(-(i << 64) // ranges) for i in range(ranges)], np.uint64)
+    bounds = range_starts(ranges)
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,6 +12,7 @@ Parity bitmaps bound the difference of two sets before the sets themselves are r
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tandem.llm.anchors import LAST_OWNER
 from tandem.llm.components import components
 from tandem.llm.frames import discard, free_name, quoted, small_enough, stored, text_bytes, text_key
+from tandem.llm.packing import packed, range_starts, rising, risen, unpacked
 from tandem.llm.text import byte_arrays, grams, lowered, mix, slices, whole, word_bounds, word_hashes
 
 SHINGLE = 3      # words of a shingle, and
@@ -30,6 +32,8 @@ HUBS = (1, 4)    # hubs per dear shingle, by round
 BLOCK = 1_000    # bitmaps compared at once
 PARITY_SERVES = 256  # shingles up to which the bitmap of 1,024 bits tells sets apart
 _PARITY_LONGS = 16
+CHUNK_BYTES = 8 << 20      # of dense texts that keep their sets together
+RANGE_SHINGLES = 1 << 20   # shingles of dense texts for each range of hashes
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -323,25 +327,90 @@ def _link_dense(rows: DataFrame, classes: DataFrame, left: DataFrame, facts: Dat
     if left.isEmpty():
         return
 
-    wanted = stored(classes.join(left.select("rid").distinct(), "rid", "left_semi").select("rid", "sig", "owner"), "near-wanted")
-    each = _sets(rows, wanted, linker.size).dropDuplicates(["rid"]).select("rid", F.size("set").alias("n"), F.explode("set").alias("token"))
-    each = stored(each, "near-dense-tokens")
-    common = each.groupBy("token").agg(F.count("*").alias("docs"))
-    basic = F.col("n") - F.ceil(F.col("n") * linker.percent / 100) + 1
-    prefixes = each.join(common, "token").groupBy("rid").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("all"))
-    prefixes = stored(prefixes.select("rid", "n", F.slice("all", F.lit(1), basic.cast("int")).alias("prefix")), "near-dense-prefixes")
-    cheap = prefixes.select("rid", F.explode("prefix").alias("p")).where(F.col("p.docs").between(2, DEAR)).select(
-        F.col("p.token").alias("token"), "rid")
+    prefixes = _rare_prefixes(rows, classes.join(left.select("rid").distinct(), "rid", "left_semi"), linker.size, linker.percent)
+    cheap = prefixes.where("token IS NOT NULL").select("token", "rid").distinct()
     linker.add(_plausible(_meetings(cheap, facts, linker.percent).select("u", "v"), facts, linker.percent))
-    discard(wanted, each)
 
-    central = prefixes.where(F.element_at("prefix", -1)["docs"] > DEAR).select("rid")
+    central = prefixes.where("token IS NULL").select("rid").distinct()
     left = _unsettled(left.join(central, "rid", "left_semi"), linker)
     left = left.groupBy("rid").agg(F.first("root").alias("root")).join(facts, "rid")
     linker.add(_in_blocks(left, linker.percent))
 
 
+def _rare_prefixes(rows: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
+    """Basic prefixes of the sets in `wanted` (rid, owner, text_key), shingles ordered by how many of these sets have them.
+
+    Rows token and rid for each shingle of a prefix that 2 to `DEAR` of the sets have, and one of a null
+    token and rid where the last one has more. Sets never leave their chunk: a chunk asks for
+    the counts of its different shingles, packed by ranges of hashes, and reads its prefixes off the
+    answers. A set whose text stands in several equal rows may be counted more than once, which
+    is an order like any other.
+    """
+    keys = stored(wanted.select("owner", "text_key", "rid"), "near-dense")
+    texts = rows.select("owner", "text_key", "text").join(small_enough(keys, 40), ["owner", "text_key"]).select("rid", "text")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=CHUNK_BYTES):
+            value, first = shingle_sets(*byte_arrays(batch.column("text")), size)
+            tokens, at = np.unique(value, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uuid4().bytes], pa.binary()), pa.array([len(value)], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("rid")),
+                 *(pa.array([c], pa.binary()) for c in (packed(np.diff(first).astype(np.uint32)), rising(tokens), packed(at.astype(np.uint32))))],
+                ["chunk", "size", "rids", "lengths", "tokens", "at"])
+
+    chunks = stored(texts.mapInArrow(
+        cut, "chunk binary, size long, rids array<long>, lengths binary, tokens binary, at binary"), "near-dense-chunks")
+    total = chunks.agg(F.sum("size"), F.count("*")).first()
+    ranges = max(1, -(-(total[0] or 0) // RANGE_SHINGLES))
+    starts = range_starts(ranges)
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, tokens, at in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tokens", "at"))):
+                tokens = risen(tokens)
+                n = np.bincount(unpacked(at, np.uint32), minlength=len(tokens)).astype(np.uint32)
+                cut = [*np.searchsorted(tokens, starts).tolist(), len(tokens)]
+                own = [(i, rising(tokens[a:b]), packed(n[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(own), pa.binary()), *(pa.array([o[k] for o in own], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary())))],
+                    ["chunk", "place", "tokens", "n"])
+
+    def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        tokens = [risen(t) for t in table.column("tokens").to_pylist()]
+        kinds, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        docs = np.bincount(at, np.concatenate([unpacked(n, np.uint32) for n in table.column("n").to_pylist()]), len(kinds)).astype(np.uint64)
+        ends = np.cumsum([len(t) for t in tokens]).tolist()
+        return pa.table([table.column("chunk"), table.column("place"),
+                         pa.array([packed(docs[at[b - len(t):b]]) for t, b in zip(tokens, ends)], pa.binary())], names=["chunk", "place", "docs"])
+
+    asked = chunks.select("chunk", "tokens", "at").mapInArrow(ask, "chunk binary, place long, tokens binary, n binary")
+    answers = stored(asked.repartition(-(-ranges // 4), "place").groupBy("place").applyInArrow(
+        answer, "chunk binary, place long, docs binary"), "near-dense-counts")
+
+    def prefix(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        n = unpacked(row["lengths"], np.uint32).astype(np.int64)
+        tokens, at = risen(row["tokens"]), unpacked(row["at"], np.uint32)
+        parts = sorted(got.select(["place", "docs"]).to_pylist(), key=lambda r: r["place"])
+        docs = np.concatenate([unpacked(p["docs"], np.uint64) for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((tokens[at], docs[at], of))
+        at, basic = at[order], n - _required(n, percent) + 1
+        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        joined = np.flatnonzero((place < basic[of]) & (docs[at] > 1) & (docs[at] <= DEAR))
+        dear = np.flatnonzero((place == basic[of] - 1) & (docs[at] > DEAR))
+        rids = np.array(row["rids"], np.int64)
+        found = pa.array(tokens[at[joined]].view(np.int64))
+        return pa.table([pa.concat_arrays([found, pa.nulls(len(dear), pa.int64())]), pa.array(rids[of[np.concatenate([joined, dear])]])], names=["token", "rid"])
+
+    parts = max(1, -(-total[1] // 4))
+    met = chunks.repartition(parts, "chunk").groupBy("chunk").cogroup(answers.repartition(parts, "chunk").groupBy("chunk"))
+    prefixes = stored(met.applyInArrow(prefix, "token long, rid long"), "near-dense-prefixes")
+    discard(keys, chunks, answers)
+    return prefixes
+
+
 def _unsettled(left: DataFrame, linker: _Linker) -> DataFrame:
     """Rows (token, rid, n_dear, reach, root) of documents that may lack a link.
 
@@ -422,8 +491,9 @@ def near_components(
     rows = docs.select(F.col(key).alias("doc_id"), owner.alias("owner"), text_key(text).alias("text_key"), text_bytes(text).alias("text"))
     profiles = stored(_profiles(rows, size, percent), "near-profiles")
     classes = profiles.where("n > 0").groupBy("sig").agg(
-        F.min("owner").alias("owner"), F.count("*").alias("copies"), F.first("n").alias("n"),
+        F.min(F.struct("owner", "text_key")).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    classes = classes.select("sig", "one.*", "copies", "n", "prefix", "parity")
     classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "near-classes")
 
     # n shingles of n + 1 are the nearest that sets can be without being equal: 100 n >= P (n + 1), at 90 from 9 on.

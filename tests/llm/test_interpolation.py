@@ -9,7 +9,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from tandem.llm import interpolation as lm
+from tandem.llm import interpolation as lm, packing
 
 
 def tokens(text):
@@ -151,5 +151,5 @@ def test_packing():
     rng = np.random.default_rng(4)
     for n in (0, 1, 700):
         values = rng.integers(0, 2 ** 63, n).astype(np.uint64)
-        assert (lm.unpacked(lm.packed(values), np.uint64) == values).all()
-        assert (lm.risen(lm.rising(np.sort(values))) == np.sort(values)).all()
+        assert (packing.unpacked(packing.packed(values), np.uint64) == values).all()
+        assert (packing.risen(packing.rising(np.sort(values))) == np.sort(values)).all()
