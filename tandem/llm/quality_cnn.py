@@ -65,8 +65,9 @@ def _symbols(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndar
     at = starts[:, None] + np.arange(CHUNK)
     inside = at < stops[:, None]
     if not len(data):
-        return np.full(at.shape, PAD)
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], PAD)
+        return np.full(at.shape, PAD, np.int16)
+    # Not as bytes: padding is a symbol beyond them.
+    return np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int16), np.int16(PAD))
 
 
 def _windows(net: Network, symbols: np.ndarray) -> np.ndarray:
