@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tandem.llm.frames import others, quoted, stored
 
 OVERHEAD = 8
-BLOCK_ROWS = 2_000  # rows that one ordered window is made for, on average
+BLOCK_ROWS = 2_000   # rows that one ordered window is made for, on average
+CROWD_ROWS = 10_000  # rows equal in id and text from which they are several blocks
 
 
 def even_capacities(total: int, shards: int) -> list[int]:
@@ -81,6 +82,24 @@ def cuts(moves: dict[tuple[int, int], int], old: Sequence[int]) -> dict[int, lis
     return result
 
 
+def _with_blocks(rows: DataFrame) -> DataFrame:
+    """`rows` plus old and block, which orders the blocks of an old shard.
+
+    A block is what a hash of id and text deals out. More equal rows than `CROWD_ROWS` are blocks of their
+    own behind that one, dealt out by the number of the row, as any order of them is the same.
+    """
+    old, order = F.col("place.old").alias("old"), F.col("place.order").alias("order")
+    crowds = stored(rows.groupBy(old, order).agg(F.count("*").alias("size")).where(F.col("size") > CROWD_ROWS), "reshard-crowds")
+    alone = F.struct(F.col("place.block").alias("hash"), F.lit(0).cast("long").alias("crowd"), F.lit(-1).cast("long").alias("part"))
+    if crowds.isEmpty():
+        return rows.withColumns({"old": old, "block": alone})
+    crowds = crowds.select(F.col("old").alias("_old"), F.col("order").alias("_order"), "size")
+    found = rows.join(crowds, (F.col("place.old") == F.col("_old")) & (F.col("place.order") == F.col("_order")), "left")
+    part = F.pmod(F.xxhash64("place.nth"), F.ceil(F.col("size") / BLOCK_ROWS))
+    own = F.struct(F.col("place.block").alias("hash"), F.col("_order").alias("crowd"), part.alias("part"))
+    return found.withColumns({"old": old, "block": F.when(F.col("size").isNull(), alone).otherwise(own)}).drop("_old", "_order", "size")
+
+
 def reshard(
     docs: DataFrame, old_shard: Column, old_count: int, shards: int, key: str = "doc_id", text: str = "text",
     keep: Sequence[str] | None = None, capacities: Sequence[int] | None = None,
@@ -92,8 +111,8 @@ def reshard(
     `old_shard` gives each row's shard of 0 to `old_count` - 1; `capacities` are bytes by new
     shard (default: equal). Size is the bytes of the text plus 8; null text has none and its
     checksum is that of an empty one. Rows stand in their old shard by a hash of id and text,
-    so a huge shard, also one of copies of one text, is many small blocks: running sums go over
-    block totals and inside blocks, never over a whole shard in one task. Null and repeated
+    so a huge shard, also one of copies of one text or of one row, is many small blocks: running sums
+    go over block totals and inside blocks, never over a whole shard in one task. Null and repeated
     ids are rows like others; equal rows are interchangeable. Only sums per old shard come to
     the driver.
     """
@@ -106,9 +125,10 @@ def reshard(
         F.struct(*map(quoted, keep)).alias("own") if keep else F.lit(None).cast("string").alias("own"), F.struct(
             size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
             old_shard.cast("int").alias("old"), F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int").alias("block"),
-            order.alias("order"), F.col(key).cast("string").alias("id")).alias("place")), "reshard-rows")
-    at = [F.col("place.old").alias("old"), F.col("place.block").alias("block")]
-    totals = base.groupBy(*at).agg(F.sum("place.size").alias("bytes"))
+            order.alias("order"), F.col(key).cast("string").alias("id"), F.monotonically_increasing_id().alias("nth")).alias("place")),
+        "reshard-rows")
+    base = _with_blocks(base)
+    totals = base.groupBy("old", "block").agg(F.sum("place.size").alias("bytes"))
     before = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = stored(totals.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))), "reshard-blocks")
     held = {r["old"]: r["bytes"] for r in totals.groupBy("old").agg(F.sum("bytes").alias("bytes")).collect()}
@@ -122,7 +142,7 @@ def reshard(
     inside = Window.partitionBy("old", "block").orderBy("place.order", "place.id", "place.text_crc32")
     running = F.sum("place.size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     middle = F.col("before") + running - F.floor(F.col("place.size") / 2) - 1
-    placed = base.withColumns({"old": F.col("place.old"), "block": F.col("place.block")}).join(totals, ["old", "block"])
+    placed = base.join(totals, ["old", "block"])
     placed = placed.withColumn("middle", middle)
     shard = F.element_at(F.filter(F.element_at(ends, F.col("old")), lambda cut: F.col("middle") < cut["end"]), 1)["shard"]
     placed = placed.withColumn("shard", shard)

@@ -84,6 +84,30 @@ def test_reshard(mixed_docs, mixed_rows, no_docs, tmp_path, spark):
     assert resharding.reshard(no_docs, old, 3, 4).count() == 0
 
 
+def test_a_crowd_of_equal_rows_is_many_blocks(spark, monkeypatch):
+    """Small blocks, the same placement of the same rows in every run, and shards as even as without copies."""
+    monkeypatch.setattr(resharding, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(resharding, "CROWD_ROWS", 100)
+    rows = [(i, f"text {i} " + "x" * (i % 50)) for i in range(600)] + [(7, "again")] * 900 + [(None, None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    old = F.pmod(F.xxhash64("text"), F.lit(2))
+    blocks = resharding._with_blocks(docs.select(F.struct(
+        old.cast("int").alias("old"), F.xxhash64("doc_id", "text").alias("order"), F.lit(0).alias("block"), F.monotonically_increasing_id().alias("nth"),
+        "doc_id").alias("place")))
+    sizes = blocks.where("block.part >= 0").groupBy("old", "block").count().collect()
+    assert sum(r["count"] for r in sizes) == 1200 and max(r["count"] for r in sizes) < 100
+    runs = []
+    for parts in (1, 5):
+        placed = resharding.reshard(docs.repartition(parts), old, 2, 3).collect()
+        runs.append(Counter((r["doc_id"], r["text"], r["place"]) for r in placed))
+        total = sum(r["place"]["size"] for r in placed)
+        for shard in range(3):
+            own = [r["place"] for r in placed if r["place"]["shard"] == shard]
+            assert sorted(p["slot"] for p in own) == list(range(len(own)))
+            assert abs(sum(p["size"] for p in own) - total / 3) <= 2 * 70
+    assert runs[0] == runs[1] and sum(runs[0].values()) == len(rows)
+
+
 @pytest.mark.parametrize("shards, emptied", [(3, None), (5, 1), (6, 4)])
 def test_rewrite_over_the_old_layout(mixed_docs, mixed_rows, tmp_path, spark, shards, emptied):
     """Fewer shards, and shards of capacity 0: every document is there once, in its new shard."""
