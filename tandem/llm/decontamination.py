@@ -68,6 +68,12 @@ def with_fingerprints(df: DataFrame) -> DataFrame:
     return df.withColumn("prints", F.array_distinct(F.slice(F.col(name), F.lit(1), full)))
 
 
+def _hashes_of(size: int) -> Column:
+    """Different hashes of all windows of `size` words, each with the size; from `with_grams`."""
+    full = F.slice(F.col(f"h{size}"), F.lit(1), F.greatest(F.col("n_words") - size + 1, F.lit(0)).cast("int"))
+    return F.transform(F.array_distinct(full), lambda h: F.struct(F.lit(size).alias("size"), h.alias("h")))
+
+
 def _windows_of(items: DataFrame, size: int) -> DataFrame:
     """Windows of `size` words of `items`: h, window text, item."""
     windows = F.transform(
@@ -106,12 +112,14 @@ def contamination(
                         F.col(text).alias("text"), text_key(text).alias("leak_key"))
     prints = stored(with_fingerprints(with_words(named)).select("own", "leak_key", "n_words", "prints"), "leak-documents")
     suspects = prints.select("leak_key", F.explode("prints").alias("h")).join(wanted, "h", "left_semi").select("leak_key")
-    for size in short:
-        all_of = with_grams(with_words(named.select("leak_key", "text")), size)
-        full = F.slice(F.col(f"h{size}"), F.lit(1), F.greatest(F.col("n_words") - size + 1, F.lit(0)).cast("int"))
-        hashes = all_of.select("leak_key", F.explode(F.array_distinct(full)).alias("h"))
-        of_size = windows.where(F.col("size") == size).select("h").distinct()
-        suspects = suspects.unionByName(hashes.join(of_size, "h", "left_semi").select("leak_key"))
+    if short:
+        # Short items are whole windows: one more pass over the texts, for all their lengths at once.
+        all_of = with_words(named.select("leak_key", "text"))
+        for size in short:
+            all_of = with_grams(all_of, size)
+        hashes = all_of.select("leak_key", F.explode(F.concat(*(_hashes_of(size) for size in short))).alias("w"))
+        of_items = windows.where(F.col("size") < WINDOW).select("size", "h").distinct()
+        suspects = suspects.unionByName(hashes.select("leak_key", "w.*").join(of_items, ["size", "h"], "left_semi").select("leak_key"))
     suspects = stored(suspects.distinct(), "leak-suspects")
 
     texts = named.join(small_enough(suspects, 16), "leak_key", "left_semi").groupBy("leak_key").agg(F.min("text").alias("text"))
