@@ -411,6 +411,17 @@ def _(spark, d):
     return S.match_text(table(spark, d, "part"), "p_name", "ring").select("p_partkey", "p_name")
 
 
+@query("r15_like_pattern", """
+    SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%r_n%t'
+    UNION ALL SELECT p_partkey, p_name FROM part WHERE replace(p_name, ' ', '_') LIKE '%d!_%' ESCAPE '!'""")
+def _(spark, d):
+    """A place for any character, and one that is escaped and stands for itself."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    joined = parts.withColumn("joined", F.replace("p_name", F.lit(" "), F.lit("_")))
+    return S.match_text(parts, "p_name", "%r_n%t", "like").unionByName(
+        S.match_text(joined, "joined", "%d\\_%", "like").drop("joined"))
+
+
 @query("r15_like_frame", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^r.d|bolt$')")
 def _(spark, d):
     return S.match_text(table(spark, d, "part"), "p_name", "^r.d|bolt$", "regex").select(
@@ -561,6 +572,16 @@ def _(spark, d):
     return A.group_total(_part(spark, d).filter(F.col("p_size") < 25), "kind", "p_size", "frame")
 
 
+@query("r11_group_sort_frame_nan", f"""
+    SELECT key, total, row_number() OVER (ORDER BY total DESC, key) - 1 AS position FROM (
+      SELECT round(known) AS key, CAST(sum(l_linenumber) AS BIGINT) AS total FROM {SQL_KNOWN} WHERE known IS NOT NULL GROUP BY 1)""")
+def _(spark, d):
+    """NaN and null keys drop out of the groups, and the position makes their order part of the result."""
+    keyed = _readings(spark, d).withColumn("key", F.round("reading"))
+    summed = A.group_total(keyed, "key", "l_linenumber", "frame")
+    return O.number_rows(summed, [O.sort_key("total", True, "frame"), F.col("key")])[0]
+
+
 @query("r13_count_distinct_frame", f"SELECT count(DISTINCT known) AS n_unique FROM {SQL_KNOWN}")
 def _(spark, d):
     return A.unique_count(_readings(spark, d), "reading", semantics="frame")
