@@ -8,7 +8,7 @@ from tandem.catalog.registry import query, quote
 from tandem.functions import text as X
 from tandem.plans import neighbours as N, retrieval as R, runs as W
 from tandem.plans.inference import batch_infer, retrieve_and_translate, retrieve_apis_and_translate
-from tandem.session import scratch_path
+from tandem.session import scratch_path, settle
 from tandem.sources.tables import table
 
 SPACE = quote(X.PY_SPACE)
@@ -332,3 +332,25 @@ def _(spark, d):
         W.answer_files(spark, prompts, "item_id long, prompt string", output, checkpoint, {"small": ask, "large": ask}, files_at_once=2)
     answers = W.read_answers(spark, output)
     return answers.select("model", F.split("prompt_file", "/")[0].alias("prompt_folder"), "item_id", "response")
+
+
+@query("p20_rag_files", f"""
+    SELECT m.model, l.item_id AS item_id, 'size = ' || length('Translate [' || l.item_id || ']:' || chr(10) || coalesce(text, ''))
+      AS code FROM {SQL_LISTS} l LEFT JOIN {SQL_TEXTS} t ON l.item_id = t.item_id, (VALUES ('a'), ('b')) m(model)""")
+def _(spark, d):
+    """The whole chain for each model and prompt file, in two runs; the second finds more files."""
+    prompts, output, checkpoint = (scratch_path(spark, f"rag-{n}") for n in ("prompts", "output", "checkpoint"))
+    items = operation_lists(spark, d).select(
+        "item_id", F.concat(F.lit("Name the operations <<"), "response", F.lit(">>")).alias("identify_prompt"),
+        F.concat(F.lit("Translate ["), F.col("item_id").cast("string"), F.lit("]:\n[GUIDELINES]")).alias("translate_prompt"),
+        (F.col("item_id") % 3).alias("lot"))
+    book = settle(guide(spark, d))
+
+    def translate(rows: DataFrame, model: str) -> DataFrame:
+        return retrieve_and_translate(rows, book, _load_scripted)
+
+    schema = "item_id long, identify_prompt string, translate_prompt string"
+    for some in (F.col("lot") == 0, F.col("lot") > 0):
+        items.where(some).write.mode("append").partitionBy("lot").json(prompts)
+        W.answer_files(spark, prompts, schema, output, checkpoint, {"a": translate, "b": translate})
+    return W.read_answers(spark, output).select("model", "item_id", "code")

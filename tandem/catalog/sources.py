@@ -216,12 +216,12 @@ def _(spark, d):
 
 SQL_TEXTS = """(SELECT p_partkey, p_type AS db_id,
     'SELECT p_name FROM ' || p_brand || ' WHERE p_size = ' || p_size AS sql FROM part)"""
-SQL_CATALOGUE = """(SELECT db_id, table_name, row_number() OVER (PARTITION BY db_id ORDER BY table_name) AS ordinal
-    FROM (SELECT DISTINCT p_type AS db_id, p_brand AS table_name FROM part))"""
+SQL_CATALOGUE = """(SELECT DISTINCT p_type AS db_id, p_brand AS table_name,
+    CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS ordinal FROM part)"""
 
 
 @query("s10_table_mentions", f"""
-    SELECT p_partkey, t.db_id AS db_id, table_name FROM {SQL_TEXTS} t
+    SELECT p_partkey, t.db_id AS db_id, table_name, ordinal FROM {SQL_TEXTS} t
     JOIN {SQL_CATALOGUE} c ON t.db_id = c.db_id AND contains(t.sql, c.table_name)""")
 def _(spark, d):
     parts = table(spark, d, "part")
@@ -234,7 +234,7 @@ def _(spark, d):
     catalogue = parts.select(
         F.col("p_type").alias("db_id"), F.col("p_brand").alias("table_name"), brand.alias("ordinal")
     ).distinct()
-    return table_mentions(texts, catalogue).select("p_partkey", "db_id", "table_name")
+    return table_mentions(texts, catalogue).select("p_partkey", "db_id", "table_name", "ordinal")
 
 
 SQL_CONTAINED = """SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"""

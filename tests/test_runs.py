@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tandem.plans import runs as W
-from tandem.plans.inference import batch_infer
+from tandem.plans.inference import batch_infer, retrieve_and_translate
 
 SCHEMA = "item_id long, prompt string"
 
@@ -109,6 +109,37 @@ def test_a_new_checkpoint_skips_what_has_an_output(spark, place):
     assert set(asked(place["log"]).values()) == {1} and answers(spark, place) == wanted(["a"], ["m"])
 
 
+def test_the_whole_chain_goes_on_where_it_stopped(spark, place):
+    """Identify, look up and translate for each file; the guide is there for the second run only."""
+    for name in ("a", "b"):
+        path = Path(place["prompts"]) / f"{name}.jsonl"
+        path.write_text("".join(json.dumps({
+            "item_id": i, "identify_prompt": '["Sorting"]' if i else "stop" if name == "b" else "[]", "translate_prompt": f"{name} {i}: [GUIDELINES]"}) + "\n" for i in range(3)))
+    guide = spark.createDataFrame([(1, "Sorting", "ORDER BY", "sort_values")], "line_no long, operation string, postgreSQL string, pandas string")
+
+    def chain(fails):
+        def load():
+            def model(prompts):
+                if fails and any(p == "stop" for p in prompts):
+                    raise SystemExit("the model is gone")
+                return [f"```\n{p}\n```" for p in prompts]
+
+            return model
+
+        return lambda rows, _: retrieve_and_translate(rows, guide, load)
+
+    schema = "item_id long, identify_prompt string, translate_prompt string"
+    go = lambda fails: W.answer_files(spark, place["prompts"], schema, place["output"], place["checkpoint"], {"m": chain(fails)}, files_at_once=1)
+    with pytest.raises(Exception):
+        go(True)
+    half = {r["prompt_file"] for r in W.read_answers(spark, place["output"]).collect()} if Path(place["output"]).exists() else set()
+    assert half <= {"a"}
+    go(False)
+    text = "1. Sorting:\nPostgreSQL Solution: ORDER BY\nPandas Solution: sort_values"
+    got = {(r["prompt_file"], r["item_id"]): r["code"] for r in W.read_answers(spark, place["output"]).collect()}
+    assert got == {(f, i): f"{f} {i}: {text if i else ''}".strip() for f in ("a", "b") for i in range(3)}
+
+
 def test_names_below_the_folder(spark):
     paths = spark.createDataFrame([("file:///x/p/a%20b/c+d.jsonl",), ("hdfs://h:1/x/p/q.tar.json",)], "f string")
     got = [r[0] for r in paths.select(W.file_below(F.col("f"), "/x/p/")).collect()]
