@@ -7,7 +7,7 @@ them by hand where the plan runs without AQE or one key's rows exceed a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tandem.functions.values import check_semantics, is_float
 from tandem.operators.aggregates import _operand
@@ -27,7 +27,7 @@ def spread_join(rows: DataFrame, entries: DataFrame, keys: list[str]) -> DataFra
     Rows of one key go by `SPREAD` extra key values unless Spark broadcasts the entries, so a
     hot key is no single task.
     """
-    spread = rows.withColumn("_spread", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
+    spread = rows.withColumn("_spread", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
     copies = entries.withColumn(
         "_spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     return spread.join(copies, [*keys, "_spread"]).drop("_spread")

@@ -3,7 +3,6 @@
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from tandem.plans import documents as D, inference as I
 

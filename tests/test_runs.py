@@ -113,8 +113,9 @@ def test_the_whole_chain_goes_on_where_it_stopped(spark, place):
     """Identify, look up and translate for each file; the guide is there for the second run only."""
     for name in ("a", "b"):
         path = Path(place["prompts"]) / f"{name}.jsonl"
-        path.write_text("".join(json.dumps({
-            "item_id": i, "identify_prompt": '["Sorting"]' if i else "stop" if name == "b" else "[]", "translate_prompt": f"{name} {i}: [GUIDELINES]"}) + "\n" for i in range(3)))
+        asks = ["stop" if name == "b" else "[]", '["Sorting"]', '["Sorting"]']
+        rows = [{"item_id": i, "identify_prompt": a, "translate_prompt": f"{name} {i}: [GUIDELINES]"} for i, a in enumerate(asks)]
+        path.write_text("".join(json.dumps(r) + "\n" for r in rows))
     guide = spark.createDataFrame([(1, "Sorting", "ORDER BY", "sort_values")], "line_no long, operation string, postgreSQL string, pandas string")
 
     def chain(fails):
