@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.frames import free_name, quoted, small_enough, stored, text_key
+from tandem.llm.frames import discard, free_name, quoted, small_enough, stored, text_key
 
 WINDOW = 13
 GRAM = 6
@@ -143,11 +143,12 @@ def contamination(
     named_items = spans.select("leak_key", "size", "window").distinct().join(
         windows.select("size", "window", "item"), ["size", "window"]).groupBy("leak_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     result = stored(hit.join(named_items, "leak_key"), "leak-result")
+    discard(items, windows, wanted, suspects, texts, spans)
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
-    items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
+    named_as = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return prints.drop("prints").join(result, "leak_key", "left").select(*(F.col("own")[c].alias(c) for c in keep), F.struct(
-        "leak_key", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        "leak_key", "n_words", n_hit.alias("n_hit"), F.size(named_as).cast("long").alias("n_items"),
+        F.sha2(F.array_join(named_as, ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")).alias("leak"))
 
 

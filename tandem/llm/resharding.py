@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tandem.llm.frames import others, quoted, stored
+from tandem.llm.frames import discard, others, quoted, stored
 
 OVERHEAD = 8
 BLOCK_ROWS = 2_000   # rows that one ordered window is made for, on average
@@ -118,8 +118,7 @@ def reshard(
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "place"]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
-    rows = docs.count()
-    blocks = max(16, -(-rows // (BLOCK_ROWS * old_count)))
+    blocks = max(16, -(-docs.count() // (BLOCK_ROWS * old_count)))
     order = F.xxhash64(F.col(key), F.col(text))
     base = stored(docs.select(
         F.struct(*map(quoted, keep)).alias("own") if keep else F.lit(None).cast("string").alias("own"), F.struct(
@@ -127,8 +126,8 @@ def reshard(
             old_shard.cast("int").alias("old"), F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int").alias("block"),
             order.alias("order"), F.col(key).cast("string").alias("id"), F.monotonically_increasing_id().alias("nth")).alias("place")),
         "reshard-rows")
-    base = _with_blocks(base)
-    totals = base.groupBy("old", "block").agg(F.sum("place.size").alias("bytes"))
+    rows = _with_blocks(base)
+    totals = rows.groupBy("old", "block").agg(F.sum("place.size").alias("bytes"))
     before = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = stored(totals.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))), "reshard-blocks")
     held = {r["old"]: r["bytes"] for r in totals.groupBy("old").agg(F.sum("bytes").alias("bytes")).collect()}
@@ -142,12 +141,13 @@ def reshard(
     inside = Window.partitionBy("old", "block").orderBy("place.order", "place.id", "place.text_crc32")
     running = F.sum("place.size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     middle = F.col("before") + running - F.floor(F.col("place.size") / 2) - 1
-    placed = base.join(totals, ["old", "block"])
+    placed = rows.join(totals, ["old", "block"])
     placed = placed.withColumn("middle", middle)
     shard = F.element_at(F.filter(F.element_at(ends, F.col("old")), lambda cut: F.col("middle") < cut["end"]), 1)["shard"]
     placed = placed.withColumn("shard", shard)
     in_part = Window.partitionBy("old", "block", "shard").orderBy("middle")
     placed = stored(placed.withColumn("nth", F.row_number().over(in_part) - 1).drop("bytes", "before", "middle"), "reshard-placed")
+    discard(base, totals)
     counts = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = stored(counts.withColumn("first", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows"), "reshard-slots")
