@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tandem.llm import decontamination, jaccard_join, mixing, quality_cnn, resharding
-from tandem.llm.frames import free_name, others, quoted, stored
+from tandem.llm.frames import discard, free_name, others, quoted, stored
 from tandem.llm.queries import OLD_SHARDS, SHARDS, old_shard
 from tandem.session import ship_package
 
@@ -65,7 +65,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:  # a stage's table is not read any more once the next one's is there
+            discard(before)
+        before = docs
     return docs
