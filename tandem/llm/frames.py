@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tandem.session import scratch_path
@@ -20,7 +22,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove tables made by `stored` that no later step reads any more.
 
-    A lost executor needs none of them again: whatever was made of them is stored itself.
+    A lost executor needs none of them again: whatever was made of them is stored itself. The same
+    holds for the shuffle files behind them, which Spark removes when the driver's garbage
+    collector finds that nothing refers to them; it is asked to look now, not in half an hour.
     """
     for table in tables:
         files = table.inputFiles()
@@ -28,6 +32,8 @@ def discard(*tables: DataFrame) -> None:
             context = table.sparkSession.sparkContext
             folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def small_enough(df: DataFrame, width: Column | int) -> DataFrame:

@@ -381,21 +381,27 @@ def _rare_prefixes(rows: DataFrame, wanted: DataFrame, size: int, percent: int)
         kinds, at = np.unique(np.concatenate(tokens), return_inverse=True)
         docs = np.bincount(at, np.concatenate([unpacked(n, np.uint32) for n in table.column("n").to_pylist()]), len(kinds)).astype(np.uint64)
         ends = np.cumsum([len(t) for t in tokens]).tolist()
-        return pa.table([table.column("chunk"), table.column("place"),
-                         pa.array([packed(docs[at[b - len(t):b]]) for t, b in zip(tokens, ends)], pa.binary())], names=["chunk", "place", "docs"])
+        own = [docs[at[b - len(t):b]] for t, b in zip(tokens, ends)]
+        # Only shingles that may be joined on go back by name.
+        cheap = [rising(t[(n > 1) & (n <= DEAR)]) for t, n in zip(tokens, own)]
+        return pa.table([table.column("chunk"), table.column("place"), pa.array([packed(n) for n in own], pa.binary()), pa.array(cheap, pa.binary())],
+                        names=["chunk", "place", "docs", "cheap"])
 
     asked = chunks.select("chunk", "tokens", "at").mapInArrow(ask, "chunk binary, place long, tokens binary, n binary")
     answers = stored(asked.repartition(-(-ranges // 4), "place").groupBy("place").applyInArrow(
-        answer, "chunk binary, place long, docs binary"), "near-dense-counts")
+        answer, "chunk binary, place long, docs binary, cheap binary"), "near-dense-counts")
 
     def prefix(chunk: pa.Table, got: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         n = unpacked(row["lengths"], np.uint32).astype(np.int64)
-        tokens, at = risen(row["tokens"]), unpacked(row["at"], np.uint32)
-        parts = sorted(got.select(["place", "docs"]).to_pylist(), key=lambda r: r["place"])
-        docs = np.concatenate([unpacked(p["docs"], np.uint64) for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        at = unpacked(row["at"], np.uint32)
+        parts = sorted(got.select(["place", "docs", "cheap"]).to_pylist(), key=lambda r: r["place"])
+        docs = np.concatenate([np.zeros(0, np.int64), *(unpacked(p["docs"], np.uint64).astype(np.int64) for p in parts)])
+        tokens = np.zeros(len(docs), np.uint64)
+        tokens[(docs > 1) & (docs <= DEAR)] = np.concatenate([np.zeros(0, np.uint64), *(risen(p["cheap"]) for p in parts)])
         of = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((tokens[at], docs[at], of))
+        # A chunk's shingles are numbered by ascending hash, so ties go the same way everywhere.
+        order = np.lexsort((at, docs[at], of))
         at, basic = at[order], n - _required(n, percent) + 1
         place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
         joined = np.flatnonzero((place < basic[of]) & (docs[at] > 1) & (docs[at] <= DEAR))
@@ -405,7 +411,8 @@ def _rare_prefixes(rows: DataFrame, wanted: DataFrame, size: int, percent: int)
         return pa.table([pa.concat_arrays([found, pa.nulls(len(dear), pa.int64())]), pa.array(rids[of[np.concatenate([joined, dear])]])], names=["token", "rid"])
 
     parts = max(1, -(-total[1] // 4))
-    met = chunks.repartition(parts, "chunk").groupBy("chunk").cogroup(answers.repartition(parts, "chunk").groupBy("chunk"))
+    kept = chunks.select("chunk", "rids", "lengths", "at")
+    met = kept.repartition(parts, "chunk").groupBy("chunk").cogroup(answers.repartition(parts, "chunk").groupBy("chunk"))
     prefixes = stored(met.applyInArrow(prefix, "token long, rid long"), "near-dense-prefixes")
     discard(keys, chunks, answers)
     return prefixes
