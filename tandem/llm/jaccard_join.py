@@ -496,18 +496,23 @@ def near_components(
         raise ValueError("size is 1 or more, percent 50 to 99")
     owner = F.coalesce(F.col(key), F.lit(LAST_OWNER)).cast("long")
     rows = docs.select(F.col(key).alias("doc_id"), owner.alias("owner"), text_key(text).alias("text_key"), text_bytes(text).alias("text"))
-    profiles = stored(_profiles(rows, size, percent), "near-profiles")
-    classes = profiles.where("n > 0").groupBy("sig").agg(
+    # Prefixes and bitmaps are wide: of the rows only keys stay, and of the classes no prefix once it is taken apart.
+    wide = stored(_profiles(rows, size, percent), "near-wide-profiles")
+    profiles = stored(wide.select("doc_id", "owner", "text_key", "n", "sig"), "near-profiles")
+    classes = wide.where("n > 0").groupBy("sig").agg(
         F.min(F.struct("owner", "text_key")).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     classes = classes.select("sig", "one.*", "copies", "n", "prefix", "parity")
-    classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "near-classes")
+    whole_classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "near-whole-classes")
+    discard(wide)
 
     # n shingles of n + 1 are the nearest that sets can be without being equal: 100 n >= P (n + 1), at 90 from 9 on.
-    able = classes.where(F.col("n") * (100 - percent) >= percent)
+    able = whole_classes.where(F.col("n") * (100 - percent) >= percent)
     tokens = able.select("rid", "n", F.posexplode("prefix").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     tokens = stored(tokens.join(shared, "token"), "near-tokens")
+    classes = stored(whole_classes.drop("prefix"), "near-classes")
+    discard(whole_classes)
     n = F.col("n")
     required = F.ceil(n * percent / 100)
     basic = n - required + 1
