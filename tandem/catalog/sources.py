@@ -251,7 +251,7 @@ def _(spark, d):
     """As if there were so many items that sketch and filter could hardly tell their keys apart."""
     return contain_join(
         table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text",
-        cells=1 << 10, most_bits=1 << 8)
+        cells=1 << 10, most_bits=1 << 10)
 
 
 @query("s13_skip_done", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
