@@ -21,6 +21,10 @@ PIECES = (8, 4, 2, 1)
 SKETCH_ROWS, SKETCH_CELLS = 3, 1 << 18
 
 PART_ROWS = 1_000  # surroundings of keys in one batch
+PART_BYTES = 4 << 20  # and their bytes, one longer one aside
+
+# Bytes looked at together: numpy holds some 60 for each of them, whatever Arrow puts into one batch.
+SLICE_BYTES = 1 << 20
 
 # Bits of the key filter: so many an item, up to 32 MB; a key sets several.
 BITS_PER_KEY, MOST_BITS, HASHES = 32, 1 << 28, 6
@@ -56,6 +60,26 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows with at most `SLICE_BYTES` in the binary column `name`, or of one longer row; their bytes and beginnings."""
+    for batch in batches:
+        _, offsets = _bytes_of(batch.column(name))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SLICE_BYTES, "right")) - 1)
+            own = batch.slice(begin, end - begin)
+            yield own, *_bytes_of(own.column(name))
+            begin = end
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`_pieces` of a long row in several turns."""
+    for begin in range(0, max(len(data) - size + 1, 0), SLICE_BYTES):
+        end = min(begin + SLICE_BYTES + size - 1, len(data))
+        value, at = _pieces(data[begin:end], np.clip(offsets, begin, end) - begin, size)
+        yield value, at + begin
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of every window of `size` within one row as a number, and where it starts."""
     n = len(data) - size + 1
@@ -81,10 +105,10 @@ def _sketch(texts: DataFrame, size: int, cells: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((SKETCH_ROWS, cells), np.int64)
-        for batch in batches:
-            value, _ = _pieces(*_bytes_of(batch.column(0)), size)
-            for turn in range(SKETCH_ROWS):
-                counts[turn] += np.bincount((_scattered(value, turn) % np.uint64(cells)).astype(np.int64), minlength=cells)
+        for _, data, offsets in _slices(batches, "text"):
+            for value, _ in _windows(data, offsets, size):
+                for turn in range(SKETCH_ROWS):
+                    counts[turn] += np.bincount((_scattered(value, turn) % np.uint64(cells)).astype(np.int64), minlength=cells)
         flat = counts.reshape(-1)
         used = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["cell", "n"])
@@ -101,8 +125,7 @@ def _keys(items: DataFrame, size: int, counts: np.ndarray, kind: str) -> DataFra
     cells = np.uint64(counts.shape[1])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = _bytes_of(batch.column("item"))
+        for batch, data, offsets in _slices(batches, "item"):
             value, at = _pieces(data, offsets, size)
             often = np.min([counts[t][(_scattered(value, t) % cells).astype(np.int64)] for t in range(SKETCH_ROWS)], axis=0)
             row = np.searchsorted(offsets, at, "right") - 1
@@ -140,13 +163,15 @@ def _candidates(texts: DataFrame, size: int, reach: int, bits: np.ndarray, n_bit
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = _bytes_of(batch.column("text"))
-            value, at = _pieces(data, offsets, size)
-            for turn in range(HASHES):
-                place = _scattered(value, SKETCH_ROWS + turn) % np.uint64(n_bits)
-                set_ = (bits[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
-                value, at = value[set_ == 1], at[set_ == 1]
+        for batch, data, offsets in _slices(batches, "text"):
+            passed = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for value, at in _windows(data, offsets, size):
+                for turn in range(HASHES):
+                    place = _scattered(value, SKETCH_ROWS + turn) % np.uint64(n_bits)
+                    set_ = (bits[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+                    value, at = value[set_ == 1], at[set_ == 1]
+                passed.append((value, at))
+            value, at = (np.concatenate(found) for found in zip(*passed))
             row = np.searchsorted(offsets, at, "right") - 1
             order = np.lexsort((at, value, row))
             value, at, row = value[order], at[order], row[order]
@@ -157,13 +182,16 @@ def _candidates(texts: DataFrame, size: int, reach: int, bits: np.ndarray, n_bit
             start = np.maximum(at[first] - reach, offsets[row[first]])
             end = np.minimum(at[last] + size + reach, offsets[row[first] + 1])
             raw = data.tobytes()
-            # Few rows a batch: parts of long texts would fill one.
-            for begin in range(0, len(first), PART_ROWS):
-                own = slice(begin, begin + PART_ROWS)
+            # Few rows and bytes a batch: parts of long texts would fill one.
+            total, begin = np.concatenate([[0], np.cumsum(end - start)]), 0
+            while begin < len(first):
+                most = max(begin + 1, int(np.searchsorted(total, total[begin] + PART_BYTES, "right")) - 1)
+                own = slice(begin, min(most, begin + PART_ROWS))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("text_id").take(pa.array(row[first[own]])), pa.array(value[first[own]].view(np.int64)),
                      pa.array([raw[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())], pa.binary())],
                     ["text_id", "key", "part"])
+                begin = own.stop
 
     return texts.mapInArrow(look, f"text_id {kind}, key long, part binary")
 

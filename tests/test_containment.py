@@ -1,7 +1,10 @@
 """Substring joins against brute force."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +74,35 @@ def test_table_mentions_of_a_large_catalogue(spark):
     texts = spark.createDataFrame([(1, "d", "from t999 join t5")], "id long, db_id string, sql string")
     got = {r["table_name"] for r in table_mentions(texts, catalogue).collect()}
     assert got == {f"t{i}" for i in range(1000) if f"t{i}" in "from t999 join t5"}
+
+
+@pytest.mark.parametrize("slice_bytes", [7, 64, 1 << 20])
+def test_slices_of_a_batch_lose_no_place(monkeypatch, slice_bytes):
+    """Rows are looked at a few at a time, a long one in turns: the same pieces and surroundings as all at once."""
+    monkeypatch.setattr(C, "SLICE_BYTES", slice_bytes)
+    texts = [t.encode() for t in random_texts(5, 40, 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["text_id", "text"]).slice(3)
+    whole = C._pieces(*C._bytes_of(batch.column("text")), 4)
+    seen, rows, before = [], [], 0
+    for own, data, offsets in C._slices(iter([batch]), "text"):
+        assert len(data) <= slice_bytes or own.num_rows == 1
+        rows += own.column("text_id").to_pylist()
+        for value, at in C._windows(data, offsets, 4):
+            assert len(value) <= slice_bytes
+            seen += zip(value.tolist(), (at + before).tolist())
+        before += len(data)
+    assert rows == list(range(3, len(texts))) and seen == list(zip(*map(np.ndarray.tolist, whole)))
+
+
+def test_memory_of_a_batch_is_bounded():
+    """A batch of many texts takes no memory in proportion to all its bytes."""
+    texts = [f"text {i} ".encode() * 2_000 for i in range(2_000)]  # some 20 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    del texts
+    tracemalloc.start()
+    for _, data, offsets in C._slices(iter([batch]), "text"):
+        for value, _ in C._windows(data, offsets, 8):
+            C._scattered(value, 0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
