@@ -66,7 +66,9 @@ def _(spark, d):
         .when(F.col("doc_id") % 11 == 0, F.concat(F.lit('{"doc_id": "no '), number, F.lit('"}')))
         .otherwise(F.to_json(F.struct("doc_id", "text"))))
     documents = table(spark, d, "documents").where("lang IS NOT NULL").select("lang", "doc_id", line.alias("value"))
-    one_file = documents.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value")
+    # A language's lines go to many tasks by ranges, whose parts follow by name; copies of one id are dealt out by their line.
+    place = ["lang", "doc_id", F.xxhash64("value")]
+    one_file = documents.repartitionByRange(*place).sortWithinPartitions(*place).select("lang", "value")
     one_file.write.partitionBy("lang").text(path)
     rows, bad = jsonl.read_numbered(spark, path, "doc_id long, text string", "*.txt")
     lang = F.regexp_extract("file", "lang=(.*)$", 1).alias("lang")

@@ -217,3 +217,21 @@ def test_sketches_of_changed_and_removed_files(spark, tmp_path):
     assert S.update_sketches(spark, store, "t", str(folder)) == 1
     assert rows() == [(55, "49.000000")]
     assert S.update_sketches(spark, store, "other", str(folder / "z")) == 1 and rows() == [(55, "49.000000")]
+
+
+def test_lines_of_one_language_are_many_tasks(spark, tmp_path, monkeypatch):
+    """One language, null and repeated ids: its file is written in several parts, and lines keep their order by id."""
+    from tandem.catalog import QUERIES, sources
+
+    monkeypatch.setattr(sources, "scratch_path", lambda *_: str(tmp_path / "lines"))
+    spark.createDataFrame([(i if i < 300 else None, f"text {i}", "en") for i in range(400)], "doc_id long, text string, lang string").coalesce(
+        1).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = QUERIES["s01_line_numbers"](spark, str(tmp_path / "in")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "lines" / "lang=en").glob("part-*"))) > 1
+    assert sorted(r["line_no"] for r in rows) == list(range(400))
+    known = {r["line_no"]: r["doc_id"] for r in rows if r["line_no"] >= 100}
+    assert all(known[100 + i] == (None if i % 7 == 0 or i % 11 == 0 else i) for i in range(300))
