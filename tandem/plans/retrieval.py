@@ -21,8 +21,13 @@ def match_key(name: Column) -> Column:
 
 
 def explode_operations(df: DataFrame, item: str, response: str) -> DataFrame:
-    """One row per distinct operation of each response: (item, position, operation)."""
-    return df.select(
+    """One row per distinct operation of each response: (item, position, operation).
+
+    Responses are dealt out before they fan out, so that no task has as many operations as one
+    block of the input happens to hold responses.
+    """
+    own = list(dict.fromkeys((item, response)))
+    return df.select(*own).repartition(*own).select(
         item, F.posexplode(parse_operations(F.col(response))).alias("position", "operation")
     )
 

@@ -157,3 +157,16 @@ def test_slot_is_literal(spark):
     texts = spark.createDataFrame([(1, "a\\b$0")], "item_id long, text string")
     out = R.fill_slot(prompts, texts, "item_id", "[APIs]")
     assert {r["item_id"]: r["prompt"] for r in out.collect()} == {1: "a\\b$0 $1 a\\b$0", 2: ""}
+
+
+def test_operations_of_one_block_are_many_tasks(spark):
+    """Responses of one input task are dealt out before they fan out; repeated and null ids too."""
+    lists = spark.createDataFrame([(i if i % 3 else None, f'["a{i}", "b", "a{i}"]') for i in range(200)], "i long, r string").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = R.explode_operations(lists, "i", "r").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len({r["task"] for r in rows}) > 1 and len({r["task"] for r in rows if r["i"] is None}) > 1
+    want = [(i if i % 3 else -1, p, o) for i in range(200) for p, o in enumerate((f"a{i}", "b"))]
+    assert sorted((-1 if r["i"] is None else r["i"], r["position"], r["operation"]) for r in rows) == sorted(want)
