@@ -170,3 +170,17 @@ def test_operations_of_one_block_are_many_tasks(spark):
     assert len({r["task"] for r in rows}) > 1 and len({r["task"] for r in rows if r["i"] is None}) > 1
     want = [(i if i % 3 else -1, p, o) for i in range(200) for p, o in enumerate((f"a{i}", "b"))]
     assert sorted((-1 if r["i"] is None else r["i"], r["position"], r["operation"]) for r in rows) == sorted(want)
+
+
+def test_balls_travel_in_bundles(spark, monkeypatch):
+    """What is left after the first ball comes as bundles of many balls, not as a row with vectors for each pair of balls."""
+    calls = []
+    bundles = N._bundles
+    monkeypatch.setattr(N, "_bundles", lambda of, side, *more: calls.append(side) or bundles(of, side, *more))
+    rng = np.random.default_rng(12)
+    rows = [(i, "g", [float(x) for x in rng.integers(0, 4, 6)]) for i in range(150)]
+    for size in (4096, 20):  # one bundle, and several that meet several
+        monkeypatch.setattr(N, "BUNDLE_ROWS", size)
+        got, found, _ = by_balls(spark, rows, rows, 2, 8)
+        assert got == brute(rows, rows, 2) and found.pairs_met <= found.pairs_all
+    assert calls == ["q", "d"] * 2
