@@ -11,7 +11,7 @@ Parity bitmaps bound the difference of two sets before the sets themselves are r
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from uuid import uuid4
 
 import numpy as np
@@ -32,8 +32,8 @@ HUBS = (1, 4)    # hubs per dear shingle, by round
 BLOCK = 1_000    # bitmaps compared at once
 PARITY_SERVES = 256  # shingles up to which the bitmap of 1,024 bits tells sets apart
 _PARITY_LONGS = 16
-CHUNK_BYTES = 8 << 20      # of dense texts that keep their sets together
-RANGE_SHINGLES = 1 << 20   # shingles of dense texts for each range of hashes
+CHUNK_BYTES = 8 << 20      # of prefixes or dense texts that are kept together
+RANGE_SHINGLES = 1 << 20   # of their shingles for each range of hashes, at most
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +76,33 @@ def _extra(n, percent: int):
     return np.minimum(LONGEST, np.maximum(_required(n, percent) - 1, 0))
 
 
+def _signatures(rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, owner, text_key, n and sig (128 bits of the whole set)."""
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            value, first = shingle_sets(*byte_arrays(batch.column("text")), size)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("owner"), batch.column("text_key"), pa.array(np.diff(first)), _sigs(mix(value), first),
+            ], ["doc_id", "owner", "text_key", "n", "sig"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "owner", "text_key", "text").mapInArrow(sign, f"doc_id {kind}, owner long, text_key binary, n long, sig binary")
+
+
+def _sigs(spread: np.ndarray, first: np.ndarray) -> pa.Array:
+    """128 bits of each whole set; `spread`: its mixed shingles."""
+    n = np.diff(first)
+    sums = np.zeros((len(n), 2), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        sums[some, 0] = np.add.reduceat(spread, first[:-1][some])
+        sums[some, 1] = np.add.reduceat(mix(spread + np.uint64(1)), first[:-1][some]) + n[some].astype(np.uint64)
+    return pa.array([s.tobytes() for s in sums], pa.binary())
+
+
 def _profiles(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, owner, n, sig (128 bits of the whole set), prefix (at its longest) and parity."""
+    """owner, text_key, n, sig, prefix (at its longest, eight bytes a shingle) and parity."""
 
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -85,26 +110,17 @@ def _profiles(rows: DataFrame, size: int, percent: int) -> DataFrame:
             n = np.diff(first)
             row = np.repeat(np.arange(len(n)), n)
             spread = mix(value)
-            sums = np.zeros((len(n), 2), np.uint64)
-            some = np.flatnonzero(n)
-            if len(some):
-                sums[some, 0] = np.add.reduceat(spread, first[:-1][some])
-                sums[some, 1] = np.add.reduceat(mix(spread + np.uint64(1)), first[:-1][some]) + n[some].astype(np.uint64)
             bits = np.bincount(row * 1024 + (spread & np.uint64(1023)).astype(np.int64), minlength=1024 * len(n)) & 1
             parity = np.packbits(bits.astype(np.uint8)).view(np.int64)
             length = np.minimum(n, n - _required(n, percent) + 1 + _extra(n, percent))
-            ends = np.cumsum(length)
-            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
-            prefix = value[np.repeat(first[:-1], length) + place].view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("owner"), batch.column("text_key"), pa.array(n), pa.array([s.tobytes() for s in sums], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(prefix)),
+                batch.column("owner"), batch.column("text_key"), pa.array(n), _sigs(spread, first),
+                pa.array([value[a:a + k].tobytes() for a, k in zip(first.tolist(), length.tolist())], pa.binary()),
                 pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * _PARITY_LONGS).astype(np.int32)), pa.array(parity)),
-            ], ["doc_id", "owner", "text_key", "n", "sig", "prefix", "parity"])
+            ], ["owner", "text_key", "n", "sig", "prefix", "parity"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "owner", "text_key", "text").mapInArrow(
-        profile, f"doc_id {kind}, owner long, text_key binary, n long, sig binary, prefix array<long>, parity array<long>")
+    return rows.select("owner", "text_key", "text").mapInArrow(
+        profile, "owner long, text_key binary, n long, sig binary, prefix binary, parity array<long>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -113,15 +129,8 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             value, first = shingle_sets(*byte_arrays(batch.column("text")), size)
-            n = np.diff(first)
-            spread = mix(value)
-            sums = np.zeros((len(n), 2), np.uint64)
-            some = np.flatnonzero(n)
-            if len(some):
-                sums[some, 0] = np.add.reduceat(spread, first[:-1][some])
-                sums[some, 1] = np.add.reduceat(mix(spread + np.uint64(1)), first[:-1][some]) + n[some].astype(np.uint64)
             yield pa.RecordBatch.from_arrays([
-                pa.array([s.tobytes() for s in sums], pa.binary()),
+                _sigs(mix(value), first),
                 pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))], ["sig", "set"])
 
     owners = wanted.select("owner").distinct()
@@ -154,7 +163,7 @@ def _wide_parity(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _signature(spread: np.ndarray) -> bytes:
-    """128 bits of one whole set, as `_profiles` has them."""
+    """128 bits of one whole set, as `_sigs` has them."""
     sums = np.array([spread.sum(dtype=np.uint64), mix(spread + np.uint64(1)).sum(dtype=np.uint64)], np.uint64)
     sums[1] += np.uint64(len(spread))
     return sums.tobytes()
@@ -252,11 +261,11 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _meetings(cheap: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs u < v that meet at shingles of `cheap` (token, rid), how often (`met`), as far as sizes and
+    """Pairs u < v that meet at shingles of `cheap` (rid, tokens), how often (`met`), as far as sizes and
     folded parity bitmaps allow. Each shingle has at most `DEAR` documents there."""
     folded = F.array(*(F.col("parity")[i].bitwiseXOR(F.col("parity")[i + 4]).bitwiseXOR(F.col("parity")[i + 8])
                        .bitwiseXOR(F.col("parity")[i + 12]) for i in range(4)))
-    rows = cheap.join(facts.select("rid", "n", folded.alias("bits")), "rid")
+    rows = cheap.join(facts.select("rid", "n", folded.alias("bits")), "rid").select(F.explode("tokens").alias("token"), "rid", "n", "bits")
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
@@ -279,7 +288,7 @@ def _meetings(cheap: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
         if found:
             yield _pair_counts(found)
 
-    met = rows.repartition("token").sortWithinPartitions("token").select("token", "rid", "n", "bits").mapInArrow(
+    met = rows.repartition("token").sortWithinPartitions("token").mapInArrow(
         meet, "u long, v long, met long")
     return met.groupBy("u", "v").agg(F.sum("met").alias("met"))
 
@@ -314,6 +323,7 @@ def _link_dense(rows: DataFrame, classes: DataFrame, left: DataFrame, facts: Dat
     all of whose shingles are common, such as near copies of one text that are no near copies of
     each other; these are compared by parity bitmaps in blocks of like size.
     """
+    facts = stored(facts.join(left.select("rid").distinct(), "rid", "left_semi"), "near-dense-facts")
     for hubs in HUBS:
         left = _unsettled(left, linker)
         if left.isEmpty():
@@ -328,7 +338,7 @@ def _link_dense(rows: DataFrame, classes: DataFrame, left: DataFrame, facts: Dat
         return
 
     prefixes = _rare_prefixes(rows, classes.join(left.select("rid").distinct(), "rid", "left_semi"), linker.size, linker.percent)
-    cheap = prefixes.where("token IS NOT NULL").select("token", "rid").distinct()
+    cheap = prefixes.where("token IS NOT NULL").groupBy("rid").agg(F.collect_set("token").alias("tokens"))
     linker.add(_plausible(_meetings(cheap, facts, linker.percent).select("u", "v"), facts, linker.percent))
 
     central = prefixes.where("token IS NULL").select("rid").distinct()
@@ -337,34 +347,37 @@ def _link_dense(rows: DataFrame, classes: DataFrame, left: DataFrame, facts: Dat
     linker.add(_in_blocks(left, linker.percent))
 
 
-def _rare_prefixes(rows: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
-    """Basic prefixes of the sets in `wanted` (rid, owner, text_key), shingles ordered by how many of these sets have them.
+_CHUNK = "chunk binary, size long, rids array<long>, sizes binary, lengths binary, tokens binary, at binary"
 
-    Rows token and rid for each shingle of a prefix that 2 to `DEAR` of the sets have, and one of a null
-    token and rid where the last one has more. Sets never leave their chunk: a chunk asks for
-    the counts of its different shingles, packed by ranges of hashes, and reads its prefixes off the
-    answers. A set whose text stands in several equal rows may be counted more than once, which
-    is an order like any other.
+
+def _chunk(rids: pa.Array, sizes: np.ndarray, lengths: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """One row for several sets (of so many shingles) with `lengths` shingles each of them in `value`.
+
+    These are numbered by ascending hash: `tokens` are the different ones, `at` has their numbers.
     """
-    keys = stored(wanted.select("owner", "text_key", "rid"), "near-dense")
-    texts = rows.select("owner", "text_key", "text").join(small_enough(keys, 40), ["owner", "text_key"]).select("rid", "text")
+    tokens, at = np.unique(value, return_inverse=True)
+    cells = packed(sizes.astype(np.uint32)), packed(lengths.astype(np.uint32)), rising(tokens), packed(at.astype(np.uint32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([uuid4().bytes], pa.binary()), pa.array([len(value)], pa.int64()),
+         pa.ListArray.from_arrays(pa.array([0, len(rids)], pa.int32()), rids), *(pa.array([c], pa.binary()) for c in cells)],
+        ["chunk", "size", "rids", "sizes", "lengths", "tokens", "at"])
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=CHUNK_BYTES):
-            value, first = shingle_sets(*byte_arrays(batch.column("text")), size)
-            tokens, at = np.unique(value, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid4().bytes], pa.binary()), pa.array([len(value)], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("rid")),
-                 *(pa.array([c], pa.binary()) for c in (packed(np.diff(first).astype(np.uint32)), rising(tokens), packed(at.astype(np.uint32))))],
-                ["chunk", "size", "rids", "lengths", "tokens", "at"])
-
-    chunks = stored(texts.mapInArrow(
-        cut, "chunk binary, size long, rids array<long>, lengths binary, tokens binary, at binary"), "near-dense-chunks")
+
+def _with_counts(chunks: DataFrame, most: int | None, found: Callable[..., pa.Table], schema: str, name: str) -> DataFrame:
+    """`found(rids, sizes, lengths, tokens, docs)` of every chunk, stored; `chunks` are removed.
+
+    tokens and docs are aligned with the chunk's shingles, set by set: the hash and how many sets of all
+    chunks have it. Hashes are given of shingles that 2 to `most` sets have; the others' are 0. No
+    shingle moves with its set: a chunk asks for the counts of its different shingles, packed by
+    ranges of hashes, and the answer names those that are wanted.
+    """
     total = chunks.agg(F.sum("size"), F.count("*")).first()
-    ranges = max(1, -(-(total[0] or 0) // RANGE_SHINGLES))
+    ranges = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total[0] or 0) // RANGE_SHINGLES))
     starts = range_starts(ranges)
 
+    def wanted(n: np.ndarray) -> np.ndarray:
+        return (n > 1) & (n <= most) if most else n > 1
+
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, tokens, at in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tokens", "at"))):
@@ -382,39 +395,109 @@ def _rare_prefixes(rows: DataFrame, wanted: DataFrame, size: int, percent: int)
         docs = np.bincount(at, np.concatenate([unpacked(n, np.uint32) for n in table.column("n").to_pylist()]), len(kinds)).astype(np.uint64)
         ends = np.cumsum([len(t) for t in tokens]).tolist()
         own = [docs[at[b - len(t):b]] for t, b in zip(tokens, ends)]
-        # Only shingles that may be joined on go back by name.
-        cheap = [rising(t[(n > 1) & (n <= DEAR)]) for t, n in zip(tokens, own)]
-        return pa.table([table.column("chunk"), table.column("place"), pa.array([packed(n) for n in own], pa.binary()), pa.array(cheap, pa.binary())],
-                        names=["chunk", "place", "docs", "cheap"])
+        named = [rising(t[wanted(n)]) for t, n in zip(tokens, own)]
+        return pa.table([table.column("chunk"), table.column("place"), pa.array([packed(n) for n in own], pa.binary()), pa.array(named, pa.binary())],
+                        names=["chunk", "place", "docs", "named"])
 
     asked = chunks.select("chunk", "tokens", "at").mapInArrow(ask, "chunk binary, place long, tokens binary, n binary")
-    answers = stored(asked.repartition(-(-ranges // 4), "place").groupBy("place").applyInArrow(
-        answer, "chunk binary, place long, docs binary, cheap binary"), "near-dense-counts")
+    answers = stored(asked.repartition(ranges, "place").groupBy("place").applyInArrow(
+        answer, "chunk binary, place long, docs binary, named binary"), f"{name}-counts")
 
-    def prefix(chunk: pa.Table, got: pa.Table) -> pa.Table:
+    def read(chunk: pa.Table, got: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
-        n = unpacked(row["lengths"], np.uint32).astype(np.int64)
         at = unpacked(row["at"], np.uint32)
-        parts = sorted(got.select(["place", "docs", "cheap"]).to_pylist(), key=lambda r: r["place"])
+        parts = sorted(got.select(["place", "docs", "named"]).to_pylist(), key=lambda r: r["place"])
         docs = np.concatenate([np.zeros(0, np.int64), *(unpacked(p["docs"], np.uint64).astype(np.int64) for p in parts)])
         tokens = np.zeros(len(docs), np.uint64)
-        tokens[(docs > 1) & (docs <= DEAR)] = np.concatenate([np.zeros(0, np.uint64), *(risen(p["cheap"]) for p in parts)])
-        of = np.repeat(np.arange(len(n)), n)
-        # A chunk's shingles are numbered by ascending hash, so ties go the same way everywhere.
-        order = np.lexsort((at, docs[at], of))
-        at, basic = at[order], n - _required(n, percent) + 1
-        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        joined = np.flatnonzero((place < basic[of]) & (docs[at] > 1) & (docs[at] <= DEAR))
-        dear = np.flatnonzero((place == basic[of] - 1) & (docs[at] > DEAR))
-        rids = np.array(row["rids"], np.int64)
-        found = pa.array(tokens[at[joined]].view(np.int64))
-        return pa.table([pa.concat_arrays([found, pa.nulls(len(dear), pa.int64())]), pa.array(rids[of[np.concatenate([joined, dear])]])], names=["token", "rid"])
+        tokens[wanted(docs)] = np.concatenate([np.zeros(0, np.uint64), *(risen(p["named"]) for p in parts)])
+        sizes, lengths = (unpacked(row[c], np.uint32).astype(np.int64) for c in ("sizes", "lengths"))
+        return found(np.array(row["rids"], np.int64), sizes, lengths, tokens[at], docs[at])
 
     parts = max(1, -(-total[1] // 4))
-    kept = chunks.select("chunk", "rids", "lengths", "at")
+    kept = chunks.select("chunk", "rids", "sizes", "lengths", "at")
     met = kept.repartition(parts, "chunk").groupBy("chunk").cogroup(answers.repartition(parts, "chunk").groupBy("chunk"))
-    prefixes = stored(met.applyInArrow(prefix, "token long, rid long"), "near-dense-prefixes")
-    discard(keys, chunks, answers)
+    result = stored(met.applyInArrow(read, schema), name)
+    discard(chunks, answers)
+    return result
+
+
+def _prefix_chunks(able: DataFrame) -> DataFrame:
+    """The longest prefixes of `able` (rid, n, prefix)."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "prefix", CHUNK_BYTES):
+            data, offsets = byte_arrays(batch.column("prefix"))
+            value = np.frombuffer(data.tobytes(), np.uint64)
+            yield _chunk(batch.column("rid"), batch.column("n").to_numpy(), np.diff(offsets) // 8, value)
+
+    return stored(able.select("rid", "n", "prefix").mapInArrow(cut, _CHUNK), "near-chunks")
+
+
+def _matches(chunks: DataFrame, percent: int) -> DataFrame:
+    """Sets of `chunks` that share a shingle of their longest prefix with another one.
+
+    longer: by how many shingles the prefix is lengthened, one for each dear one in it. dense: that is more than
+    the smallest possible partner's can be (`reach`). dear: all dear shingles of the longest prefix;
+    tokens: the cheap ones up to where the prefix ends, of dense sets all.
+    """
+    most, longest = DEAR, LONGEST
+
+    def match(rids: np.ndarray, n: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, docs: np.ndarray) -> pa.Table:
+        ends = np.cumsum(lengths)
+        of, place = np.repeat(np.arange(len(n)), lengths), np.arange(len(docs)) - np.repeat(ends - lengths, lengths)
+        required = _required(n, percent)
+        basic, reach = n - required + 1, np.minimum(longest, _required(required, percent) - 1)
+        is_dear = docs > most
+        before = np.concatenate([[0], np.cumsum(is_dear)])
+        rank = before[:-1] - np.repeat(before[ends - lengths], lengths)
+        longer = np.bincount(of[is_dear & (place - rank < basic[of])], minlength=len(n))
+        dense = longer > reach
+        is_cheap = (docs > 1) & ~is_dear & (dense[of] | (place < (basic + longer)[of]))
+        some = np.bincount(of[docs > 1], minlength=len(n)) > 0
+
+        def lists(mask: np.ndarray) -> pa.Array:
+            first = np.concatenate([[0], np.cumsum(np.bincount(of[mask], minlength=len(n)))])
+            return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens[mask].view(np.int64)))
+
+        return pa.table([
+            pa.array(rids), pa.array(n), pa.array(dense), pa.array(longer), pa.array(np.bincount(of[is_dear], minlength=len(n))),
+            pa.array(reach), pa.array(np.minimum(longest, required - 1)), lists(is_dear), lists(is_cheap),
+        ], names=["rid", "n", "dense", "longer", "n_dear", "reach", "extra", "dear", "tokens"]).filter(pa.array(some))
+
+    return _with_counts(chunks, None, match, "rid long, n long, dense boolean, longer long, n_dear long, reach long, extra long, "
+                        "dear array<long>, tokens array<long>", "near-matches")
+
+
+def _rare_prefixes(rows: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
+    """Basic prefixes of the sets in `wanted` (rid, owner, text_key), shingles ordered by how many of these sets have them.
+
+    Rows token and rid for each shingle of a prefix that 2 to `DEAR` of the sets have, and one of a null
+    token and rid where the last one has more. A set whose text stands in several equal rows may be
+    counted more than once, which is an order like any other.
+    """
+    most = DEAR
+    keys = stored(wanted.select("owner", "text_key", "rid"), "near-dense")
+    texts = rows.select("owner", "text_key", "text").join(small_enough(keys, 40), ["owner", "text_key"]).select("rid", "text")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=CHUNK_BYTES):
+            value, first = shingle_sets(*byte_arrays(batch.column("text")), size)
+            yield _chunk(batch.column("rid"), np.diff(first), np.diff(first), value)
+
+    def prefix(rids: np.ndarray, n: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, docs: np.ndarray) -> pa.Table:
+        of = np.repeat(np.arange(len(n)), n)
+        # A set's shingles ascend, so ties go the same way everywhere.
+        order = np.lexsort((np.arange(len(docs)), docs, of))
+        tokens, docs, basic = tokens[order], docs[order], n - _required(n, percent) + 1
+        place = np.arange(len(docs)) - np.repeat(np.cumsum(n) - n, n)
+        joined = np.flatnonzero((place < basic[of]) & (docs > 1) & (docs <= most))
+        dear = np.flatnonzero((place == basic[of] - 1) & (docs > most))
+        found = pa.array(tokens[joined].view(np.int64))
+        return pa.table([pa.concat_arrays([found, pa.nulls(len(dear), pa.int64())]), pa.array(rids[of[np.concatenate([joined, dear])]])], names=["token", "rid"])
+
+    chunks = stored(texts.mapInArrow(cut, _CHUNK), "near-dense-chunks")
+    prefixes = _with_counts(chunks, most, prefix, "token long, rid long", "near-dense-prefixes")
+    discard(keys)
     return prefixes
 
 
@@ -497,40 +580,23 @@ def near_components(
     owner = F.coalesce(F.col(key), F.lit(LAST_OWNER)).cast("long")
     rows = docs.select(F.col(key).alias("doc_id"), owner.alias("owner"), text_key(text).alias("text_key"), text_bytes(text).alias("text"))
     # Prefixes and bitmaps are wide: of the rows only keys stay, and of the classes no prefix once it is taken apart.
-    wide = stored(_profiles(rows, size, percent), "near-wide-profiles")
-    profiles = stored(wide.select("doc_id", "owner", "text_key", "n", "sig"), "near-profiles")
-    classes = wide.where("n > 0").groupBy("sig").agg(
+    profiles = stored(_signatures(rows, size), "near-profiles")
+    classes = _profiles(rows, size, percent).where("n > 0").groupBy("sig").agg(
         F.min(F.struct("owner", "text_key")).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     classes = classes.select("sig", "one.*", "copies", "n", "prefix", "parity")
     whole_classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "near-whole-classes")
-    discard(wide)
+    classes = stored(whole_classes.drop("prefix"), "near-classes")
 
     # n shingles of n + 1 are the nearest that sets can be without being equal: 100 n >= P (n + 1), at 90 from 9 on.
     able = whole_classes.where(F.col("n") * (100 - percent) >= percent)
-    tokens = able.select("rid", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
-    tokens = stored(tokens.join(shared, "token"), "near-tokens")
-    classes = stored(whole_classes.drop("prefix"), "near-classes")
+    chunks = _prefix_chunks(able)
     discard(whole_classes)
-    n = F.col("n")
-    required = F.ceil(n * percent / 100)
-    basic = n - required + 1
-    # The least that the smallest possible partner's prefix can be lengthened.
-    reach = F.least(F.lit(LONGEST), F.ceil(required * percent / 100) - 1)
-    dear_places = F.sort_array(F.collect_list(F.when(F.col("docs") > DEAR, F.struct("at", "token"))))
-    matches = tokens.groupBy("rid").agg(F.first("n").alias("n"), dear_places.alias("dear"))
-    longer = F.size(F.filter("dear", lambda d, i: d["at"] - i < basic))
-    matches = stored(matches.withColumn("longer", longer).select(
-        "rid", "n", (F.col("longer") > reach).alias("dense"), "longer", basic.alias("basic"), F.size("dear").alias("n_dear"),
-        reach.alias("reach"), F.least(F.lit(LONGEST), required - 1).alias("extra"),
-        F.transform("dear", lambda d: d["token"]).alias("dear")), "near-matches")
+    matches = _matches(chunks, percent)
 
     # Cheap shingles have few documents, compared by bitmap. A prefix ends where its cheap shingles suffice.
-    cheap = tokens.where(F.col("docs") <= DEAR).join(matches.select("rid", "basic", "longer", "dense"), "rid").where(
-        F.col("dense") | (F.col("at") < F.col("basic") + F.col("longer")))
     facts = classes.select("rid", "n", "parity")
-    pairs = _meetings(cheap.select("token", "rid"), facts, percent)
+    pairs = _meetings(matches.where(F.size("tokens") > 0).select("rid", "tokens"), facts, percent)
     for side in ("u", "v"):
         pairs = pairs.join(matches.select(
             F.col("rid").alias(side), F.when(F.col("dense"), F.col("extra")).otherwise(F.col("longer")).alias(f"more_{side}"),
@@ -540,9 +606,8 @@ def near_components(
     linker = _Linker(rows, classes, size, percent)
     linker.add(_plausible(pairs.where(enough).select("u", "v"), facts, percent))
 
-    dense = matches.where("dense").select("rid", "n_dear", "reach")
-    central = stored(tokens.where(F.col("docs") > DEAR).join(dense, "rid").select("token", "rid", "n_dear", "reach"), "near-central")
-    discard(tokens, matches)
+    central = stored(matches.where("dense").select(F.explode("dear").alias("token"), "rid", "n_dear", "reach"), "near-central")
+    discard(matches)
     if not central.isEmpty():
         _link_dense(rows, classes, central, facts, linker)
 

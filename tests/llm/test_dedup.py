@@ -1,8 +1,10 @@
 """Substring removal and near duplicates against brute force."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -235,6 +237,36 @@ def test_one_of_each(mixed_docs, mixed_rows):
     assert sum(not (t or "").split() for _, t in rows) == sum(not s for s in sets)
 
 
+def test_prefixes_move_packed(spark, monkeypatch):
+    """No step before the pairs are known shuffles much more than the eight bytes of each shingle of the longest prefixes."""
+    rng, rows = random.Random(11), []
+    for i in range(150):
+        words = [f"{i}.{j}" for j in range(500)]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join(f"new{j}" if rng.random() < 0.002 * (i % 40) else w for j, w in enumerate(words))))
+    folders = [Path(str(f)) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    written, keep = {}, jaccard_join.stored
+
+    def stored(df, name):
+        before = {f for d in folders for f in d.rglob("shuffle_*.data")}
+        result = keep(df, name)
+        new = {f for d in folders for f in d.rglob("shuffle_*.data")} - before
+        written[name] = max(written.get(name, 0), sum(f.stat().st_size for f in new))
+        return result
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = bag(jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    _, group, least = components_of(rows)
+    assert got == Counter((i, least[g]) for (i, _), g in zip(rows, group)) and 150 < len(set(group)) < 300
+    shingles = 300 * (498 - 449 + 1 + jaccard_join.LONGEST)
+    early = [n for _, n in itertools.takewhile(lambda step: step[0] != "near-pairs", written.items())]
+    assert 4 * shingles < max(early) < 14 * shingles
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_components(spark, few):
     chain = [(i + 1, i) for i in range(20)] + [(50, 40), (60, 40), (61, 60), (7, 7)]
